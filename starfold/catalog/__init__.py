@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from starfold.catalog.base import bounded
+
 _AREAS = ("sources", "cleaning", "windows", "folding", "searching", "boxes", "validation", "models", "cotrending", "injection", "stages")
 
 
@@ -11,7 +13,8 @@ def _registry():
     q, sql = {}, {}
     for area in _AREAS:
         m = import_module(f"starfold.catalog.{area}")
-        q.update(m.QUERIES)
+        kinds = getattr(m, "SERIES", {})
+        q.update({n: bounded(kinds[n], fn) if n in kinds else fn for n, fn in m.QUERIES.items()})
         sql.update(m.SQL)
     return q, sql
 

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starfold.functions.frames import short_series
+
 # Groups up to this many rows are ranked directly; larger ones only inside the bracket.
 DIRECT_ROWS = 50_000
 SKETCH_ACCURACY = 10_000
@@ -30,13 +32,18 @@ def nan_to_null(c: Column) -> Column:
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], q: float = 0.5
+    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], q: float = 0.5, per_series: bool = False
 ) -> DataFrame:
     """Exact quantile ``q`` (linear interpolation) of each column per group; NULLs are ignored.
 
+    ``per_series`` says that a group holds rows of one series only, at most one per cadence; where
+    series are known to be short the built-in aggregate is used.
+
     The first pass takes a mergeable sketch, the second counts distinct values inside the bracket
     (everything below it collapses to one counted row on the map side) and walks the counts.
     """
+    if per_series and short_series():
+        return df.groupBy(*keys).agg(*[F.percentile(nan_to_null(c.cast("double")), q).alias(n) for n, c in cols.items()])
     long = df.select(
         *keys,
         F.explode(
@@ -79,12 +86,19 @@ def group_quantiles(
     )
 
 
-def group_medians(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
-    return group_quantiles(df, keys, cols, 0.5)
+def group_medians(
+    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], per_series: bool = False
+) -> DataFrame:
+    return group_quantiles(df, keys, cols, 0.5, per_series)
 
 
-def with_medians(df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
+def with_medians(
+    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], per_series: bool = True
+) -> DataFrame:
     """Attach the exact group medians to every row."""
+    if per_series and short_series():
+        w = Window.partitionBy(*keys)
+        return df.withColumns({n: F.percentile(nan_to_null(c.cast("double")), 0.5).over(w) for n, c in cols.items()})
     return df.join(group_medians(df, keys, cols), list(keys), "left")
 
 

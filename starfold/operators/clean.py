@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starfold.functions import stats
-from starfold.functions.frames import STRETCH, scan, with_frames
+from starfold.functions.frames import STRETCH, partition_sql, scan, with_ends, with_frames
 
 VALID = "NOT fmask AND f IS NOT NULL"
 
@@ -53,6 +53,7 @@ def stitch_levels(df: DataFrame, width: float = 0.5) -> DataFrame:
             "head": F.when(F.col("t") < F.col("_a") + width, flux()),
             "tail": F.when(F.col("t") > F.col("_b") - width, flux()),
         },
+        per_series=True,
     )
     w = Window.partitionBy("star").orderBy("quarter")
     step = stats.safe_div(F.lag("tail").over(w), F.col("head"))
@@ -143,8 +144,7 @@ def interp_masked(
     )
     fill = ~F.coalesce(ok, F.lit(False))
     if n_contig is not None:
-        ends = df.groupBy("star").agg(F.min("cad").alias("_a"), F.max("cad").alias("_b"))
-        b = b.join(ends, "star")
+        b = with_ends(b)
         run = F.coalesce(F.col("_R.x"), F.col("_b") + 1) - F.coalesce(F.col("_L.x"), F.col("_a") - 1) - 1
         fill = fill & (run <= n_contig)
     cols = [c for c in df.columns if c != out]
@@ -214,7 +214,6 @@ def median_filter(df: DataFrame, col: str, size: int, out: str) -> DataFrame:
     Expects a gap-free series without NULLs in ``col``.
     """
     back, ahead = size // 2, size - 1 - size // 2
-    ends = df.groupBy("star").agg(F.min("cad").alias("_a"), F.max("cad").alias("_b"))
     c = F.col("cad")
     mirrored = F.array(
         c,
@@ -222,7 +221,7 @@ def median_filter(df: DataFrame, col: str, size: int, out: str) -> DataFrame:
         F.when(c > F.col("_b") - ahead, 2 * F.col("_b") + 1 - c),
     )
     padded = (
-        df.join(ends, "star")
+        with_ends(df)
         .withColumn("_at", F.explode(mirrored))
         .where(F.col("_at").isNotNull())
     )
@@ -279,10 +278,9 @@ def mask_steps(
             "_full": F.count(F.lit(1)).over(w.rangeBetween(0, size - 1)),
         },
     ).withColumn("_md", F.when((F.col("_n") >= min_valid) & (F.col("_full") == size), F.col("_md")))
-    ends = df.groupBy("star").agg(F.max("cad").alias("_b"))
-    w2 = with_frames(
-        w1, 0, scale, lambda w: {"_later": F.first("_md").over(w.rangeBetween(scale, scale))}
-    ).join(ends, "star")
+    w2 = with_ends(
+        with_frames(w1, 0, scale, lambda w: {"_later": F.first("_md").over(w.rangeBetween(scale, scale))})
+    )
     inside = F.col("cad") + size + scale <= F.col("_b")
     w2 = w2.withColumn("_step", F.when(inside, F.col("_md") - F.col("_later")))
     w2 = stats.with_medians(w2, ["star"], {"_ms": F.abs("_step")})
@@ -291,9 +289,11 @@ def mask_steps(
     w3 = with_frames(
         w2, mid, 0, lambda w: {"_at": F.max("_hit").over(w.rangeBetween(-mid, -mid))}
     ).withColumn("_at", F.coalesce("_at", F.lit(False)))
-    w4 = with_frames(
-        w3, ahead, back, lambda w: {out: F.max("_at").over(w.rangeBetween(-ahead, back))}, order="t"
+    near = F.expr(
+        f"max(_at) OVER (PARTITION BY {partition_sql()} ORDER BY t "
+        f"RANGE BETWEEN {float(ahead)!r}D PRECEDING AND {float(back)!r}D FOLLOWING)"
     )
+    w4 = with_frames(w3, ahead, back, lambda w: {out: near}, order="t")
     return w4.select(*df.columns, out)
 
 
@@ -332,8 +332,7 @@ def segment_labels(df: DataFrame, nsep: float, ok: Column | None = None, out: st
     x = df.withColumn("_ok", ok)
     pt = F.when(F.col("_ok"), F.col("cad"))
     x = scan(x, {"_p": ("last", pt), "_n": ("next", pt)}, strict=True)
-    ends = df.groupBy("star").agg(F.min("cad").alias("_a"), F.max("cad").alias("_b"))
-    x = x.join(ends, "star")
+    x = with_ends(x)
     left = F.coalesce("_p", F.col("_a") - 1)
     right = F.coalesce("_n", F.col("_b") + 1)
     member = F.col("_ok") | (right - left - 1 < nsep)
@@ -412,7 +411,7 @@ def mask_before_quarter(df: DataFrame, first: int, col: str = "quarter") -> Data
 
 def check_even(df: DataFrame, cadence: float, rtol: float = 1e-3) -> DataFrame:
     """Per star: spread of the time steps under cadence/100, and every step close to the median."""
-    x = with_frames(df, 1, 0, lambda w: {"_p": F.max("t").over(w.rangeBetween(-1, -1))})
+    x = scan(df, {"_p": ("last", F.col("t"))}, strict=True)
     x = x.select("star", (F.col("t") - F.col("_p")).alias("_d")).where("_d IS NOT NULL")
     x = stats.with_medians(x, ["star"], {"dt": F.col("_d")})
     return x.groupBy("star").agg(
@@ -435,8 +434,8 @@ def preprocess(df: DataFrame, lims: tuple[float, float] = (-1e3, 10.0)) -> DataF
 def mask_noisy_segments(df: DataFrame, stat: str, nsep: float, thresh: float = 2.0, out: str = "is_noisy") -> DataFrame:
     """Segments whose median |stat| is above ``thresh`` times the median of all segments'."""
     x = segment_labels(df, nsep, F.col(stat).isNotNull(), "_seg")
-    seg = stats.group_medians(x.where("_seg IS NOT NULL"), ["star", "_seg"], {"_mad": F.abs(stat)})
-    typ = stats.group_medians(seg, ["star"], {"_typ": F.col("_mad")})
+    seg = stats.group_medians(x.where("_seg IS NOT NULL"), ["star", "_seg"], {"_mad": F.abs(stat)}, True)
+    typ = stats.group_medians(seg, ["star"], {"_typ": F.col("_mad")}, True)
     bad = seg.join(typ, "star").select("star", "_seg", (F.col("_mad") > F.col("_typ") * thresh).alias(out))
     return x.join(bad, ["star", "_seg"], "left").withColumn(out, F.coalesce(out, F.lit(False))).drop("_seg")
 
@@ -444,9 +443,8 @@ def mask_noisy_segments(df: DataFrame, stat: str, nsep: float, thresh: float = 2
 def mean_of_bins(df: DataFrame, nbin: int = 8) -> DataFrame:
     """Mean of every ``nbin`` consecutive rows of a gap-free series; time of the first row; bins
     without valid points are dropped."""
-    a = df.groupBy("star").agg(F.min("cad").alias("_a"))
     return (
-        df.join(a, "star")
+        with_ends(df)
         .groupBy("star", F.floor((F.col("cad") - F.col("_a")) / nbin).alias("bin"))
         .agg(F.min("t").alias("x"), F.avg(flux()).alias("y"))
         .where("y IS NOT NULL")
