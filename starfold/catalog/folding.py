@@ -24,7 +24,7 @@ from starfold.sources import fixtures
 QUERIES, SQL = {}, {}
 
 P1, P2 = 20, 28
-_FRAC = "unnest(list_transform(range(CAST(ceil(1 / ({P} / ncad)) AS BIGINT)), j -> {P} + j * ({P} / ncad)))"
+_FRAC = "unnest(list_transform(range(CAST(ceil(1 / ({P} / ncad)) AS BIGINT)), lambda j: {P} + j * ({P} / ncad)))"
 
 
 def indexed_sql(src, out, keep="f, fmask, t"):
@@ -91,7 +91,9 @@ SELECT star, seg::INT AS seg, {s6('P1')} AS P1, {s6('P2')} AS P2, {s6('least(d1
 
 def frac_periods(spark, sf):
     s = fixtures.hourly(spark, sf).groupBy("star").agg((F.max("cad") - F.min("cad") + 1).alias("ncad"))
-    s = s.withColumn("P", F.explode(F.sequence(F.lit(P1), F.lit(P2 - 1))).cast("double"))
+    s = s.select(
+        "star", "ncad", F.explode(F.transform(F.sequence(F.lit(P1), F.lit(P2 - 1)), lambda p: p.cast("double"))).alias("P")
+    )
     a = s.select("star", F.lit("search").alias("kind"), F.explode(fold.frac_periods(F.col("P"), F.col("ncad"))).alias("Pcad"))
     b = s.select("star", F.lit("unit").alias("kind"), F.explode(fold.unit_periods(F.col("P"))).alias("Pcad"))
     return a.unionByName(b).withColumn("Pcad", r6("Pcad"))
@@ -101,7 +103,7 @@ QUERIES["frac_periods"] = frac_periods
 SQL["frac_periods"] = f"""WITH {HOURLY}, s AS (SELECT star, max(cad) - min(cad) + 1 AS ncad FROM hourly GROUP BY star),
 p AS (SELECT star, ncad, unnest(range({P1}, {P2}))::DOUBLE AS P FROM s)
 SELECT star, 'search' AS kind, {s6('x')} AS Pcad FROM (SELECT star, {_FRAC.format(P='P')} AS x FROM p)
-UNION ALL SELECT star, 'unit', {s6('x')} FROM (SELECT star, unnest(list_transform(range(CAST(ceil(1 / (1 / P)) AS BIGINT)), j -> P + j * (1 / P))) AS x FROM p)"""
+UNION ALL SELECT star, 'unit', {s6('x')} FROM (SELECT star, unnest(list_transform(range(CAST(ceil(1 / (1 / P)) AS BIGINT)), lambda j: P + j * (1 / P))) AS x FROM p)"""
 
 
 def wrap(spark, sf):
@@ -172,13 +174,13 @@ def fold_ffa(spark, sf):
     d = windows.mean_depth(hourly_centred(spark, sf), (3,))
     x = fold.with_index(d).where("d IS NOT NULL")
     f = fold.fold_ffa(x, P1, P2, {"s": F.col("d"), "n": F.lit(1).cast("long")})
-    return f.select("star", "P0", "row", "col", "n", r6(F.try_divide("s", "n"), 4).alias("mean"))
+    return f.select("star", "P0", "row", "col", "n", r6(F.try_divide("s", "n")).alias("mean"))
 
 
 QUERIES["fold_ffa"] = fold_ffa
 SQL["fold_ffa"] = f"""WITH {HOURLY_CENTRED}, {mean_depth_sql('hc', 'md', (3,))}, {indexed_sql('md', 'ix', 't, d')},
 {padded_sql('ix', 'pd', P1, P2, 'd', 'd IS NOT NULL')}, {ffa_sql('pd', 'ff', P1, P2, N_STAGES)}
-SELECT star, P0, row, col, CAST(n AS BIGINT) AS n, {s6('s / n', 4)} AS mean FROM ff"""
+SELECT star, P0, row, col, CAST(n AS BIGINT) AS n, {s6('s / n')} AS mean FROM ff"""
 
 
 def fold_columns(spark, sf):

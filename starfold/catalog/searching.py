@@ -1 +1,155 @@
+"""Queries: period searches, ranking and peaks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from starfold.catalog.base import (
+    DAILY_INJECTED,
+    HOURLY_CENTRED,
+    daily_injected,
+    hourly_centred,
+    r6,
+    s6,
+)
+from starfold.catalog.folding import N_STAGES, P1, P2, ffa_sql, frac_sql, indexed_sql, padded_sql
+from starfold.catalog.windows import box_depth_sql, mean_depth_sql
+from starfold.functions import stats
+from starfold.operators import fold, search, windows
+
 QUERIES, SQL = {}, {}
+TWDS = (2, 3, 5)
+D1, D2, DTW = 25, 30, (2, 3, 5)
+
+
+def best_epoch(spark, sf):
+    d = windows.mean_depth(hourly_centred(spark, sf), (3,))
+    x = fold.with_index(d).where("d IS NOT NULL")
+    f = fold.fold_ffa(x, P1, P2, {"s": F.col("d"), "n": F.lit(1).cast("long")})
+    return search.best_epoch(f, ["star", "P0", "Pcad"]).select(
+        "star", "P0", r6("Pcad").alias("Pcad"), r6("mean").alias("mean"), "count"
+    )
+
+
+_FOLDED = f"""{HOURLY_CENTRED}, {mean_depth_sql('hc', 'md', TWDS)}, {indexed_sql('md', 'ix0', 't, d, twd')},
+ix AS (SELECT * FROM ix0), {padded_sql('ix', 'pd', P1, P2, 'd', 'd IS NOT NULL', 'star, twd')},
+{ffa_sql('pd', 'ff', P1, P2, N_STAGES, 'star, twd')}"""
+_CAD = "cad AS (SELECT star, min(t) AS t_first, (max(t) - min(t)) / (max(cad) - min(cad)) AS dt FROM {src} GROUP BY star)"
+_TDPEP = f"""{_FOLDED}, {_CAD.format(src='hd')},
+ns AS (SELECT star, twd, median(abs(d)) AS noise FROM md GROUP BY star, twd),
+be AS (SELECT star, twd, P0, pcad, s / n AS mean, col, n FROM ff QUALIFY row_number() OVER (PARTITION BY star, twd, P0, pcad ORDER BY s / n DESC, col) = 1),
+dpe AS (SELECT be.*, noise, mean / nullif(noise, 0) * sqrt(n) AS s2n, col * dt + t_first AS t0 FROM be JOIN ns USING (star, twd) JOIN cad USING (star))"""
+
+QUERIES["best_epoch"] = best_epoch
+SQL["best_epoch"] = f"""WITH {_FOLDED} SELECT star, P0, {s6('pcad')} AS Pcad, {s6('s / n')} AS mean, CAST(n AS BIGINT) AS count FROM ff WHERE twd = 3
+QUALIFY row_number() OVER (PARTITION BY star, P0, pcad ORDER BY s / n DESC, col) = 1"""
+
+QUERIES["duration_period_epoch"] = lambda spark, sf: search.duration_period_epoch(hourly_centred(spark, sf), P1, P2, TWDS).select(
+    "star", "twd", r6("Pcad").alias("Pcad"), r6("mean").alias("mean"), "count", r6("s2n").alias("s2n"), r6("noise").alias("noise")
+)
+SQL["duration_period_epoch"] = f"""WITH {_TDPEP} SELECT star, twd, {s6('pcad')} AS Pcad, {s6('mean')} AS mean, CAST(n AS BIGINT) AS count,
+ {s6('s2n')} AS s2n, {s6('noise')} AS noise FROM dpe"""
+
+
+def best_duration(spark, sf):
+    p = search.duration_period_epoch(hourly_centred(spark, sf), P1, P2, TWDS)
+    return search.best_duration(p, ("star", "P0", "Pcad")).select("star", "P0", r6("Pcad").alias("Pcad"), "twd", r6("s2n").alias("s2n"))
+
+
+QUERIES["best_duration"] = best_duration
+SQL["best_duration"] = f"""WITH {_TDPEP} SELECT star, P0, {s6('pcad')} AS Pcad, twd, {s6('s2n')} AS s2n FROM dpe
+QUALIFY row_number() OVER (PARTITION BY star, P0, pcad ORDER BY s2n DESC, twd) = 1"""
+
+QUERIES["search_ffa"] = lambda spark, sf: search.search_ffa(hourly_centred(spark, sf), P1, P2, TWDS).select(
+    "star", r6("Pcad").alias("Pcad"), "twd", r6("s2n").alias("s2n"), r6("t0").alias("t0"), r6("mean").alias("mean"), "count"
+)
+SQL["search_ffa"] = f"""WITH {_TDPEP} SELECT star, {s6('pcad')} AS Pcad, twd, {s6('s2n')} AS s2n, {s6('t0')} AS t0, {s6('mean')} AS mean, CAST(n AS BIGINT) AS count FROM dpe
+QUALIFY row_number() OVER (PARTITION BY star, P0, pcad ORDER BY s2n DESC, twd) = 1"""
+
+
+def clipped_sql(centred, src, out, p1, p2, twds):
+    """SQL of the outlier-proof search over integer limits."""
+    return f"""{box_depth_sql(src, out + '_d', twds)},
+{indexed_sql(src, out + '_x', 'f')}, {frac_sql(p1, p2, out + '_p', out + '_x')}, {_CAD.format(src=src).replace('cad AS (', out + '_c AS (', 1)},
+{out}_n AS (SELECT star, twd, median(abs(depth)) * 1.5::DOUBLE AS noise FROM {out}_d WHERE good GROUP BY star, twd),
+{out}_r AS (SELECT star, twd, pcad, CAST(floor(i % pcad) AS BIGINT) AS col, depth AS d,
+   row_number() OVER (PARTITION BY star, twd, pcad, floor(i % pcad) ORDER BY depth DESC) AS rn
+   FROM {out}_d d JOIN {out}_x USING (star, cad) JOIN {out}_p USING (star) WHERE good),
+{out}_g AS (SELECT star, twd, pcad, col, sum(d) AS s0, count(*) AS c0, sum(d) - max(d) AS s1, sum(d) - max(d) - max(d) FILTER (rn = 2) AS s2
+   FROM {out}_r GROUP BY ALL HAVING count(*) >= 3),
+{out}_b AS (SELECT *, s0 / c0 AS mean, s0 / sqrt(c0) AS q FROM {out}_g WHERE s1 / (c0 - 1) > s0 / c0 * 0.5::DOUBLE AND s2 / (c0 - 2) > s0 / c0 * 0.5::DOUBLE
+   QUALIFY row_number() OVER (PARTITION BY star, twd, pcad ORDER BY s0 / sqrt(c0) DESC, col) = 1),
+{out} AS (SELECT star, pcad, twd, q / noise AS s2n, c0 AS c, mean, (col + twd / 2::DOUBLE) * dt + t_first AS t0, noise, pcad * dt AS P, twd * dt AS tdur
+   FROM {out}_b JOIN {out}_n USING (star, twd) JOIN {out}_c USING (star) QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY q / noise DESC, twd) = 1)"""
+
+
+_CLIPPED = f"{DAILY_INJECTED}, {clipped_sql(None, 'di', 'pg', D1, D2, DTW)}"
+
+
+def clipped(spark, sf):
+    return search.search_clipped(daily_injected(spark, sf), D1, D2, DTW)
+
+
+def _pgram(df):
+    return df.select(
+        "star", r6("Pcad").alias("Pcad"), "twd", r6("s2n").alias("s2n"), "c", r6("mean").alias("mean"),
+        r6("t0").alias("t0"), r6("noise").alias("noise"), r6("P").alias("P"), r6("tdur").alias("tdur"),
+    )
+
+
+_PG_COLS = f"""star, {s6('pcad')} AS Pcad, twd, {s6('s2n')} AS s2n, c, {s6('mean')} AS mean, {s6('t0')} AS t0, {s6('noise')} AS noise,
+ {s6('P')} AS P, {s6('tdur')} AS tdur"""
+QUERIES["search_clipped"] = lambda spark, sf: _pgram(clipped(spark, sf))
+SQL["search_clipped"] = f"WITH {_CLIPPED} SELECT {_PG_COLS} FROM pg"
+
+
+def periodogram(spark, sf):
+    d = daily_injected(spark, sf)
+    segs = [{"P1": 20.0, "P2": 22.0, "twdG": [2, 3]}, {"Pcad1": 26, "Pcad2": 28, "twdG": [3, 5]}]
+    return _pgram(search.periodogram(d, segs, "max"))
+
+
+QUERIES["periodogram"] = periodogram
+SQL["periodogram"] = f"""WITH {DAILY_INJECTED}, {clipped_sql(None, 'di', 'a', 20, 22, (2, 3))}, {clipped_sql(None, 'di', 'b', 26, 28, (3, 5))}
+SELECT {_PG_COLS} FROM a UNION ALL SELECT {_PG_COLS} FROM b"""
+
+QUERIES["bin_periodogram"] = lambda spark, sf: search.bin_periodogram(clipped(spark, sf), 40).select(
+    "star", "Pbin", r6("P").alias("P"), r6("s2n").alias("s2n"), "twd"
+)
+SQL["bin_periodogram"] = f"""WITH {_CLIPPED}, l AS (SELECT *, log10(min(P) OVER w) AS lo, log10(max(P) OVER w) AS hi FROM pg WINDOW w AS (PARTITION BY star)),
+b AS (SELECT *, CAST(least(greatest(ceil(round((log10(P) - lo) / (hi - lo) * 39, 9)) - 1, 0), 38) AS INT) AS Pbin FROM l)
+SELECT star, Pbin, {s6('P')} AS P, {s6('s2n')} AS s2n, twd FROM b QUALIFY row_number() OVER (PARTITION BY star, Pbin ORDER BY s2n DESC, P) = 1"""
+
+QUERIES["peak"] = lambda spark, sf: search.peak(clipped(spark, sf)).select(
+    "star", r6("grid_s2n").alias("grid_s2n"), r6("grid_P").alias("grid_P"), r6("grid_t0").alias("grid_t0"), r6("grid_tdur").alias("grid_tdur")
+)
+SQL["peak"] = f"""WITH {_CLIPPED} SELECT star, {s6('s2n')} AS grid_s2n, {s6('P')} AS grid_P, {s6('t0')} AS grid_t0, {s6('tdur')} AS grid_tdur FROM pg
+QUALIFY row_number() OVER (PARTITION BY star ORDER BY s2n DESC, P) = 1"""
+
+EDGES = [25.5, 26.0, 26.5, 27.0, 27.5, 28.0, 29.0]
+QUERIES["find_peaks"] = lambda spark, sf: search.find_peaks(clipped(spark, sf), "Pcad", "s2n", EDGES).select(
+    "star", "bin", r6("Pcad").alias("Pcad"), r6("s2n").alias("s2n")
+)
+SQL["find_peaks"] = f"""WITH {_CLIPPED}, b AS (SELECT *, {' + '.join(f'(pcad >= {e})::INT' for e in EDGES)} AS bin FROM pg),
+m AS (SELECT *, min(bin) OVER (PARTITION BY star) AS lo, max(bin) OVER (PARTITION BY star) AS hi FROM b)
+SELECT star, bin, {s6('pcad')} AS Pcad, {s6('s2n')} AS s2n FROM m WHERE bin > lo AND bin < hi QUALIFY row_number() OVER (PARTITION BY star, bin ORDER BY s2n DESC, pcad) = 1"""
+
+
+def likelihood(spark, sf):
+    p = search.search_likelihood(daily_injected(spark, sf), D1, D2, DTW)
+    return p.select(
+        "star", r6("Pcad").alias("Pcad"), "twd", "col", "nind", r6("s2n").alias("s2n"), r6("phic_same").alias("phic_same"), r6("mean").alias("mean"), r6("t0").alias("t0")
+    )
+
+
+QUERIES["search_likelihood"] = likelihood
+SQL["search_likelihood"] = f"""WITH {DAILY_INJECTED}, {box_depth_sql('di', 'bd', DTW)}, {indexed_sql('di', 'ix', 'f')}, {frac_sql(D1, D2, 'p', 'ix')},
+{_CAD.format(src='di')},
+g AS (SELECT star, pcad, twd, CAST(floor(i % pcad) AS BIGINT) AS col, sum(ivar) AS w, sum(ivar * depth) AS wd, sum(ivar * depth * depth) AS wdd, sum(dll) AS dll, count(*) AS nind
+   FROM bd JOIN ix USING (star, cad) JOIN p USING (star) WHERE good GROUP BY ALL),
+h AS (SELECT *, wd / w AS d2, dll - (wdd - wd / w * wd) * 0.5::DOUBLE - 0.5::DOUBLE * ln(1200) AS same, dll - nind * 0.5::DOUBLE * ln(1200) AS var FROM g),
+b AS (SELECT * FROM h WHERE d2 > 0 AND same > var AND nind >= 2 QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY same DESC, twd, col) = 1)
+SELECT star, {s6('pcad')} AS Pcad, twd, col, nind, {s6('d2 * sqrt(w)')} AS s2n, {s6('same')} AS phic_same, {s6('d2')} AS mean,
+ {s6('t_first + (col + twd // 2) * dt')} AS t0 FROM b JOIN cad USING (star)"""
+
+SERIES = {n: "daily" for n in QUERIES} | {n: "hourly" for n in ("best_epoch", "duration_period_epoch", "best_duration", "search_ffa")}

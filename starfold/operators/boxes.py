@@ -14,7 +14,7 @@ from starfold.operators import fold
 def box_sums(
     folded: DataFrame, keys: Sequence[str], n: Column, widths: Sequence[int], wrap: bool = True
 ) -> DataFrame:
-    """Count and sums of every box (start ``col``, ``width``) of a folded table, with the totals.
+    """Count and sums of every box (start ``col``, ``width``) of a folded table, and the total count N.
 
     Running sums over the (doubled, where boxes wrap) columns, then one difference per width.
     ``keys`` must hold the columns by which ``folded`` is partitioned.
@@ -25,19 +25,17 @@ def box_sums(
     at = F.explode(F.array(F.col("col"), F.col("col") + F.col("_n"))) if wrap else F.col("col").cast("long")
     x = x.withColumn("_at", at)
     x = x.withColumns({f"_r{c}": F.sum(c).over(run) for c in ("c", "s", "ss")})
-    x = x.withColumns(
-        {f"_t{c}": F.sum(F.when(F.col("_at") < F.col("_n"), F.col(c))).over(Window.partitionBy(*keys)) for c in ("c", "s", "ss")}
-    )
+    x = x.withColumn("_tc", F.sum(F.when(F.col("_at") < F.col("_n"), F.col("c"))).over(Window.partitionBy(*keys)))
     ahead = {k: {c: F.lead(f"_r{c}", k - 1).over(w) - F.col(f"_r{c}") + F.col(c) for c in ("c", "s", "ss")} for k in widths}
     x = x.withColumn(
         "_boxes",
         F.array(*[F.struct(F.lit(k).alias("width"), *[v.alias(c) for c, v in ahead[k].items()]) for k in widths]),
     )
     x = x.where(F.col("_at") < F.col("_n")).select(
-        *keys, "col", "_tc", "_ts", "_tss", "_n", F.explode("_boxes").alias("_b")
+        *keys, "col", "_tc", "_n", F.explode("_boxes").alias("_b")
     )
     return x.select(
-        *keys, "col", "_b.*", F.col("_tc").alias("N"), F.col("_ts").alias("S"), F.col("_tss").alias("SS"), "_n"
+        *keys, "col", "_b.*", F.col("_tc").alias("N"), "_n"
     ).where("c IS NOT NULL")
 
 
@@ -180,7 +178,7 @@ def bls_spectrum(
 def local_continuum(folded: DataFrame, keys: Sequence[str], n: Column, widths: Sequence[int]) -> DataFrame:
     """Per folded period the (width, epoch) with the largest depth below its two neighbouring boxes,
     in units of the scatter inside: depth/sigma*sqrt(n)."""
-    b = box_sums(folded, keys, n, widths).drop("N", "S", "SS")
+    b = box_sums(folded, keys, n, widths).drop("N")
     w = Window.partitionBy(*keys, "width").orderBy("_at")
     x = b.withColumn("m", stats.safe_div(F.col("s"), F.col("c")))
     x = x.withColumn(

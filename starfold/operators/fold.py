@@ -16,11 +16,17 @@ from pyspark.sql import functions as F
 from starfold.functions import frames, scalars
 from starfold.functions.frames import short_series, with_ends
 
-# Integer trial periods handled by one task, and cadences of one star handled by one task.
-PERIODS_PER_CHUNK = 2
+# Tasks per series for the trial periods of one fold, and cadences of one series in one task.
+CHUNKS_PER_SERIES = 32
 CADENCES_PER_BLOCK = 131_072
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """Number of partitions for rows that are multiplied after the exchange. Given explicitly, since
+    their size before it would make AQE merge them into too few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def with_index(df: DataFrame) -> DataFrame:
     """Position ``i`` from 0, series length ``ncad`` and first time ``t_first``."""
     if short_series():
@@ -136,7 +142,7 @@ def unit_periods(P: Column) -> Column:
 
 def spread_periods(
     df: DataFrame, p1: Column, p2: Column, expand: Callable[[Column], Column] | None = None,
-    keys: Sequence[str] = ("star",), chunk: int = PERIODS_PER_CHUNK,
+    keys: Sequence[str] = ("star",), chunks: int = CHUNKS_PER_SERIES,
 ) -> tuple[DataFrame, list[str]]:
     """Every row once per trial period in [p1, p2), with columns ``Pbase`` and ``Pcad``.
 
@@ -145,12 +151,14 @@ def spread_periods(
     """
     n = F.ceil(p2.cast("double") - p1.cast("double"))
     x = df.withColumns({"_p1": p1.cast("double"), "_np": n})
+    x = x.withColumn("_chunk", F.greatest(F.ceil(F.col("_np") / chunks), F.lit(1)))
+    chunk = F.col("_chunk")
     x = x.withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_np") - 1) / chunk))))
     by = [*keys, "pchunk"]
     if not short_series():
         x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
         by.append("pblock")
-    x = x.repartition(*by)
+    x = x.repartition(shuffle_width(df), *by)
     bases = F.transform(
         F.sequence(F.col("pchunk") * chunk, F.least(F.col("_np"), (F.col("pchunk") + 1) * chunk) - 1),
         lambda j: F.col("_p1") + j,
@@ -159,7 +167,7 @@ def spread_periods(
         x = x.withColumn("Pcad", F.explode(bases)).withColumn("Pbase", F.col("Pcad"))
     else:
         x = x.withColumn("Pbase", F.explode(bases)).withColumn("Pcad", F.explode(expand(F.col("Pbase"))))
-    return x.drop("_p1", "_np"), by
+    return x.drop("_p1", "_np", "_chunk"), by
 
 
 MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "first": F.first}
@@ -258,7 +266,7 @@ def fold_phase_bins(
     if not short_series():
         x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
         by.append("pblock")
-    x = x.repartition(*by)
+    x = x.repartition(shuffle_width(df), *by)
     x = x.select("*", F.posexplode("_f").alias("_k", "freq")).withColumn("jf", F.col("pchunk") * chunk + F.col("_k"))
     # The first row of a series also brings one empty entry per bin.
     slot = F.explode(F.when(F.col("i") == 0, F.sequence(F.lit(-1), F.lit(nb - 1))).otherwise(F.array(F.lit(-1))))
@@ -347,7 +355,7 @@ def fold_ffa(
     if block:
         x = x.withColumn("_blk", F.floor(F.col("row") / FFA_ROWS))
     x = x.select(*keys, "P0", *block, "k", "row", "col", *[F.col(f"_{s}").alias(s) for s in sums])
-    x = x.repartition("star", "P0", *block)
+    x = x.repartition(shuffle_width(df), "star", "P0", *block)
     names = list(sums)
     for s in range(1, stages + 1):
         inside = block if (1 << s) <= FFA_ROWS else []
