@@ -41,7 +41,7 @@ def bls(min_count):
     def run(spark, sf):
         p = boxes.search_bls(hourly_centred(spark, sf), P1, P2, 2, 6, min_count)
         return p.select(
-            "star", r6("Pcad").alias("Pcad"), "twd", "col", r6("s2n").alias("s2n"), r6("noise").alias("noise"), r6("mean").alias("mean"), r6("t0").alias("t0")
+            "star", r6("Pcad").alias("Pcad"), "twd", "col", r6("s2n").alias("s2n"), r6("noise").alias("noise"), r6(F.col("mean") / 7).alias("mean_7th"), r6("t0").alias("t0")
         )
 
     return run
@@ -52,7 +52,7 @@ def _bls_sql(floor):
 v AS (SELECT *, sqrt((c * ss - s * s) / nullif(c * (c - 1), 0)) / sqrt(c) AS noise FROM bx WHERE c > {floor} AND c > 1 AND c * ss - s * s > 0),
 b AS (SELECT *, -s / (c * noise) AS s2n FROM v WHERE -s / (c * noise) > -1 QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY -s / (c * noise) DESC, col, width) = 1),
 cad AS (SELECT star, min(t) AS t_first, (max(t) - min(t)) / (max(cad) - min(cad)) AS dt FROM hd GROUP BY star)
-SELECT star, {s6('pcad')} AS Pcad, width::INT AS twd, col, {s6('s2n')} AS s2n, {s6('noise')} AS noise, {s6('-s / c')} AS mean,
+SELECT star, {s6('pcad')} AS Pcad, width::INT AS twd, col, {s6('s2n')} AS s2n, {s6('noise')} AS noise, {s6('-s / c / 7')} AS mean_7th,
  {s6('t_first + (col + width // 2) * dt')} AS t0 FROM b JOIN cad USING (star)"""
 
 

@@ -174,13 +174,13 @@ def fold_ffa(spark, sf):
     d = windows.mean_depth(hourly_centred(spark, sf), (3,))
     x = fold.with_index(d).where("d IS NOT NULL")
     f = fold.fold_ffa(x, P1, P2, {"s": F.col("d"), "n": F.lit(1).cast("long")})
-    return f.select("star", "P0", "row", "col", "n", r6(F.try_divide("s", "n")).alias("mean"))
+    return f.select("star", "P0", "row", "col", "n", r6(F.try_divide("s", "n") / 7).alias("mean_7th"))
 
 
 QUERIES["fold_ffa"] = fold_ffa
 SQL["fold_ffa"] = f"""WITH {HOURLY_CENTRED}, {mean_depth_sql('hc', 'md', (3,))}, {indexed_sql('md', 'ix', 't, d')},
 {padded_sql('ix', 'pd', P1, P2, 'd', 'd IS NOT NULL')}, {ffa_sql('pd', 'ff', P1, P2, N_STAGES)}
-SELECT star, P0, row, col, CAST(n AS BIGINT) AS n, {s6('s / n')} AS mean FROM ff"""
+SELECT star, P0, row, col, CAST(n AS BIGINT) AS n, {s6('s / n / 7')} AS mean_7th FROM ff"""
 
 
 def fold_columns(spark, sf):

@@ -27,7 +27,7 @@ def best_epoch(spark, sf):
     x = fold.with_index(d).where("d IS NOT NULL")
     f = fold.fold_ffa(x, P1, P2, {"s": F.col("d"), "n": F.lit(1).cast("long")})
     return search.best_epoch(f, ["star", "P0", "Pcad"]).select(
-        "star", "P0", r6("Pcad").alias("Pcad"), r6("mean").alias("mean"), "count"
+        "star", "P0", r6("Pcad").alias("Pcad"), r6(F.col("mean") / 7).alias("mean_7th"), "count"
     )
 
 
@@ -41,13 +41,13 @@ be AS (SELECT star, twd, P0, pcad, s / n AS mean, col, n FROM ff QUALIFY row_num
 dpe AS (SELECT be.*, noise, mean / nullif(noise, 0) * sqrt(n) AS s2n, col * dt + t_first AS t0 FROM be JOIN ns USING (star, twd) JOIN cad USING (star))"""
 
 QUERIES["best_epoch"] = best_epoch
-SQL["best_epoch"] = f"""WITH {_FOLDED} SELECT star, P0, {s6('pcad')} AS Pcad, {s6('s / n')} AS mean, CAST(n AS BIGINT) AS count FROM ff WHERE twd = 3
+SQL["best_epoch"] = f"""WITH {_FOLDED} SELECT star, P0, {s6('pcad')} AS Pcad, {s6('s / n / 7')} AS mean_7th, CAST(n AS BIGINT) AS count FROM ff WHERE twd = 3
 QUALIFY row_number() OVER (PARTITION BY star, P0, pcad ORDER BY s / n DESC, col) = 1"""
 
 QUERIES["duration_period_epoch"] = lambda spark, sf: search.duration_period_epoch(hourly_centred(spark, sf), P1, P2, TWDS).select(
-    "star", "twd", r6("Pcad").alias("Pcad"), r6("mean").alias("mean"), "count", r6("s2n").alias("s2n"), r6("noise").alias("noise")
+    "star", "twd", r6("Pcad").alias("Pcad"), r6(F.col("mean") / 7).alias("mean_7th"), "count", r6("s2n").alias("s2n"), r6("noise").alias("noise")
 )
-SQL["duration_period_epoch"] = f"""WITH {_TDPEP} SELECT star, twd, {s6('pcad')} AS Pcad, {s6('mean')} AS mean, CAST(n AS BIGINT) AS count,
+SQL["duration_period_epoch"] = f"""WITH {_TDPEP} SELECT star, twd, {s6('pcad')} AS Pcad, {s6('mean / 7')} AS mean_7th, CAST(n AS BIGINT) AS count,
  {s6('s2n')} AS s2n, {s6('noise')} AS noise FROM dpe"""
 
 
@@ -61,9 +61,9 @@ SQL["best_duration"] = f"""WITH {_TDPEP} SELECT star, P0, {s6('pcad')} AS Pcad,
 QUALIFY row_number() OVER (PARTITION BY star, P0, pcad ORDER BY s2n DESC, twd) = 1"""
 
 QUERIES["search_ffa"] = lambda spark, sf: search.search_ffa(hourly_centred(spark, sf), P1, P2, TWDS).select(
-    "star", r6("Pcad").alias("Pcad"), "twd", r6("s2n").alias("s2n"), r6("t0").alias("t0"), r6("mean").alias("mean"), "count"
+    "star", r6("Pcad").alias("Pcad"), "twd", r6("s2n").alias("s2n"), r6("t0").alias("t0"), r6(F.col("mean") / 7).alias("mean_7th"), "count"
 )
-SQL["search_ffa"] = f"""WITH {_TDPEP} SELECT star, {s6('pcad')} AS Pcad, twd, {s6('s2n')} AS s2n, {s6('t0')} AS t0, {s6('mean')} AS mean, CAST(n AS BIGINT) AS count FROM dpe
+SQL["search_ffa"] = f"""WITH {_TDPEP} SELECT star, {s6('pcad')} AS Pcad, twd, {s6('s2n')} AS s2n, {s6('t0')} AS t0, {s6('mean / 7')} AS mean_7th, CAST(n AS BIGINT) AS count FROM dpe
 QUALIFY row_number() OVER (PARTITION BY star, P0, pcad ORDER BY s2n DESC, twd) = 1"""
 
 
@@ -92,12 +92,12 @@ def clipped(spark, sf):
 
 def _pgram(df):
     return df.select(
-        "star", r6("Pcad").alias("Pcad"), "twd", r6("s2n").alias("s2n"), "c", r6("mean").alias("mean"),
+        "star", r6("Pcad").alias("Pcad"), "twd", r6("s2n").alias("s2n"), "c", r6(F.col("mean") / F.col("noise")).alias("depth"),
         r6("t0").alias("t0"), r6("noise").alias("noise"), r6("P").alias("P"), r6("tdur").alias("tdur"),
     )
 
 
-_PG_COLS = f"""star, {s6('pcad')} AS Pcad, twd, {s6('s2n')} AS s2n, c, {s6('mean')} AS mean, {s6('t0')} AS t0, {s6('noise')} AS noise,
+_PG_COLS = f"""star, {s6('pcad')} AS Pcad, twd, {s6('s2n')} AS s2n, c, {s6('mean / noise')} AS depth, {s6('t0')} AS t0, {s6('noise')} AS noise,
  {s6('P')} AS P, {s6('tdur')} AS tdur"""
 QUERIES["search_clipped"] = lambda spark, sf: _pgram(clipped(spark, sf))
 SQL["search_clipped"] = f"WITH {_CLIPPED} SELECT {_PG_COLS} FROM pg"
@@ -138,7 +138,7 @@ SELECT star, bin, {s6('pcad')} AS Pcad, {s6('s2n')} AS s2n FROM m WHERE bin > lo
 def likelihood(spark, sf):
     p = search.search_likelihood(daily_injected(spark, sf), D1, D2, DTW)
     return p.select(
-        "star", r6("Pcad").alias("Pcad"), "twd", "col", "nind", r6("s2n").alias("s2n"), r6("phic_same").alias("phic_same"), r6("mean").alias("mean"), r6("t0").alias("t0")
+        "star", r6("Pcad").alias("Pcad"), "twd", "col", "nind", r6("s2n").alias("s2n"), r6("phic_same").alias("phic_same"), r6("t0").alias("t0")
     )
 
 
@@ -149,7 +149,7 @@ g AS (SELECT star, pcad, twd, CAST(floor(i % pcad) AS BIGINT) AS col, sum(ivar)
    FROM bd JOIN ix USING (star, cad) JOIN p USING (star) WHERE good GROUP BY ALL),
 h AS (SELECT *, wd / w AS d2, dll - (wdd - wd / w * wd) * 0.5::DOUBLE - 0.5::DOUBLE * ln(1200) AS same, dll - nind * 0.5::DOUBLE * ln(1200) AS var FROM g),
 b AS (SELECT * FROM h WHERE d2 > 0 AND same > var AND nind >= 2 QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY same DESC, twd, col) = 1)
-SELECT star, {s6('pcad')} AS Pcad, twd, col, nind, {s6('d2 * sqrt(w)')} AS s2n, {s6('same')} AS phic_same, {s6('d2')} AS mean,
+SELECT star, {s6('pcad')} AS Pcad, twd, col, nind, {s6('d2 * sqrt(w)')} AS s2n, {s6('same')} AS phic_same,
  {s6('t_first + (col + twd // 2) * dt')} AS t0 FROM b JOIN cad USING (star)"""
 
 SERIES = {n: "daily" for n in QUERIES} | {n: "hourly" for n in ("best_epoch", "duration_period_epoch", "best_duration", "search_ffa")}
