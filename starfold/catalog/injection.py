@@ -45,7 +45,7 @@ SELECT star, cad, {s6(f"CASE WHEN t > 310.7::DOUBLE * 2.25 AND t < 310.7::DOUBLE
 
 def model(spark, sf):
     d = fixtures.daily(spark, sf).select("star", "cad", "t", "f", "fmask")
-    cols = {"id": 1, "P": 27.1, "phase": 0.455, "p": 0.1, "tau": 3.0, "b": 0.4} | {f"a{i}": v for i, v in enumerate(SOLAR_LIMB, 1)}
+    cols = {"id": 1, "P": 27.1, "phase": 0.455, "rp": 0.1, "tau": 3.0, "b": 0.4} | {f"a{i}": v for i, v in enumerate(SOLAR_LIMB, 1)}
     p = d.select("star").distinct().select("star", *[F.lit(v).alias(k) for k, v in cols.items()])
     return inject.inject_model(d, p, 5, 1.0).select("star", "cad", r6("finj", 9).alias("finj"))
 

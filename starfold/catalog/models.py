@@ -156,7 +156,7 @@ SQL["choose_fit_input"] = f"""WITH {_BASE}, {_pfd('x0', 0)},
 m AS (SELECT *, min(tPF) OVER w - 0.001::DOUBLE AS lo, max(tPF) OVER w AS hi, greatest(round_even((max(tPF) OVER w - min(tPF) OVER w) / 0.5, 0), 1) AS nb FROM x0_f WINDOW w AS (PARTITION BY star)),
 b AS (SELECT *, CAST(ceil(round((tPF - lo) / (hi - lo) * nb, 9)) - 1 AS BIGINT) AS bin FROM m),
 s AS (SELECT star, any_value(lo + (bin + 0.5) * (hi - lo) / nb) AS t, median(f) AS f, stddev_samp(f) / sqrt(count(f)) AS ferr FROM b WHERE star <> 'R' GROUP BY star, bin HAVING stddev_samp(f) IS NOT NULL),
-l AS (SELECT star, tPF AS t, f, (f - lag(f) OVER (PARTITION BY star ORDER BY tPF, t)) * sqrt(2) AS df FROM x0_f WHERE star = 'R'),
+l AS (SELECT star, tPF AS t, f, (f - lag(f) OVER (PARTITION BY star ORDER BY round(tPF, 9), t)) * sqrt(2) AS df FROM x0_f WHERE star = 'R'),
 u AS (SELECT * FROM s UNION ALL SELECT star, t, f, stddev_pop(df) OVER (PARTITION BY star) FROM l)
 SELECT star, {s6('t')} AS t, {s6('f / 7123457e0')} AS f, {s6('ferr / 7123457e0')} AS ferr FROM u"""
 

@@ -58,14 +58,14 @@ def inject_single(lc: DataFrame, params: DataFrame, cadence: float = CADENCE_DAY
 
 
 def inject_model(lc: DataFrame, params: DataFrame, usamp: int = 11, cadence: float = CADENCE_DAYS) -> DataFrame:
-    """Add limb-darkened dips; ``params`` has star, id, P, phase, p, tau, b, a1..a4."""
+    """Add limb-darkened dips; ``params`` has star, id, P, phase, rp, tau, b, a1..a4."""
     first = lc.groupBy("star").agg(F.min("t").alias("_t1"))
-    x = lc.join(params.select("star", "id", "P", "phase", "p", "tau", "b", "a1", "a2", "a3", "a4").join(first, "star"), "star")
+    x = lc.join(params.select("star", "id", "P", "phase", "rp", "tau", "b", "a1", "a2", "a3", "a4").join(first, "star"), "star")
     epoch = F.col("phase") * F.col("P")
     ts = F.col("t") - epoch - F.ceil((F.col("_t1") - epoch) / F.col("P")) * F.col("P")
     tpf = F.pmod(ts + F.col("P") / 2, F.col("P")) - F.col("P") / 2
     dip = models.transit(
-        tpf, F.col("p"), F.col("tau"), F.col("b"), tuple(F.col(f"a{i}") for i in range(1, 5)), usamp, cadence
+        tpf, F.col("rp"), F.col("tau"), F.col("b"), tuple(F.col(f"a{i}") for i in range(1, 5)), usamp, cadence
     )
     return x.withColumns({"finj": dip, "f": F.col("f") + dip}).select(*lc.columns, "id", "finj")
 
