@@ -1 +1,175 @@
+"""Queries: whole stages and fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from starfold.catalog.base import INJECTED_DEPTH, daily_dense, daily_injected, hourly_dense, r6
+from starfold.catalog.cotrending import relative
+from starfold.operators import clean, fit, search, validate
+from starfold.plans import stages
+from starfold.sources import fixtures
+
 QUERIES, SQL = {}, {}
+C = F.col
+
+TRUE = {"P": 27.0, "t0": 12.0, "tdur": 3.0}
+
+
+def peaks(spark, sf):
+    s = fixtures.read(spark, sf, "lineitem").select(C("l_returnflag").alias("star")).distinct()
+    return s.select("star", *[F.lit(v).alias(k) for k, v in TRUE.items()], F.lit(0.01).alias("mean"))
+
+
+def small(spark, sf):
+    """The injected series scaled to a dip of one percent."""
+    return daily_injected(spark, sf).withColumn("f", C("f") / (INJECTED_DEPTH * 100))
+
+
+def grid_search(spark, sf):
+    pg, peak = stages.grid_search(clean.preprocess(hourly_dense(spark, sf)))
+    n = pg.groupBy("star").agg(F.count(F.lit(1)).alias("rows"))
+    return peak.join(n, "star").select("star", "rows", r6("grid_P").alias("grid_P"), r6("grid_s2n").alias("grid_s2n"), r6("grid_t0").alias("grid_t0"), r6("grid_tdur").alias("grid_tdur"))
+
+
+QUERIES["grid_search"] = grid_search
+
+
+def multi_search(spark, sf):
+    once = lambda lc: search.peak(search.search_clipped(stages.centre(lc), 24, 30, (2, 3)))
+    c = stages.multi_search(daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask"), once, 8.0, 3)
+    return c.select("star", "candidate", r6("s2n").alias("s2n"), r6("P").alias("P"), r6("t0").alias("t0"), r6("tdur").alias("tdur"))
+
+
+QUERIES["multi_search"] = multi_search
+
+
+def secondary(spark, sf):
+    d = daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask")
+    return stages.secondary_eclipse_search(d, peaks(spark, sf)).select("star", *[r6(c).alias(c) for c in ("se_s2n", "se_t0", "se_phase")])
+
+
+QUERIES["secondary_eclipse_search"] = secondary
+
+
+def cut(spark, sf):
+    d = daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask")
+    return stages.cut_search(d, peaks(spark, sf), 3).select("star", r6("s2ncut").alias("s2ncut"), r6("s2ncut_t0").alias("s2ncut_t0"))
+
+
+QUERIES["cut_search"] = cut
+
+
+def secondary_fold(spark, sf):
+    d = daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask")
+    p = peaks(spark, sf)
+    curve, off = stages.secondary_fold(d, p, stages.cut_search(d, p, 3), cadence=1.0)
+    n = curve.groupBy("star").agg(F.count(F.lit(1)).alias("n"))
+    return off.join(n, "star").select("star", "n", r6("t0shft_se").alias("t0shft_se"), r6("ph_se").alias("ph_se"))
+
+
+QUERIES["secondary_fold"] = secondary_fold
+
+MODEL = fit.ephemeris_model(4, 1.0)
+
+
+def _fits(spark, sf, rounds=2):
+    return fit.fit_constant_ephemeris(small(spark, sf), peaks(spark, sf), rounds, MODEL)
+
+
+def constant_ephemeris(spark, sf):
+    f, _ = _fits(spark, sf, 3)
+    return f.select("star", *[r6(c).alias(c) for c in ("P", "uP", "t0", "ut0", "rp", "urp", "tdur", "utdur", "b", "ub", "rchisq")])
+
+
+QUERIES["fit_constant_ephemeris"] = constant_ephemeris
+
+
+def each_transit(spark, sf):
+    f, dt = _fits(spark, sf)
+    return fit.fit_each_transit(dt, f, 2, MODEL).select("star", "transit_id", *[r6(c).alias(c) for c in ("t0", "ut0", "rp", "urp", "omc")])
+
+
+QUERIES["fit_each_transit"] = each_transit
+
+
+def curve(spark, sf):
+    f, _ = _fits(spark, sf)
+    return fit.best_fit_curve(small(spark, sf), f, 4, MODEL).select("star", r6("t").alias("t"), r6("f", 9).alias("f"), r6("phase").alias("phase"), "cycle")
+
+
+QUERIES["best_fit_curve"] = curve
+
+
+def _folded(spark, sf):
+    p = peaks(spark, sf)
+    x = validate.phase_fold_detrended(small(spark, sf), p, cadence=0.0)
+    return fit.choose_fit_input(x, p, minutes=720.0).withColumns({"t": C("t") / 10}), p.select(
+        "star", F.lit(0.1).alias("p"), F.lit(0.15).alias("tau"), F.lit(0.3).alias("b"), F.lit(0.0).alias("dt")
+    )
+
+
+SHAPE = fit.shape_model(usamp=5, cadence=0.1)
+
+
+def register(spark, sf):
+    d, p = _folded(spark, sf)
+    return fit.register(d, p, 0.1, 3, SHAPE).select("star", r6("dt").alias("dt"), r6("chi2").alias("chi2"))
+
+
+QUERIES["register"] = register
+
+
+def shape(spark, sf):
+    d, p = _folded(spark, sf)
+    return fit.fit_shape(d, p, 2, model=SHAPE).select("star", *[r6(c).alias(c) for c in ("p", "tau", "b", "chi2")], "n")
+
+
+QUERIES["fit_shape"] = shape
+
+
+def percentiles(spark, sf):
+    d, p = _folded(spark, sf)
+    from starfold.session import cut_lineage
+
+    d = cut_lineage(d)
+    q, bands = fit.posterior_percentiles(d, cut_lineage(fit.fit_shape(d, p, 2, model=SHAPE)), 7, model=SHAPE)
+    n = bands.groupBy("star").agg(F.count(F.lit(1)).alias("n_band"), r6(F.avg(C("hi") - C("lo")), 9).alias("band"))
+    t = fit.report_units(q)
+    return q.join(t, ["star", "par"]).join(n, "star").select("star", "par", *[r6(c).alias(c) for c in ("q15", "q50", "q85", "med", "sig")], "value", "error", "n_band", "band")
+
+
+QUERIES["posterior_percentiles"] = percentiles
+
+
+def inject_recover(spark, sf):
+    d = daily_dense(spark, sf).select("star", "cad", "t", "f", "fmask")
+    s = d.select("star").distinct()
+    p = s.select("star", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.lit(P).alias("P"), F.lit(df).alias("df")) for i, (P, df) in enumerate([(27.1, 4e13), (33.7, 2e13)])])).alias("_e"))
+    p = p.select("star", F.concat_ws("-", "star", C("_e.n").cast("string")).alias("id"), C("_e.P").alias("P"), F.lit(0.4).alias("phase"), C("_e.df").alias("df"), F.lit(3.0).alias("tdur"))
+    r = stages.recovered(stages.inject_recover(d, p, (2, 3), 3.0, 1.0))
+    return r.select("star", "id", "P", r6("grid_P").alias("grid_P"), r6("grid_s2n").alias("grid_s2n"), "num_trans", r6("clip_snr").alias("clip_snr"), "bg")
+
+
+QUERIES["inject_recover"] = inject_recover
+
+
+def splice(spark, sf):
+    d = daily_injected(spark, sf)
+    full = search.search_clipped(d, 24, 29, (3,))
+    narrow = search.search_clipped(d, 26, 27, (2, 3))
+    x = stages.splice_periodogram(full, narrow)
+    return x.groupBy("star", "twd").agg(F.count(F.lit(1)).alias("n"), r6(F.max("s2n")).alias("s2n"))
+
+
+QUERIES["splice_periodogram"] = splice
+
+
+def calibrate_stage(spark, sf):
+    cal, _ = stages.calibrate_ensemble(relative(spark, sf).drop("quarter", "quality"), 2, "PCA", 20, 200.0)
+    return cal.groupBy("star").agg(F.count_if("inlier").alias("n_inlier"), F.count_if("cr").alias("n_cr"), r6(F.stddev_pop("fcal")).alias("sd"))
+
+
+QUERIES["calibrate_ensemble"] = calibrate_stage
+
+SERIES = {n: "daily" for n in QUERIES} | {"grid_search": "hourly", "calibrate_ensemble": "ensemble"}

@@ -102,6 +102,17 @@ def with_medians(
     return df.join(group_medians(df, keys, cols), list(keys), "left")
 
 
+def agg_with_medians(
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], cols: Mapping[str, Column], per_series: bool = False
+) -> DataFrame:
+    """Ordinary aggregates together with exact medians per group."""
+    if per_series and short_series():
+        return df.groupBy(*keys).agg(
+            *aggs, *[F.percentile(nan_to_null(c.cast("double")), 0.5).alias(n) for n, c in cols.items()]
+        )
+    return df.groupBy(*keys).agg(*aggs).join(group_medians(df, keys, cols), list(keys), "left")
+
+
 def top_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """The row with the largest ``order`` tuple per group, by a mergeable struct maximum."""
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])

@@ -59,14 +59,15 @@ def bin_phasefold(df: DataFrame, spans: DataFrame) -> DataFrame:
     """
     x = df.where(valid()).join(spans, "star")
     x = x.withColumn("bin", bin_index(F.col("t_phasefold"), F.col("lo"), F.col("hi"), F.col("nbins"))).where("bin IS NOT NULL")
-    g = x.groupBy("star", "bin").agg(
-        F.count("f").alias("fcount"), F.avg("f").alias("fmean"), F.stddev_samp("f").alias("fstd")
+    g = stats.agg_with_medians(
+        x, ["star", "bin"],
+        [F.count("f").alias("fcount"), F.avg("f").alias("fmean"), F.stddev_samp("f").alias("fstd")],
+        {"fmed": F.col("f")}, per_series=True,
     )
-    m = stats.group_medians(x, ["star", "bin"], {"fmed": F.col("f")}, per_series=True)
     spine = spans.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nbins").cast("long") - 1)))
     step = (F.col("hi") - F.col("lo")) / F.col("nbins")
     spine = spine.select("star", "bin", (F.col("lo") + (F.col("bin") + 0.5) * step).alias("t_phasefold"))
-    out = spine.join(g, ["star", "bin"], "left").join(m, ["star", "bin"], "left")
+    out = spine.join(g, ["star", "bin"], "left")
     return out.withColumns(
         {
             "fcount": F.coalesce("fcount", F.lit(0)),
@@ -130,20 +131,28 @@ def local_detrend(
     the transit middle; another origin gives the same curve.
     """
     x = label_transit(df.where(valid()), candidates, cpad, cfrac, widen).where("transit_id >= 0")
-    k = poly_degree + 1
-    basis = [F.when(F.col("continuum") == 1, F.pow("u", F.lit(float(j)))) for j in range(k)]
+    basis = [F.when(F.col("continuum") == 1, F.pow("u", F.lit(float(j)))) for j in range(poly_degree + 1)]
     up, rhs = linalg.normal_sums(basis, F.col("f"))
-    g = x.groupBy("star", "transit_id").agg(
-        F.sum("continuum_before").alias("_nb"), F.sum("continuum_after").alias("_na"), *up, *rhs
-    ).where((F.col("_nb") > min_continuum) & (F.col("_na") > min_continuum))
+    counts = {"_nb": F.sum("continuum_before"), "_na": F.sum("continuum_after")}
+    enough = (F.col("_nb") > min_continuum) & (F.col("_na") > min_continuum)
+    trend = F.aggregate(F.reverse("_c"), F.lit(0.0), lambda acc, c: acc * F.col("u") + c)
+    n, s1, s2, t0, t1 = (F.col(c) for c in ("_a0_0", "_a0_1", "_a1_1", "_b0", "_b1"))
+    slope = stats.safe_div(n * t1 - s1 * t0, n * s2 - s1 * s1)
+    line = F.array((t0 - slope * s1) / n, slope)
+    if poly_degree == 1 and short_series():
+        w = Window.partitionBy("star", "transit_id")
+        u, f = (F.when(F.col("continuum") == 1, F.col(c)) for c in ("u", "f"))
+        sums = {
+            "_a0_0": F.count(u), "_a0_1": F.sum(u), "_a1_1": F.sum(u * u), "_b0": F.sum(f), "_b1": F.sum(u * f), **counts,
+        }
+        x = x.withColumns({k: c.over(w) for k, c in sums.items()}).where(enough).withColumn("_c", line)
+        return x.withColumn("f", F.col("f") - trend).drop("_c", *sums)
+    g = x.groupBy("star", "transit_id").agg(*[c.alias(k) for k, c in counts.items()], *up, *rhs).where(enough)
     if poly_degree == 1:
-        n, s1, s2, t0, t1 = (F.col(c) for c in ("_a0_0", "_a0_1", "_a1_1", "_b0", "_b1"))
-        slope = stats.safe_div(n * t1 - s1 * t0, n * s2 - s1 * s1)
-        g = g.withColumn("_c", F.array((t0 - slope * s1) / n, slope))
+        g = g.withColumn("_c", line)
     else:
-        g = g.withColumn("_c", linalg.solve_normal(*linalg.symmetric(k)))
+        g = g.withColumn("_c", linalg.solve_normal(*linalg.symmetric(poly_degree + 1)))
     x = x.join(g.select("star", "transit_id", "_c"), ["star", "transit_id"])
-    trend = F.aggregate(F.reverse("_c"), F.lit(0.0), lambda acc, c: acc * F.col("u") + c)
     return x.withColumn("f", F.col("f") - trend).drop("_c")
 
 
@@ -153,10 +162,8 @@ def phase_fold_detrended(
 ) -> DataFrame:
     """Locally detrended points by time from mid-transit (``tPF``, one cadence added), at any phase."""
     cand = candidates.withColumn("t0", F.col("t0") + F.col("P") * (phase_deg / 360.0))
-    first = df.groupBy("star").agg(F.min("t").alias("t_first"))
-    x = local_detrend(df, cand, degree, min_continuum, cpad, cfrac).join(first, "star")
-    ts = F.col("t") + t0_shift(F.col("t_first"), F.col("P"), F.col("t0"))
-    tpf = F.pmod(ts + F.col("P") / 2, F.col("P")) - F.col("P") / 2
+    x = local_detrend(df, cand, degree, min_continuum, cpad, cfrac)
+    tpf = F.pmod(F.col("t") - F.col("t0") + F.col("P") / 2, F.col("P")) - F.col("P") / 2
     return x.where("f IS NOT NULL").select("star", (tpf + cadence).alias("tPF"), "f", "t")
 
 
@@ -201,18 +208,22 @@ def robust_snr(ses: DataFrame, noise: DataFrame) -> DataFrame:
 def bin_folded(folded: DataFrame, minutes: float) -> DataFrame:
     """Fixed-width bins of a folded curve (``tPF``, ``f``): count, mean, std, med and centre ``tb``.
     Bins with fewer than two points are dropped."""
-    lim = folded.groupBy("star").agg(F.min("tPF").alias("_lo"), F.max("tPF").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    lim = lim.where("_n >= 2").withColumns(
-        {"nb": F.greatest(F.rint((F.col("_hi") - F.col("_lo")) / (minutes / 1440.0)), F.lit(1.0)), "lo": F.col("_lo") - 0.001}
-    )
-    x = folded.join(lim.select("star", "lo", F.col("_hi").alias("hi"), "nb"), "star")
+    lims = {"_lo": F.min("tPF"), "hi": F.max("tPF"), "_n": F.count(F.lit(1))}
+    if short_series():
+        w = Window.partitionBy("star")
+        x = folded.withColumns({n: c.over(w) for n, c in lims.items()})
+    else:
+        x = folded.join(folded.groupBy("star").agg(*[c.alias(n) for n, c in lims.items()]), "star")
+    nb = F.greatest(F.rint((F.col("hi") - F.col("_lo")) / (minutes / 1440.0)), F.lit(1.0))
+    x = x.where("_n >= 2").withColumns({"nb": nb, "lo": F.col("_lo") - 0.001})
     x = x.withColumn("bin", bin_index(F.col("tPF"), F.col("lo"), F.col("hi"), F.col("nb"))).where("bin IS NOT NULL")
-    g = x.groupBy("star", "bin").agg(
-        F.count("f").alias("count"), F.avg("f").alias("mean"), F.stddev_samp("f").alias("std"),
-        F.first(F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / F.col("nb")).alias("tb"),
+    centre = F.first(F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / F.col("nb"))
+    g = stats.agg_with_medians(
+        x, ["star", "bin"],
+        [F.count("f").alias("count"), F.avg("f").alias("mean"), F.stddev_samp("f").alias("std"), centre.alias("tb")],
+        {"med": F.col("f")}, per_series=True,
     )
-    m = stats.group_medians(x, ["star", "bin"], {"med": F.col("f")}, per_series=True)
-    return g.where("std IS NOT NULL").join(m, ["star", "bin"])
+    return g.where("std IS NOT NULL")
 
 
 def norm_by_median_filter(df: DataFrame, candidates: DataFrame, tdurcad: int, per_tdur: Sequence[int] = (1, 5)) -> DataFrame:

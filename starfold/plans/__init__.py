@@ -1 +1 @@
-
+"""Stages composed of operators."""
