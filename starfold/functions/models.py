@@ -75,9 +75,10 @@ def occult_small(z, p, climb=SOLAR_LIMB) -> Column:
     zi = F.when((z < one - p) & (z != 0), z)
     s1 = F.sqrt(F.sqrt(F.greatest(one - (zi - p) * (zi - p), F.lit(0.0))))
     s2 = F.sqrt(F.sqrt(F.greatest(one - (zi + p) * (zi + p), F.lit(0.0))))
-    s15, s25 = s1 * s1 * s1 * s1 * s1, s2 * s2 * s2 * s2 * s2
+    s15, s25 = F.pow(s1, F.lit(5.0)), F.pow(s2, F.lit(5.0))
+    s16, s26 = F.pow(s1, F.lit(6.0)), F.pow(s2, F.lit(6.0))
     shade = (
-        one - c1 * (one + F.try_divide((s25 - s15) / 5, p * zi)) - c2 * (one + F.try_divide((s25 * s2 - s15 * s1) / 6, p * zi))
+        one - c1 * (one + F.try_divide((s25 - s15) / 5, p * zi)) - c2 * (one + F.try_divide((s26 - s16) / 6, p * zi))
         - c3 * (one + F.try_divide(F.pow(s2, F.lit(7.0)) - F.pow(s1, F.lit(7.0)), p * zi * 7)) - c4 * (p * p + zi * zi)
     )
     inside = one - p * p * shade * math.pi / norm
@@ -85,21 +86,28 @@ def occult_small(z, p, climb=SOLAR_LIMB) -> Column:
     return F.when(z == 0, centre).when(on_edge, edge).when(z < one - p, inside).otherwise(1.0)
 
 
+def bind(values: dict[str, Column], body) -> Column:
+    """``body`` over named values that are evaluated once, however often it mentions them."""
+    one = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(one, lambda s: body({k: s[k] for k in values})), F.lit(0))
+
+
 def transit(t, p, tau, b, climb=SOLAR_LIMB, usamp: int = 11, cadence=CADENCE_DAYS) -> Column:
     """``occult_small`` along a straight crossing with time scale ``tau`` and impact ``b``, averaged
     over ``usamp`` moments of the exposure; 0 out of transit."""
-    t, tau, b, lc = _c(t), _c(tau), _c(b), _c(cadence)
-
-    def at(tt):
-        u = tt / tau
-        return occult_small(F.sqrt(u * u + b * b), p, climb)
-
-    if usamp < 2:
-        return at(t) - 1.0
-    total = at(t - lc / 2)
-    for j in range(1, usamp):
-        total = total + at(t - lc / 2 + lc * (j / (usamp - 1)))
-    return total / usamp - 1.0
+    lc = _c(cadence)
+    offsets = [0.0] if usamp < 2 else [j / (usamp - 1) - 0.5 for j in range(usamp)]
+    given = {"t": _c(t), "p": _c(p), "tau": _c(tau), "b": _c(b)} | {f"c{i}": _c(c) for i, c in enumerate(climb)}
+
+    def body(v):
+        limb = tuple(v[f"c{i}"] for i in range(4))
+        dist = F.transform(
+            F.array(*[(v["t"] + lc * o) / v["tau"] for o in offsets]), lambda u: F.sqrt(u * u + v["b"] * v["b"])
+        )
+        total = F.aggregate(dist, F.lit(0.0), lambda s, z: s + occult_small(z, v["p"], limb))
+        return total / len(offsets) - 1.0
+
+    return bind(given, body)
 
 
 def scaled_axis(P, t14, rp, b, b_squared: bool = False) -> Column:

@@ -16,6 +16,7 @@ from starfold.functions import models, stats
 from starfold.functions.frames import scan, short_series
 from starfold.functions.scalars import CADENCE_DAYS
 from starfold.operators import validate
+from starfold.operators.fold import shuffle_width
 from starfold.session import cut_lineage
 
 Model = Callable[[Column, Mapping[str, Column]], Column]
@@ -83,7 +84,9 @@ def grid_fit(
     the grid of every axis group in turn around the best values so far; steps shrink after a round.
     Returns parameters, ``chi2``, ``n`` and errors (``u`` + name) from a rise of chi-square by 1.
     """
+    # Written once for all rounds, and spread by row: each row is multiplied by its trials.
     x = data.where(F.col("f").isNotNull() & (F.col("ferr") > 0) & F.col("t").isNotNull())
+    x = cut_lineage(x.select(*keys, "t", "f", "ferr").repartition(shuffle_width(data), *keys, "t"))
     meta = [f"{n}_{s}" for n in names for s in ("step", "min", "max")]
     state = cut_lineage(start.select(*keys, *names, *meta))
     for r in range(rounds):
@@ -135,9 +138,10 @@ def fit_constant_ephemeris(
     sig = dt.groupBy("star").agg(
         F.stddev_samp(F.when(F.col("continuum") == 1, F.col("f"))).alias("_sig"), F.max("t").alias("_b"), F.min("t").alias("_a")
     )
-    dt = cut_lineage(
+    dt = (
         dt.join(sig.select("star", "_sig"), "star").withColumn("ferr", F.col("_sig")).select("star", "cad", "t", "f", "ferr", "transit_id", "transit", "continuum")
     )
+    dt = cut_lineage(dt.repartition(shuffle_width(lc), "star", "cad"))
     p = peaks.join(sig, "star").withColumns(
         {"rp": F.sqrt(F.greatest("mean", F.lit(1e-12))), "b": F.lit(0.5), "_nt": stats.safe_div(F.col("_b") - F.col("_a"), F.col("P"))}
     )
