@@ -56,7 +56,7 @@ def chi2_of(
     x = x.select(*keys, "t", "f", "ferr", F.explode("_g").alias("_p"))
     p = {n: F.col(f"_p.{n}") for n in names}
     r = (F.col("f") - model(F.col("t"), p)) / F.col("ferr")
-    return x.withColumn("_r2", r * r).groupBy(*keys, *[F.col(f"_p.{n}").alias(n) for n in names], F.col("_p._id").alias("_id")).agg(
+    return x.withColumn("_r2", F.pow(r, F.lit(2.0))).groupBy(*keys, *[F.col(f"_p.{n}").alias(n) for n in names], F.col("_p._id").alias("_id")).agg(
         F.sum("_r2").alias("chi2"), F.count("_r2").alias("n")
     )
 
@@ -265,7 +265,7 @@ def posterior_percentiles(
     grid = g.select("star", "dt", "p", "tau", F.explode("_xb").alias("b"))
     x = data.where(F.col("f").isNotNull() & (F.col("ferr") > 0)).select("star", "t", "f", "ferr").join(grid, "star")
     r = (F.col("f") - model(F.col("t"), {c: F.col(c) for c in SHAPE})) / F.col("ferr")
-    chi = x.withColumn("_r2", r * r).groupBy("star", *SHAPE).agg(F.sum("_r2").alias("chi2"))
+    chi = x.withColumn("_r2", F.pow(r, F.lit(2.0))).groupBy("star", *SHAPE).agg(F.sum("_r2").alias("chi2"))
     w = Window.partitionBy("star")
     wt = cut_lineage(chi.withColumn("w", F.exp((F.min("chi2").over(w) - F.col("chi2")) * 0.5)))
     long = wt.select("star", F.explode(F.array(*[F.struct(F.lit(n).alias("par"), F.col(n).alias("v")) for n in ("p", "tau", "b")])).alias("_e"), "w")
