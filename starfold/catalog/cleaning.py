@@ -273,6 +273,25 @@ QUERIES["preprocess"] = lambda spark, sf: clean.preprocess(hourly_dense(spark, s
 SQL["preprocess"] = f"""WITH {HOURLY_CENTRED}, {outlier_sql('hc', 'o', (-1000.0, 5.0), 'constant')}
 SELECT o.star, o.cad, hd.f, o.fmask OR o.is_outlier OR hd.f IS NULL AS fmask, o.is_outlier FROM o JOIN hd ON hd.star = o.star AND hd.cad = o.cad"""
 
+
+
+def noisy(spark, sf):
+    """Single-event depths of the gappy series, every third stretch of 120 cadences amplified."""
+    from starfold.operators import windows
+
+    g = gappy(spark, sf).withColumn("f", F.when(~F.col("fmask"), F.col("f") * F.when(F.floor(F.col("cad") / 120) % 3 == 1, 5.0).otherwise(1.0)))
+    return clean.mask_noisy_segments(windows.mean_depth(g, (3,)), "d", 24).select("star", "cad", "is_noisy")
+
+
+QUERIES["mask_noisy_segments"] = noisy
+from starfold.catalog.windows import mean_depth_sql  # noqa: E402
+
+SQL["mask_noisy_segments"] = f"""WITH {_GAPPY}, gn AS (SELECT * REPLACE (CASE WHEN NOT fmask THEN f * CASE WHEN floor(cad / 120) % 3 = 1 THEN 5 ELSE 1 END END AS f) FROM gp),
+{mean_depth_sql('(SELECT * REPLACE (fmask OR f IS NULL AS fmask) FROM gn)', 'md', (3,))}, {segment_sql('md', 'sl', 'd IS NOT NULL', 24)},
+m AS (SELECT star, segment, median(abs(d)) AS mad FROM sl WHERE segment IS NOT NULL GROUP BY star, segment),
+b AS (SELECT star, segment, mad > 2 * median(mad) OVER (PARTITION BY star) AS bad FROM m)
+SELECT sl.star, sl.cad, coalesce(bad, false) AS is_noisy FROM sl LEFT JOIN b ON b.star = sl.star AND b.segment = sl.segment"""
+
 QUERIES["mean_of_bins"] = lambda spark, sf: clean.mean_of_bins(hourly_dense(spark, sf), 8).select("star", "bin", r6("x").alias("x"), r6("y").alias("y"))
 SQL["mean_of_bins"] = f"""WITH {HOURLY_DENSE} SELECT star, CAST(floor((cad - a) / 8) AS BIGINT) AS bin, {s6('min(t)')} AS x, {s6('avg(f)')} AS y
 FROM (SELECT *, min(cad) OVER (PARTITION BY star) AS a FROM hd) GROUP BY 1, 2 HAVING avg(f) IS NOT NULL"""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starfold.catalog.base import INJECTED_DEPTH, daily_dense, daily_injected, hourly_dense, r6
+from starfold.catalog.base import DAILY_INJECTED, INJECTED_DEPTH, daily_dense, daily_injected, hourly_dense, r6, s6
 from starfold.catalog.cotrending import relative
+from starfold.catalog.searching import clipped_sql
 from starfold.operators import clean, fit, search, validate
 from starfold.plans import stages
 from starfold.sources import fixtures
@@ -163,6 +164,10 @@ def splice(spark, sf):
 
 
 QUERIES["splice_periodogram"] = splice
+SQL["splice_periodogram"] = f"""WITH {DAILY_INJECTED}, {clipped_sql(None, 'di', 'a', 24, 29, (3,))}, {clipped_sql(None, 'di', 'b', 26, 27, (2, 3))},
+l AS (SELECT star, min(pcad) AS lo, max(pcad) AS hi FROM b GROUP BY star),
+u AS (SELECT a.* FROM a LEFT JOIN l USING (star) WHERE lo IS NULL OR pcad < lo OR pcad > hi UNION ALL SELECT * FROM b)
+SELECT star, twd, count(*) AS n, {s6('max(s2n)')} AS s2n FROM u GROUP BY star, twd"""
 
 
 def calibrate_stage(spark, sf):
