@@ -253,11 +253,13 @@ def histogram_bin(x: Column, lo: Column, hi: Column, nbins: Column) -> Column:
 
 
 def hist_bin_avg(
-    df: DataFrame, x: str, y: str, lo: float, hi: float, nbins: int, keys: Sequence[str] = ("star",), how=F.avg
+    df: DataFrame, x: str, y: str, lo: float, hi: float, nbins: int, keys: Sequence[str] = ("star",), **hows
 ) -> DataFrame:
-    """Aggregate of y per even x bin and the bin centre."""
+    """Mean of y per even x bin and the bin centre ``x``; ``hows`` adds further aggregates of y by name."""
     b = histogram_bin(F.col(x), F.lit(float(lo)), F.lit(float(hi)), F.lit(nbins))
-    g = df.withColumn("bin", b).where("bin IS NOT NULL").groupBy(*keys, "bin").agg(how(y).alias("y"))
+    g = df.withColumn("bin", b).where("bin IS NOT NULL").groupBy(*keys, "bin").agg(
+        F.avg(y).alias("y"), *[how(y).alias(n) for n, how in hows.items()]
+    )
     return g.withColumn("x", F.lit(float(lo)) + (F.col("bin") + 0.5) * ((hi - lo) / nbins))
 
 
