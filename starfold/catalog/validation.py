@@ -171,7 +171,7 @@ QUERIES["single_event_table"] = single_events
 SQL["single_event_table"] = f"""WITH {_SES}
 SELECT star, tnum, t, {s6('ses / 7123457e0')} AS ses, count(*) OVER (PARTITION BY star) AS num_trans,
  {s6('median(CASE WHEN tnum % 2 = 0 THEN ses END) OVER (PARTITION BY star) / 7123457e0')} AS ses_even,
- {s6('median(CASE WHEN tnum % 2 = 1 THEN ses END) OVER (PARTITION BY star) / 7123457e0')} AS ses_odd, -99 AS ses_0 FROM ses"""
+ {s6('median(CASE WHEN tnum % 2 = 1 THEN ses END) OVER (PARTITION BY star) / 7123457e0')} AS ses_odd, -99::DOUBLE AS ses_0 FROM ses"""
 
 
 def robust_snr(spark, sf):
