@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from starfold.llm.embedding_dedup import op1_embedding_dedup
+from starfold.llm.mixing import OP2_SQL, op2_mixing
+from starfold.llm.packing import op9_packing
+from starfold.llm.quality_classifier import op10_quality_classifier
+from starfold.llm.quality_rules import OP4_SQL, op4_quality_rules
+from starfold.llm.sharding import op8_sharding
 from starfold.llm.simhash_dedup import op3_simhash_dedup
+from starfold.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
-    "op1_embedding_dedup": op1_embedding_dedup,
-    "op3_simhash_dedup": op3_simhash_dedup,
+    f.__name__: f
+    for f in (
+        op1_embedding_dedup,
+        op2_mixing,
+        op3_simhash_dedup,
+        op4_quality_rules,
+        op6_url_filter,
+        op8_sharding,
+        op9_packing,
+        op10_quality_classifier,
+    )
 }
-SQL: dict[str, str] = {}
+SQL = {"op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_filter": OP6_SQL}

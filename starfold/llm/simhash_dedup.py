@@ -49,9 +49,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"], "fp": fp})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "id long, fp long"
-    )
+    # Ids pass through pandas as text, which a null does not turn into floating point.
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "id string, fp long").withColumn("id", F.col("id").cast("long"))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
