@@ -5,6 +5,7 @@ from __future__ import annotations
 from starfold.llm.embedding_dedup import op1_embedding_dedup
 from starfold.llm.mixing import OP2_SQL, op2_mixing
 from starfold.llm.packing import op9_packing
+from starfold.llm.pii import op5_pii
 from starfold.llm.quality_classifier import op10_quality_classifier
 from starfold.llm.quality_rules import OP4_SQL, op4_quality_rules
 from starfold.llm.sharding import op8_sharding
@@ -18,6 +19,7 @@ QUERIES = {
         op2_mixing,
         op3_simhash_dedup,
         op4_quality_rules,
+        op5_pii,
         op6_url_filter,
         op8_sharding,
         op9_packing,
