@@ -10,6 +10,7 @@ from starfold.llm.quality_classifier import op10_quality_classifier
 from starfold.llm.quality_rules import OP4_SQL, op4_quality_rules
 from starfold.llm.sharding import op8_sharding
 from starfold.llm.simhash_dedup import op3_simhash_dedup
+from starfold.llm.substring_dedup import op7_substring_dedup
 from starfold.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
         op4_quality_rules,
         op5_pii,
         op6_url_filter,
+        op7_substring_dedup,
         op8_sharding,
         op9_packing,
         op10_quality_classifier,
