@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm.common import table, words_of
+from starfold.llm.common import beside, table, words_of
 from starfold.session import cut_lineage, release
 
 #: Words of a window, of a phrase inside it, and phrases that a window holds.
@@ -20,8 +20,6 @@ WINDOW, PHRASE = 50, 25
 SPREAD = WINDOW - PHRASE
 #: Phrases an automaton is meant to hold, and documents that one pass of it takes.
 SHARD_PHRASES, SHARD_DOCS = 20_000, 2_000
-#: A list joined to the texts is broadcast up to this many bytes, and shuffled beyond.
-BROADCAST_BYTES = 32 << 20
 VOCABULARY = 1 << 19
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -91,15 +89,29 @@ def _signed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a.view(np.int64), b.view(np.int32)
 
 
-def _frame(parts: list[dict[str, np.ndarray]], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) if parts else [] for c in columns})
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row in the given order (the last argument) differs from the one before."""
+    *columns, order = columns
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
 
+def _runs(place: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, first, last): runs of consecutive places with equal keys, and a row of each."""
+    order = np.lexsort((place, *keys[::-1]))
+    p = place[order]
+    new = _changes(*keys, order)
+    new[1:] |= p[1:] != p[:-1] + 1
+    at = np.flatnonzero(new)
+    return order[at], p[at].astype(np.int32), p[np.append(at[1:], len(p)) - 1].astype(np.int32)
 
-def _beside(docs: DataFrame, side: DataFrame, how: str, row_bytes: int, items: str | None = None) -> DataFrame:
-    """Join a stage table to the texts by id; broadcast only if its measured size is small."""
-    size = F.count(F.lit(1)) * row_bytes + (F.coalesce(F.sum(F.size(items)), F.lit(0)) * 16 if items else F.lit(0))
-    small = (side.agg(size).first()[0] or 0) <= BROADCAST_BYTES
-    return docs.join(F.broadcast(side) if small else side, "doc_id", how)
+
+def _frame(parts: list[dict[str, np.ndarray]], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) if parts else [] for c in columns})
 
 
 def _phrases(docs: DataFrame) -> DataFrame:
@@ -113,6 +125,9 @@ def _phrases(docs: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if len(words) >= WINDOW:
                     at, g1, g2 = phrase_places(Rolling(hashes.of(words)))
+                    # A phrase that a document repeats, as in a run of one word, is listed once.
+                    once = np.flatnonzero(_changes(g1, g2, order := np.lexsort((at, g2, g1))))
+                    at, g1, g2 = at[order][once], g1[order][once], g2[order][once]
                     g1, g2 = _signed(g1, g2)
                     parts.append({"g1": g1, "g2": g2, "doc_id": np.full(len(at), doc), "pos": at.astype(np.int32)})
             yield _frame(parts, ["g1", "g2", "doc_id", "pos"])
@@ -135,7 +150,7 @@ def _routed(docs: DataFrame, routes: DataFrame, salts: DataFrame) -> DataFrame:
                 texts += [*found, text]
             yield pd.DataFrame({"shard": shards, "kind": kinds, "doc_id": ids, "text": texts})
 
-    rows = _beside(docs, routes, "inner", 40, "places").select("doc_id", "text", "shard", "places")
+    rows = beside(docs, routes, "doc_id", "inner", 40, "places").select("doc_id", "text", "shard", "places")
     rows = rows.mapInPandas(run, "shard int, kind int, doc_id long, text string").join(salts, "shard")
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     every = F.expr("sequence(0, salts - 1)")
@@ -149,7 +164,7 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     numbers of the words that occur in its phrases, and the texts stream through it.
     """
     hashes, at_shard, automaton = WordHash(), None, None
-    columns = ["g1", "g2", "b1", "b2", "doc_id", "pos"]
+    columns = ["g1", "g2", "b1", "b2", "doc_id", "p0", "p1"]
     for batch in batches:
         parts = []
         for shard, salt, kind, doc, text in zip(batch["shard"], batch["salt"], batch["kind"], batch["doc_id"], batch["text"]):
@@ -176,12 +191,13 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Where the block is cut short by the document's ends is part of its identity.
             b1 = b1 * MIXER + ((p - lo) * 1024 + (hi - lo)).astype(np.uint64)
             b1, b2 = _signed(b1, b2)
-            parts.append({"g1": g1, "g2": g2, "b1": b1, "b2": b2, "doc_id": np.full(len(p), doc), "pos": p.astype(np.int32)})
+            row, p0, p1 = _runs(p, g1, g2, b1, b2)
+            parts.append({"g1": g1[row], "g2": g2[row], "b1": b1[row], "b2": b2[row], "doc_id": np.full(len(row), doc), "p0": p0, "p1": p1})
         yield _frame(parts, columns)
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, pos) for the windows around given places of phrases."""
+    """(w1, w2, doc_id, p0, p1): runs of the windows around given places of phrases."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
@@ -189,13 +205,16 @@ def _windows(docs: DataFrame) -> DataFrame:
             parts = []
             for doc, text, places in zip(b["doc_id"], b["text"], b["places"]):
                 words = words_of(text)
-                starts = np.unique(np.asarray(places, np.int64)[:, None] - np.arange(SPREAD + 1))
-                starts = starts[(starts >= 0) & (starts <= len(words) - WINDOW)]
+                edge = np.zeros(len(words) + 2, np.int64)
+                np.add.at(edge, [max(0, r["p0"] - SPREAD) for r in places], 1)
+                np.add.at(edge, [r["p1"] + 1 for r in places], -1)
+                starts = np.flatnonzero(np.cumsum(edge[: max(0, len(words) - WINDOW + 1)]) > 0)
                 w1, w2 = _signed(*Rolling(hashes.of(words)).run(starts, starts + WINDOW))
-                parts.append({"w1": w1, "w2": w2, "doc_id": np.full(len(starts), doc), "pos": starts.astype(np.int32)})
-            yield _frame(parts, ["w1", "w2", "doc_id", "pos"])
+                row, p0, p1 = _runs(starts, w1, w2)
+                parts.append({"w1": w1[row], "w2": w2[row], "doc_id": np.full(len(row), doc), "p0": p0, "p1": p1})
+            yield _frame(parts, ["w1", "w2", "doc_id", "p0", "p1"])
 
-    return docs.select("doc_id", "text", "places").mapInPandas(run, "w1 long, w2 int, doc_id long, pos int")
+    return docs.select("doc_id", "text", "places").mapInPandas(run, "w1 long, w2 int, doc_id long, p0 int, p1 int")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -228,24 +247,24 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         _routed(docs, routes, salts)
         .repartition("shard", "salt")
         .sortWithinPartitions("shard", "salt", "kind")
-        .mapInPandas(_locate, "g1 long, g2 int, b1 long, b2 int, doc_id long, pos int")
+        .mapInPandas(_locate, "g1 long, g2 int, b1 long, b2 int, doc_id long, p0 int, p1 int")
     )
     block, phrase = ["g1", "g2", "b1", "b2"], ["g1", "g2"]
     first = found.groupBy(*block).agg(F.min("doc_id").alias("first"))
     several = first.groupBy(*phrase).count().where("count > 1").select(*phrase)
     found_first = found.join(first, block)
     whole = found_first.where("first < doc_id").select(
-        "doc_id", F.greatest(F.col("pos") - SPREAD, F.lit(0)).alias("a"), (F.col("pos") + WINDOW).alias("b")
+        "doc_id", F.greatest(F.col("p0") - SPREAD, F.lit(0)).alias("a"), (F.col("p1") + WINDOW).alias("b")
     )
     # The first document of a block may hold it at several places.
     unclear = found_first.where("first = doc_id").join(several, phrase, "left_semi")
-    places = cut_lineage(unclear.groupBy("doc_id").agg(F.collect_set("pos").alias("places")))
-    windows = cut_lineage(_windows(_beside(docs, places, "inner", 32, "places")))
+    places = cut_lineage(unclear.groupBy("doc_id").agg(F.collect_set(F.struct("p0", "p1")).alias("places")))
+    windows = cut_lineage(_windows(beside(docs, places, "doc_id", "inner", 32, "places")))
     earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
     single = (
         windows.join(earliest, ["w1", "w2"])
         .where("first < doc_id")
-        .select("doc_id", F.col("pos").alias("a"), (F.col("pos") + WINDOW).alias("b"))
+        .select("doc_id", F.col("p0").alias("a"), (F.col("p1") + WINDOW).alias("b"))
     )
     out = whole.unionByName(single).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     out = cut_lineage(out)
@@ -271,7 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     copies = texts.join(lowest.where("first < last"), ["t1", "t2"]).where("first < doc_id").select("doc_id").distinct()
     copies = cut_lineage(copies)
-    ranges = repeated_ranges(_beside(named, copies, "left_anti", 16))
+    ranges = repeated_ranges(beside(named, copies, "doc_id", "left_anti", 16))
     lost = ranges.withColumn("copy", F.lit(False)).unionByName(
         copies.select("doc_id", F.array().cast(ranges.schema["ranges"].dataType).alias("ranges"), F.lit(True).alias("copy"))
     )
@@ -294,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((n, n - len(words), b" ".join(words).decode()))
             yield pd.DataFrame({"id": b["id"], **dict(zip(("n_words", "n_removed", "kept_text"), zip(*out)))} if out else {"id": [], "n_words": [], "n_removed": [], "kept_text": []})
 
-    joined = _beside(rows, lost, "left", 48, "ranges").select(
+    joined = beside(rows, lost, "doc_id", "left", 48, "ranges").select(
         # Ids pass through pandas as text, which a null does not turn into floating point.
         F.col("doc_id").cast("string").alias("id"),
         "text",
