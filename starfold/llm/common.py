@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A list joined to the texts is broadcast up to this many bytes, and shuffled beyond.
+BROADCAST_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(rows: DataFrame) -> Column:
+    """All columns in one struct, so that what an operator adds cannot clash with their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def word_count(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -24,6 +33,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def beside(rows: DataFrame, side: DataFrame, key: str, how: str, row_bytes: int, items: str | None = None) -> DataFrame:
+    """Join a stage table to wide rows: broadcast if its measured size is at most BROADCAST_BYTES,
+    otherwise by a shuffle. ``items`` names an array column, counted at 16 bytes an item."""
+    size = F.count(F.lit(1)) * row_bytes + (F.coalesce(F.sum(F.size(items)), F.lit(0)) * 16 if items else F.lit(0))
+    small = (side.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(side) if small else side, key, how)
+
+
 def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``n`` vertices over the edges (i, j)."""
     label = np.arange(n)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starfold.llm.common import table, word_count
+from starfold.llm.common import table, whole_row, word_count
 from starfold.session import cut_lineage
 
 #: Bits of the hash that rank a document, and bits of it that one histogram resolves.
@@ -91,6 +91,35 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("key", F.when(F.col("whole"), F.lit(1 << HASH_BITS)).otherwise(last).alias("threshold"))
 
 
+def source_key(source_col: str) -> Column:
+    """Orders sources by code point, null last."""
+    return F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
+
+
+def plan(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], share: float, most: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """(sized, plan): every document's (id, key, size, hash), and per source its size, target, whole
+    copies and the hash threshold of one copy more."""
+    sized = cut_lineage(
+        docs.select(
+            F.col(id_col).cast("long").alias("id"),
+            source_key(source_col).alias("key"),
+            word_count(F.col(text_col)).alias("size"),
+            rank_hash(id_col, seed).alias("hash"),
+        )
+    )
+    targets = source_targets(sized, weights, share, float(most))
+    whole = F.coalesce(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)), F.lit(0)).cast("long")
+    targets = cut_lineage(
+        targets.withColumn("copies", whole).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
+    )
+    thresholds = hash_thresholds(sized, targets)
+    # A source with nothing left to take needs no threshold.
+    low = F.when(F.col("copies") < most, F.col("threshold")).otherwise(F.lit(0))
+    return sized, cut_lineage(targets.join(thresholds, "key").withColumn("threshold", low))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -108,36 +137,37 @@ def mix(
     see (source, hash, size), and nothing is sorted but the histogram of a source. Sums are combined
     on the map side, so a hot source costs a task at most one row per bucket.
 
-    A source's taken words differ from its target by less than half a document (half a group of rows
+    A source's taken words differ from its target by at most half a document (half a group of rows
     that share an id). A null text has size 0 and is never taken; a null source is a source of its
     own, last in order; null ids share one hash, repeated rows another. Sources without words have
     target 0. An empty table gives no rows. Other columns are ignored.
     """
-    named = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    sized = cut_lineage(
-        docs.select(
-            F.col(id_col).cast("long").alias("id"),
-            named.alias("key"),
-            word_count(F.col(text_col)).alias("size"),
-            rank_hash(id_col, seed).alias("hash"),
-        )
-    )
-    targets = source_targets(sized, weights, share, float(most))
-    whole = F.coalesce(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)), F.lit(0)).cast("long")
-    targets = cut_lineage(
-        targets.withColumn("copies", whole).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    )
-    plan = targets.join(hash_thresholds(sized, targets), "key")
-    extra = (F.col("hash") < F.col("threshold")) & (F.col("copies") < most)
-    return sized.join(plan, "key").select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        ((F.col("copies") + extra.cast("long")) * F.col("size")).alias("taken"),
+    sized, per_source = plan(docs, id_col, text_col, source_col, weights, share, most, seed)
+    copies = F.col("copies") + (F.col("hash") < F.col("threshold")).cast("long")
+    return sized.join(per_source, "key").select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken")
     )
 
 
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = (5, 2, 1),
+    share: float = 1.5,
+    most: int = 2,
+    seed: int = 42,
+) -> DataFrame:
+    """The mix itself: all columns, a document as many times as it is taken. The texts are filtered
+    where they are read, against one row per source; rules and edge cases are those of ``mix``."""
+    _, per_source = plan(docs, id_col, text_col, source_col, weights, share, most, seed)
+    rows = docs.select(whole_row(docs).alias("_row"), source_key(source_col).alias("key"), rank_hash(id_col, seed).alias("_h"))
+    copies = F.col("copies") + (F.col("_h") < F.col("threshold")).cast("long")
+    taken = rows.join(per_source.select("key", "copies", "threshold"), "key").withColumn("_n", copies.cast("int")).where("_n > 0")
+    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold.llm.boosting import Boosted, Cell, boost, threshold
-from starfold.llm.common import table
+from starfold.llm.common import table, whole_row
 from starfold.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -250,7 +250,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The documents with every span replaced by its kind in brackets, like ``[email]``; overlapping
     spans become one, named after the first. A null text stays null."""
     own = docs.columns
-    rows = docs.select(F.struct(*own).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
     found = candidates(rows, "_text")
     model = fit(found, "_id")
     names = ", ".join(f"'[{k}]'" for k in KINDS)

@@ -164,6 +164,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return CompressionModel(good, bad, _calibrate(m, sample["quality"].to_numpy(dtype=float)))
 
 
+def scorer(model: CompressionModel):
+    """The score of a text column, as a vectorised function."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(texts.tolist(), model))
+
+    return F.pandas_udf(run, "double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, whose score reaches the threshold; nothing is shuffled. A null or
+    empty text has no sign of bad quality and stays as long as such texts score above it."""
+    return docs.where(scorer(fit(docs, labels))(F.col(text_col)) >= threshold)
+
+
 def score(
     docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -173,18 +188,9 @@ def score(
     rows and null ids are scored like others (a null id is not held out). Other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "held_out": b["held_out"], "score": score_texts(b["text"].tolist(), model)})
-
-    # Ids pass through pandas as text, which a null does not turn into floating point.
-    rows = docs.select(
-        F.col(id_col).cast("long").cast("string").alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")
-    )
-    scored = rows.mapInPandas(run, "id string, held_out boolean, score double")
-    return scored.select(
-        F.col("id").cast("long").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+    return docs.select(
+        F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("held_out"), scorer(model)(F.col(text_col)).alias("score")
+    ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm.common import local_components, table
+from starfold.llm.common import beside, local_components, table, whole_row
 from starfold.llm.components import connected_components
 from starfold.session import cut_lineage
 
@@ -203,5 +203,21 @@ def simhash_groups(
     )
 
 
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without those that a smaller id of their group stands for.
+
+    The ids to drop are joined to the texts; only a list of measured small size is broadcast. Of
+    rows that share a kept id one stays. Rows with a null id cannot be told apart by id and stay.
+    """
+    groups = cut_lineage(simhash_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"))
+    own = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    out = beside(own, groups.where("_id <> component_id").select("_id").distinct(), "_id", "left_anti", 16)
+    again = cut_lineage(groups.where("_id = component_id").groupBy("_id").count().where("count > 1").select("_id"))
+    if not again.isEmpty():
+        repeated = beside(out, again, "_id", "left_semi", 16).dropDuplicates(["_id"])
+        out = beside(out, again, "_id", "left_anti", 16).unionByName(repeated)
+    return out.select("_row.*")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
