@@ -100,12 +100,15 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _runs(place: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, first, last): runs of consecutive places with equal keys, and a row of each."""
+def _runs(place: np.ndarray, gap: int, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, first, last): runs of places with equal keys at most ``gap`` apart, and a row of each.
+
+    The gap is so small that what the places reach overlaps or adjoins, so a run stands for exactly
+    what its places do. A word or a phrase repeated over and over becomes one row."""
     order = np.lexsort((place, *keys[::-1]))
     p = place[order]
     new = _changes(*keys, order)
-    new[1:] |= p[1:] != p[:-1] + 1
+    new[1:] |= p[1:] > p[:-1] + gap
     at = np.flatnonzero(new)
     return order[at], p[at].astype(np.int32), p[np.append(at[1:], len(p)) - 1].astype(np.int32)
 
@@ -191,7 +194,7 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Where the block is cut short by the document's ends is part of its identity.
             b1 = b1 * MIXER + ((p - lo) * 1024 + (hi - lo)).astype(np.uint64)
             b1, b2 = _signed(b1, b2)
-            row, p0, p1 = _runs(p, g1, g2, b1, b2)
+            row, p0, p1 = _runs(p, SPREAD + 1, g1, g2, b1, b2)
             parts.append({"g1": g1[row], "g2": g2[row], "b1": b1[row], "b2": b2[row], "doc_id": np.full(len(row), doc), "p0": p0, "p1": p1})
         yield _frame(parts, columns)
 
@@ -210,7 +213,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                 np.add.at(edge, [r["p1"] + 1 for r in places], -1)
                 starts = np.flatnonzero(np.cumsum(edge[: max(0, len(words) - WINDOW + 1)]) > 0)
                 w1, w2 = _signed(*Rolling(hashes.of(words)).run(starts, starts + WINDOW))
-                row, p0, p1 = _runs(starts, w1, w2)
+                row, p0, p1 = _runs(starts, WINDOW, w1, w2)
                 parts.append({"w1": w1[row], "w2": w2[row], "doc_id": np.full(len(row), doc), "p0": p0, "p1": p1})
             yield _frame(parts, ["w1", "w2", "doc_id", "p0", "p1"])
 

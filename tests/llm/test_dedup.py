@@ -187,7 +187,7 @@ def test_made_up_passages(spark, monkeypatch, limit):
             a = rng.randrange(0, 20)
             w += s[a : len(s) - rng.randrange(0, 10)] + [word() for _ in range(rng.randrange(0, 5))]
         docs.append((d, " ".join(w)))
-    docs += [(100, "x " * 300), (101, "x " * 120), (102, docs[30][1]), (103, "y " * 49), (104, "y " * 49)]
+    docs += [(100, "x " * 300), (101, "x " * 120), (102, docs[30][1]), (103, "y " * 49), (104, "y " * 49), (105, "p q " * 100), (106, "p q " * 60 + "z"), (107, "u v w " * 30 + "p q " * 40)]
     rows = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in rows}
     assert got == without_repeats(docs)
