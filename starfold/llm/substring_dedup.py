@@ -81,7 +81,8 @@ def phrase_places(rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     window the one with the smallest mixed hash, the first of equals. Equal windows choose alike."""
     a, b = rolling.every(PHRASE)
     near = np.lib.stride_tricks.sliding_window_view(mixed(a), SPREAD + 1)
-    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    at = near.argmin(axis=1) + np.arange(len(near))
+    at = at[np.diff(at, prepend=-1) > 0]  # the first smallest never moves back from window to window
     return at, a[at], b[at]
 
 
