@@ -248,10 +248,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets, like ``[email]``; overlapping
-    spans become one, named after the first. A null text stays null."""
+    spans become one, named after the first. A null text stays null. The texts are matched once and
+    written with what was found, for the fit and the redaction to read."""
     own = docs.columns
     rows = docs.select(whole_row(docs).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
-    found = candidates(rows, "_text")
+    found = cut_lineage(candidates(rows, "_text").drop("_text"))
     model = fit(found, "_id")
     names = ", ".join(f"'[{k}]'" for k in KINDS)
     cleaned = F.expr(
@@ -261,7 +262,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 struct(greatest(q.at, s.end) AS at, q.out AS out)),
             q -> concat(q.out, substr(_text, q.at + 1))))"""
     )
-    out = select(found, model).withColumn("_new", cleaned)
+    out = select(found, model).withColumn("_text", F.col(f"_row.`{text_col}`")).withColumn("_new", cleaned)
     return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in own])
 
 
