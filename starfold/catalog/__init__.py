@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from starfold.catalog.base import bounded
-
 _AREAS = ("sources", "cleaning", "windows", "folding", "searching", "boxes", "validation", "models", "cotrending", "injection", "stages")
 
 
-def _registry(measured: bool = True):
+def _registry():
     q, sql = {}, {}
     for area in _AREAS:
         m = import_module(f"starfold.catalog.{area}")
-        kinds = getattr(m, "SERIES", {})
-        q.update({n: bounded(kinds[n], fn) if measured and n in kinds else fn for n, fn in m.QUERIES.items()})
+        q.update(m.QUERIES)
         sql.update(m.SQL)
     return q, sql
 
 
-def all_queries(measured: bool = True):
-    """All queries by name; ``measured=False`` leaves series lengths unknown, so that every operator
-    takes its path for series of any length."""
-    return _registry(measured)[0]
+def all_queries():
+    """All queries by name."""
+    return _registry()[0]
 
 
 def all_sql():

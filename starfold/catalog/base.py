@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfold.functions import stats
-from starfold.functions.frames import series_span
 from starfold.operators import clean
 from starfold.sources import fixtures
 
@@ -20,16 +19,6 @@ def s6(expr: str, n: int = 6) -> str:
     return f"(round({expr}, {n}) + 0e0)"
 
 
-def bounded(kind: str, fn):
-    """The query with the series length measured first, so that short series take the direct path."""
-
-    def run(spark, sf):
-        with series_span(fixtures.span(spark, sf, kind)):
-            return fn(spark, sf)
-
-    return run
-
-
 def hourly_dense(spark, sf) -> DataFrame:
     return clean.cadence_fill(fixtures.hourly(spark, sf), per_day=24, unique=True)
 

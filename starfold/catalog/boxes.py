@@ -163,5 +163,3 @@ d AS (SELECT a.*, (b.m + e.m) * 0.5::DOUBLE - a.m AS depth, a.ss / nullif(a.c, 0
 q AS (SELECT *, depth / sqrt(var) * sqrt(c) AS s2n FROM d WHERE var > 0)
 SELECT star, pcad::INT AS Pcad, {s6('s2n')} AS s2n, width::INT AS width, col FROM q WHERE s2n > 0
 QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY s2n DESC, width, col) = 1"""
-
-SERIES = {n: "hourly" for n in QUERIES}

@@ -309,4 +309,3 @@ SQL["map_per_quarter"] = f"""WITH {DAILY}, m AS (SELECT *, f / median(f) OVER (P
 SELECT star, quarter, {s6('sum(f * g) / 1e6', 3)} AS h FROM m GROUP BY star, quarter"""
 
 # Which series each query runs on; their length is measured before planning.
-SERIES = {n: "hourly" for n in QUERIES} | {n: "daily" for n in ("mask_before_quarter", "map_per_quarter")}

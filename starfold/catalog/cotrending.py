@@ -199,5 +199,3 @@ def make_modes(spark, sf):
 
 
 QUERIES["make_modes"] = make_modes
-
-SERIES = {n: "ensemble" for n in QUERIES} | {"detrend_gp": "daily", "detrend_spline": "daily"}

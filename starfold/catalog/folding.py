@@ -238,5 +238,3 @@ p AS (SELECT star, pc AS Pcad, i % pc AS col, f FROM ix, (SELECT unnest(range({P
 r AS (SELECT *, row_number() OVER (PARTITION BY star, Pcad, col ORDER BY f DESC NULLS LAST) AS rn FROM p)
 SELECT star, Pcad::INT AS Pcad, col, coalesce(sum(f), 0) AS s0, coalesce(sum(f) FILTER (rn > 1), 0) AS s1, coalesce(sum(f) FILTER (rn > 2), 0) AS s2,
  count(f) AS c0, count(f) FILTER (rn > 1) AS c1, count(f) FILTER (rn > 2) AS c2 FROM r GROUP BY ALL"""
-
-SERIES = {n: "hourly" for n in ("wrap", "wrap_array", "ffa", "fold_ffa", "fold_columns", "fold_phase_bins", "cumsum_top")}

@@ -84,4 +84,4 @@ QUERIES["detection_efficiency"] = lambda spark, sf: inject.detection_efficiency(
 SQL["detection_efficiency"] = f"""WITH {_REC} SELECT star, Pblock, df, count(*) AS n, count(*) FILTER (bg) AS n_good, {s6('count(*) FILTER (bg) / count(*)')} AS eta,
  {s6('1 / sqrt(count(*))')} AS err FROM r GROUP BY ALL"""
 QUERIES["s2n_histogram"] = lambda spark, sf: inject.s2n_histogram(_recovery(spark, sf))
-SQL["s2n_histogram"] = f"""WITH {_REC} SELECT df, bg, CAST(least(floor(os2n), 98) AS BIGINT) AS bin, count(*) AS n FROM r WHERE os2n BETWEEN 0 AND 99 GROUP BY ALL"""
+SQL["s2n_histogram"] = f"""WITH {_REC} SELECT df, bg, CAST(floor(os2n) AS BIGINT) AS bin, count(*) AS n FROM r WHERE os2n >= 0 GROUP BY ALL"""

@@ -159,5 +159,3 @@ s AS (SELECT star, any_value(lo + (bin + 0.5) * (hi - lo) / nb) AS t, median(f)
 l AS (SELECT star, tPF AS t, f, (f - lag(f) OVER (PARTITION BY star ORDER BY round(tPF, 9), t)) * sqrt(2) AS df FROM x0_f WHERE star = 'R'),
 u AS (SELECT * FROM s UNION ALL SELECT star, t, f, stddev_pop(df) OVER (PARTITION BY star) FROM l)
 SELECT star, {s6('t')} AS t, {s6('f / 7123457e0')} AS f, {s6('ferr / 7123457e0')} AS ferr FROM u"""
-
-SERIES = {"choose_fit_input": "daily"}

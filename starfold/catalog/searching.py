@@ -113,6 +113,26 @@ QUERIES["periodogram"] = periodogram
 SQL["periodogram"] = f"""WITH {DAILY_INJECTED}, {clipped_sql(None, 'di', 'a', 20, 22, (2, 3))}, {clipped_sql(None, 'di', 'b', 26, 28, (3, 5))}
 SELECT {_PG_COLS} FROM a UNION ALL SELECT {_PG_COLS} FROM b"""
 
+
+
+def _halved(df):
+    """The first series of the three on a time scale of half a day per cadence."""
+    return df.withColumn("t", F.when(F.col("star") == "A", F.col("t") / 2).otherwise(F.col("t")))
+
+
+def periodogram_mixed(spark, sf):
+    segs = [{"P1": 20.0, "P2": 21.0, "twdG": [2, 3]}]
+    return _pgram(search.periodogram(_halved(daily_injected(spark, sf)), segs, "max"))
+
+
+# In cadences the same limits are twice as far up for the series with the half-day cadence.
+QUERIES["periodogram_mixed_cadence"] = periodogram_mixed
+SQL["periodogram_mixed_cadence"] = f"""WITH {DAILY_INJECTED}, dm AS (SELECT * REPLACE (CASE WHEN star = 'A' THEN t / 2 ELSE t END AS t) FROM di),
+da AS (SELECT * FROM dm WHERE star = 'A'), db AS (SELECT * FROM dm WHERE star <> 'A'),
+{clipped_sql(None, 'da', 'a', 40, 42, (2, 3))}, {clipped_sql(None, 'db', 'b', 20, 21, (2, 3))}
+SELECT {_PG_COLS} FROM a UNION ALL SELECT {_PG_COLS} FROM b"""
+
+
 QUERIES["bin_periodogram"] = lambda spark, sf: search.bin_periodogram(clipped(spark, sf), 40).select(
     "star", "Pbin", r6("P").alias("P"), r6("s2n").alias("s2n"), "twd"
 )
@@ -151,5 +171,3 @@ h AS (SELECT *, wd / w AS d2, dll - (wdd - wd / w * wd) * 0.5::DOUBLE - 0.5::DOU
 b AS (SELECT * FROM h WHERE d2 > 0 AND same > var AND nind >= 2 QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY same DESC, twd, col) = 1)
 SELECT star, {s6('pcad')} AS Pcad, twd, col, nind, {s6('d2 * sqrt(w)')} AS s2n, {s6('same')} AS phic_same,
  {s6('t_first + (col + twd // 2) * dt')} AS t0 FROM b JOIN cad USING (star)"""
-
-SERIES = {n: "daily" for n in QUERIES} | {n: "hourly" for n in ("best_epoch", "duration_period_epoch", "best_duration", "search_ffa")}

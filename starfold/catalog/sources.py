@@ -256,5 +256,3 @@ def id_from_name(spark, sf):
 
 QUERIES["id_from_name"] = id_from_name
 SQL["id_from_name"] = "SELECT s_suppkey, lpad(regexp_extract(s_name, '(\\d+)', 1), 9, '0') AS id FROM supplier"
-
-SERIES = {"clean_columns": "hourly"}

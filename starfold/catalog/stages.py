@@ -176,5 +176,3 @@ def calibrate_stage(spark, sf):
 
 
 QUERIES["calibrate_ensemble"] = calibrate_stage
-
-SERIES = {n: "daily" for n in QUERIES} | {"grid_search": "hourly", "calibrate_ensemble": "ensemble"}

@@ -253,8 +253,8 @@ def scar(spark, sf):
 
 QUERIES["scar"] = scar
 SQL["scar"] = f"""WITH {_CLIPPED}, c AS (SELECT *, quantile_cont(s2n, 0.9) OVER (PARTITION BY star) AS q FROM pg),
-p AS (SELECT star, (pcad - min(pcad) OVER w) / (max(pcad) OVER w - min(pcad) OVER w) AS x, t0 / pcad AS y FROM c WHERE s2n > q WINDOW w AS (PARTITION BY star)),
-d AS (SELECT a.star, a.x, a.y, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM p a JOIN p b ON a.star = b.star AND (a.x <> b.x OR a.y <> b.y) GROUP BY ALL)
+p AS (SELECT star, (pcad - min(pcad) OVER w) / (max(pcad) OVER w - min(pcad) OVER w) AS x, t0 / pcad AS y, row_number() OVER () AS r FROM c WHERE s2n > q WINDOW w AS (PARTITION BY star)),
+d AS (SELECT a.star, a.r, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM p a JOIN p b ON a.star = b.star AND a.r <> b.r GROUP BY ALL)
 SELECT star, {s6('quantile_cont(d, 0.9)')} AS scar FROM d GROUP BY star"""
 
 
@@ -344,5 +344,3 @@ g AS (SELECT *, k // 5 AS grp FROM (SELECT *, max(k) OVER (PARTITION BY star) +
 b AS (SELECT *, min(x) OVER w AS lo, max(x) OVER w + 0.0001::DOUBLE AS hi, floor(round((max(x) OVER w + 0.0001::DOUBLE - min(x) OVER w), 9)) AS nb FROM g WINDOW w AS (PARTITION BY star, grp)),
 i AS (SELECT *, CAST(least(floor(round((x - lo) / (hi - lo) * nb, 9)), nb - 1) AS BIGINT) AS bin FROM b)
 SELECT star, grp, bin, count(y) AS n, {s6('any_value(lo + (bin + 0.5) * ((hi - lo) / nb))')} AS x, {s6('avg(y) / 7123457e0')} AS y FROM i GROUP BY star, grp, bin"""
-
-SERIES = {n: "daily" for n in QUERIES if n != "hist_bin_avg"} | {n: "hourly" for n in ("s2n_known", "expected_transits", "robust_limits")}

@@ -80,5 +80,3 @@ QUERIES["noise_per_duration"] = lambda spark, sf: windows.noise_per_duration(
 ).select("star", "twd", r6("noise").alias("noise"))
 SQL["noise_per_duration"] = f"""WITH {HOURLY_CENTRED}, {mean_depth_sql('hc', 'md', TWDS)}
 SELECT star, twd, {s6('median(abs(d)) * 1.5::DOUBLE')} AS noise FROM md GROUP BY star, twd"""
-
-SERIES = {n: "hourly" for n in QUERIES}

@@ -1,60 +1,28 @@
 """Window frames and scans over a series, split into stretches of cadence.
 
-Unless a series is known to be short, it is never ordered as a whole in one task. Bounded frames
-work on stretches that carry a halo of their neighbours' rows; unbounded scans work inside a stretch
-and receive what came before from a one-row-per-stretch summary.
-
-``series_span`` checks the length once: cadences do not repeat within a series, so first and last
-cadence bound the rows of every series. Inside that context, series of at most ``STRETCH`` cadences
-are handled by plain windows per series, which share one exchange across a chain of operators.
+A series is never ordered as a whole in one task. Bounded frames work on stretches that carry a halo
+of their neighbours' rows; unbounded scans work inside a stretch and receive what came before from a
+one-row-per-stretch summary. A series shorter than a stretch is simply one stretch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 STRETCH = 32_768
 _C = "_stretch"
-_span: ContextVar[int | None] = ContextVar("starfold_span", default=None)
-
-
-@contextmanager
-def series_span(source: DataFrame | int | None) -> Iterator[int | None]:
-    """Bound on the cadences per series for the operators called inside.
-
-    A DataFrame is measured (one min/max aggregate), a number is taken as already measured, None
-    means unknown: everything goes by stretches.
-    """
-    n = source
-    if isinstance(source, DataFrame):
-        n = source.agg(F.max("cad") - F.min("cad") + 1).first()[0]
-    token = _span.set(n)
-    try:
-        yield n
-    finally:
-        _span.reset(token)
-
-
-def short_series() -> bool:
-    n = _span.get()
-    return n is not None and n <= STRETCH
 
 
 def partition_sql(keys: Sequence[str] = ("star",)) -> str:
     """PARTITION BY list matching the window handed out by ``with_frames``."""
-    return ", ".join([*keys] if short_series() else [*keys, _C])
+    return ", ".join([*keys, _C])
 
 
 def with_ends(df: DataFrame, keys: Sequence[str] = ("star",), a: str = "_a", b: str = "_b") -> DataFrame:
     """First and last cadence of the series on every row."""
-    if short_series():
-        w = Window.partitionBy(*keys)
-        return df.withColumns({a: F.min("cad").over(w), b: F.max("cad").over(w)})
     return df.join(df.groupBy(*keys).agg(F.min("cad").alias(a), F.max("cad").alias(b)), list(keys))
 
 
@@ -72,8 +40,6 @@ def with_frames(
     ``make`` receives the ordered window and returns the new columns. Units are those of ``order``,
     so frames should be range frames or, on a gap-free series, row frames.
     """
-    if short_series():
-        return df.withColumns(dict(make(Window.partitionBy(*keys).orderBy(order))))
     o = F.col(order)
     own = F.floor(o / stretch)
     spread = df.withColumn(
@@ -91,8 +57,9 @@ def scan(
     order: str = "cad",
     strict: bool = False,
     stretch: float = STRETCH,
+    then: Sequence[str] = (),
 ) -> DataFrame:
-    """Unbounded scans along ``order``.
+    """Unbounded scans along ``order``, ties by ``then``.
 
     ``specs`` maps an output name to ("last", c) - latest non-NULL c so far, ("next", c) - nearest
     non-NULL c from here on, or ("sum", c) - running sum. ``strict`` leaves the current row out of
@@ -100,19 +67,8 @@ def scan(
     """
     o = F.col(order)
     edge = -1 if strict else 0
-    if short_series():
-        fwd = Window.partitionBy(*keys).orderBy(order)
-        rev = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-        made = {}
-        for n, (kind, c) in specs.items():
-            if kind == "sum":
-                made[n] = F.coalesce(F.sum(c).over(fwd.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-            else:
-                w = fwd if kind == "last" else rev
-                made[n] = F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, edge))
-        return df.withColumns(made)
-    up = Window.partitionBy(*keys, _C).orderBy(order)
-    down = Window.partitionBy(*keys, _C).orderBy(F.col(order).desc())
+    up = Window.partitionBy(*keys, _C).orderBy(order, *then)
+    down = Window.partitionBy(*keys, _C).orderBy(*[F.col(c).desc() for c in (order, *then)])
     cup = Window.partitionBy(*keys).orderBy(_C).rowsBetween(Window.unboundedPreceding, -1)
     cdown = Window.partitionBy(*keys).orderBy(F.col(_C).desc()).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -121,7 +77,7 @@ def scan(
     local, totals, carries, merged = {}, [], {}, {}
     for n, (kind, _) in specs.items():
         c = F.col(f"_in_{n}")
-        at = F.when(c.isNotNull(), o)
+        at = F.when(c.isNotNull(), F.struct(order, *then) if then else o)
         if kind == "last":
             local[f"_l_{n}"] = F.last(c, True).over(up.rowsBetween(Window.unboundedPreceding, edge))
             totals.append(F.max_by(c, at).alias(f"_t_{n}"))

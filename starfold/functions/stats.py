@@ -13,8 +13,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starfold.functions.frames import short_series
-
 # Groups up to this many rows are ranked directly; larger ones only inside the bracket.
 DIRECT_ROWS = 50_000
 SKETCH_ACCURACY = 10_000
@@ -32,24 +30,19 @@ def nan_to_null(c: Column) -> Column:
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], q: float = 0.5, per_series: bool = False
+    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], q: float = 0.5
 ) -> DataFrame:
     """Exact quantile ``q`` (linear interpolation) of each column per group; NULLs are ignored.
 
-    ``per_series`` says that a group holds rows of one series only, at most one per cadence; where
-    series are known to be short the built-in aggregate is used.
-
     The first pass takes a mergeable sketch, the second counts distinct values inside the bracket
     (everything below it collapses to one counted row on the map side) and walks the counts.
     """
-    if per_series and short_series():
-        return df.groupBy(*keys).agg(*[F.percentile(nan_to_null(c.cast("double")), q).alias(n) for n, c in cols.items()])
     long = df.select(
         *keys,
         F.explode(
             F.array(*[F.struct(F.lit(n).alias("_n"), c.cast("double").alias("_x")) for n, c in cols.items()])
         ).alias("_s"),
-    ).select(*keys, "_s._n", "_s._x").where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    ).select(*keys, "_s._n", nan_to_null(F.col("_s._x")).alias("_x"))
     gk = [*keys, "_n"]
     lo_q, hi_q = max(0.0, q - MARGIN), min(1.0, q + MARGIN)
     sketch = long.groupBy(*gk).agg(
@@ -64,7 +57,8 @@ def group_quantiles(
     )
     counts = (
         long.join(sketch, gk)
-        .where(F.col("_x") <= F.col("_hi"))
+        # A group without values stays, with a NULL quantile.
+        .where((F.col("_x") <= F.col("_hi")) | (F.col("_total") == 0))
         .select(*gk, "_total", F.when(F.col("_x") < F.col("_lo"), F.lit(-math.inf)).otherwise(F.col("_x")).alias("_x"))
         .groupBy(*gk, "_total", "_x")
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -87,29 +81,22 @@ def group_quantiles(
 
 
 def group_medians(
-    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], per_series: bool = False
+    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]
 ) -> DataFrame:
-    return group_quantiles(df, keys, cols, 0.5, per_series)
+    return group_quantiles(df, keys, cols, 0.5)
 
 
 def with_medians(
-    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column], per_series: bool = True
+    df: DataFrame, keys: Sequence[str], cols: Mapping[str, Column]
 ) -> DataFrame:
     """Attach the exact group medians to every row."""
-    if per_series and short_series():
-        w = Window.partitionBy(*keys)
-        return df.withColumns({n: F.percentile(nan_to_null(c.cast("double")), 0.5).over(w) for n, c in cols.items()})
     return df.join(group_medians(df, keys, cols), list(keys), "left")
 
 
 def agg_with_medians(
-    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], cols: Mapping[str, Column], per_series: bool = False
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], cols: Mapping[str, Column]
 ) -> DataFrame:
     """Ordinary aggregates together with exact medians per group."""
-    if per_series and short_series():
-        return df.groupBy(*keys).agg(
-            *aggs, *[F.percentile(nan_to_null(c.cast("double")), 0.5).alias(n) for n, c in cols.items()]
-        )
     return df.groupBy(*keys).agg(*aggs).join(group_medians(df, keys, cols), list(keys), "left")
 
 

@@ -72,7 +72,7 @@ def box_stat_fractional(folded: DataFrame, keys: Sequence[str], n: Column, n_max
 
 
 def search_bls(
-    df: DataFrame, p1: float, p2: float, w1: int, w2: int, min_count: int | None = None
+    df: DataFrame, p1: float | Column, p2: float | Column, w1: int, w2: int, min_count: int | None = None
 ) -> DataFrame:
     """Fold on fractional periods, then the box whose mean is deepest in units of its error.
 

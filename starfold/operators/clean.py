@@ -53,7 +53,6 @@ def stitch_levels(df: DataFrame, width: float = 0.5) -> DataFrame:
             "head": F.when(F.col("t") < F.col("_a") + width, flux()),
             "tail": F.when(F.col("t") > F.col("_b") - width, flux()),
         },
-        per_series=True,
     )
     w = Window.partitionBy("star").orderBy("quarter")
     step = stats.safe_div(F.lag("tail").over(w), F.col("head"))
@@ -297,16 +296,14 @@ def mask_steps(
     return w4.select(*df.columns, out)
 
 
-QUALITY_BITS = {4: "at_tweak", 6: "desat", 11: "cosmic"}
-
-
 def quality_mask(
-    df: DataFrame, regions: DataFrame, bits: Mapping[int, str] = QUALITY_BITS,
+    df: DataFrame, regions: DataFrame, bits: Mapping[int, str],
     lims: tuple[float, float] = (-10.0, 10.0), grow: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Combined exclusion mask ``fmask`` and segment-end flag ``seg_end``.
 
-    ``bits`` must name ``desat`` and ``at_tweak``; each is grown by the given cadences both ways.
+    ``bits`` is the archive's table of flags (bit number to name) and must name ``desat`` and
+    ``at_tweak``; each is grown by the given cadences both ways.
     """
     grow = grow or {"desat": 1, "at_tweak": 4}
     x = df.withColumn("fmask", F.col("fmask") | F.col("f").isNull())
@@ -434,8 +431,8 @@ def preprocess(df: DataFrame, lims: tuple[float, float] = (-1e3, 10.0)) -> DataF
 def mask_noisy_segments(df: DataFrame, stat: str, nsep: float, thresh: float = 2.0, out: str = "is_noisy") -> DataFrame:
     """Segments whose median |stat| is above ``thresh`` times the median of all segments'."""
     x = segment_labels(df, nsep, F.col(stat).isNotNull(), "_seg")
-    seg = stats.group_medians(x.where("_seg IS NOT NULL"), ["star", "_seg"], {"_mad": F.abs(stat)}, True)
-    typ = stats.group_medians(seg, ["star"], {"_typ": F.col("_mad")}, True)
+    seg = stats.group_medians(x.where("_seg IS NOT NULL"), ["star", "_seg"], {"_mad": F.abs(stat)})
+    typ = stats.group_medians(seg, ["star"], {"_typ": F.col("_mad")})
     bad = seg.join(typ, "star").select("star", "_seg", (F.col("_mad") > F.col("_typ") * thresh).alias(out))
     return x.join(bad, ["star", "_seg"], "left").withColumn(out, F.coalesce(out, F.lit(False))).drop("_seg")
 

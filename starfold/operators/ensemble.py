@@ -6,6 +6,7 @@ Light curves stay long (star, cad, f, fmask); modes are wide, one row per cadenc
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.mllib.linalg import Vectors
@@ -19,6 +20,7 @@ from starfold.operators.clean import valid
 from starfold.operators.detrend import spline_trend
 from starfold.session import cut_lineage
 
+# Fixed values of the published method.
 N_MODES = 8
 SIG_OUT = 10.0
 MAX_ITER = 10
@@ -246,16 +248,17 @@ def _centred(z: DataFrame, value: str) -> DataFrame:
 
 
 def robust_components(
-    z: DataFrame, k: int = 4, algo: str = "PCA", max_iter: int = MAX_ITER, value: str = "z", nsig: float = 5.0
+    z: DataFrame, k: int = 4, algo: str = "PCA", value: str = "z", nsig: float = 5.0
 ) -> tuple[DataFrame, DataFrame]:
     """Components over cadences of the star-centred matrix; stars whose weight exceeds ``nsig`` times
-    the typical one in any component are dropped and the decomposition repeated.
+    the typical one in any component are dropped and the decomposition repeated until none is left;
+    every round but the last drops a star, so it ends.
 
     Returns modes (cad, u) and weights (star, a) of the stars kept.
     """
     z = cut_lineage(_centred(z, value))
     keep = cut_lineage(z.select("star").distinct())
-    for _ in range(max_iter):
+    while True:
         cur = z.join(keep, "star", "left_semi")
         modes, s = svd_modes(cur, k, value)
         p = projections(cur, modes, k, value)
@@ -273,9 +276,8 @@ def robust_components(
         bad = long.join(sig, "k").where(F.abs("a") > F.col("_s") * 1.48 * nsig).select("star").distinct()
         good = cut_lineage(keep.join(bad, "star", "left_anti"))
         if good.count() in (keep.count(), 0):
-            break
+            return modes, w
         keep = good
-    return modes, w
 
 
 def fast_ica(modes: DataFrame, p: DataFrame, k: int, s: Sequence[float], rounds: int = 600, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
@@ -302,6 +304,8 @@ def fast_ica(modes: DataFrame, p: DataFrame, k: int, s: Sequence[float], rounds:
         rot = new
         if done:
             break
+    else:
+        warnings.warn(f"independent components not converged after {rounds} rounds", stacklevel=2)
     scale = np.diag([v / np.sqrt(n) for v in np.ones(k)])
     mix = scale @ rot.T
 
@@ -322,7 +326,7 @@ def make_modes(lc: DataFrame, k: int = N_MODES, **robust) -> tuple[DataFrame, Da
     stars = lc.groupBy("star").agg(F.count_if(ok).alias("_n")).where("_n > 0").select("star")
     x = lc.join(cads.where("_n > 0").select("cad"), "cad", "left_semi").join(stars, "star", "left_semi")
     x = x.withColumn("f", F.when(ok, F.col("f")).otherwise(0.0))
-    mad = stats.group_medians(x.where("NOT fmask"), ["star"], {"mad": F.abs("f")}, per_series=True)
+    mad = stats.group_medians(x.where("NOT fmask"), ["star"], {"mad": F.abs("f")})
     z = x.join(mad, "star").withColumn("z", stats.safe_div(F.col("f"), F.col("mad"))).select("star", "cad", "z", "mad")
     modes, p, _ = robust_svd(z, k, **robust)
     full = cads.select("cad").join(modes, "cad", "left")

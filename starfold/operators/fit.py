@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starfold.functions import models, stats
-from starfold.functions.frames import scan, short_series
+from starfold.functions.frames import scan
 from starfold.functions.scalars import CADENCE_DAYS
 from starfold.operators import validate
 from starfold.operators.fold import shuffle_width
@@ -313,10 +313,7 @@ def choose_fit_input(folded: DataFrame, periods: DataFrame, short: float = 50.0,
     err = F.when(F.col("count") == 1, F.col("_typ")).otherwise(F.col("std") / F.sqrt("count"))
     binned = binned.join(typ, "star").select("star", "t", "f", err.alias("ferr"))
     y = x.where(F.col("_P") >= short).withColumn("_at", F.round("tPF", 9))
-    if short_series():
-        y = y.withColumn("_p", F.lag("f").over(Window.partitionBy("star").orderBy("_at", "t")))
-    else:
-        y = scan(y, {"_p": ("last", F.col("f"))}, order="_at", strict=True, stretch=1.0)
+    y = scan(y, {"_p": ("last", F.col("f"))}, order="_at", strict=True, stretch=1.0, then=("t",))
     y = y.withColumn("_d", (F.col("f") - F.col("_p")) * F.sqrt(F.lit(2.0)))
     sig = y.groupBy("star").agg(F.stddev_pop("_d").alias("ferr"))
     return binned.unionByName(y.join(sig, "star").select("star", F.col("tPF").alias("t"), "f", "ferr"))

@@ -13,12 +13,13 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starfold.functions import frames, scalars
-from starfold.functions.frames import short_series, with_ends
+from starfold.functions import scalars
 
 # Tasks per series for the trial periods of one fold, and cadences of one series in one task.
 CHUNKS_PER_SERIES = 32
 CADENCES_PER_BLOCK = 131_072
+# Periods of a grid made in one array.
+STEPS = 256
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -27,18 +28,16 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def longest(df: DataFrame) -> int:
+    """Cadences from the first to the last of the longest series; 1 if there is none."""
+    span = df.groupBy("star").agg((F.max("cad") - F.min("cad") + 1).alias("n"))
+    return span.agg(F.max("n")).first()[0] or 1
+
+
 def with_index(df: DataFrame) -> DataFrame:
     """Position ``i`` from 0, series length ``ncad`` and first time ``t_first``."""
-    if short_series():
-        w = Window.partitionBy("star")
-        x = with_ends(df).withColumn("t_first", F.min("t").over(w))
-    else:
-        x = df.join(
-            df.groupBy("star").agg(
-                F.min("cad").alias("_a"), F.max("cad").alias("_b"), F.min("t").alias("t_first")
-            ),
-            "star",
-        )
+    ends = df.groupBy("star").agg(F.min("cad").alias("_a"), F.max("cad").alias("_b"), F.min("t").alias("t_first"))
+    x = df.join(ends, "star")
     return x.withColumns({"i": F.col("cad") - F.col("_a"), "ncad": F.col("_b") - F.col("_a") + 1}).drop("_a", "_b")
 
 
@@ -54,27 +53,24 @@ def period_grid(stars: DataFrame, ftdurmi: float, p_min: float = 100.0, p_max: f
     """Trial periods whose spacing keeps the last transit within ``ftdurmi`` of a duration.
 
     ``stars`` has (star, tbase). The step is P <- P + ftdurmi * tdur(P)/tbase * P until P_max
-    (default tbase/2); with tdur growing as the cube root of P the step count is bounded, and the
-    recurrence runs as an array aggregate per star.
+    (default tbase/2); with tdur growing as the cube root of P the step count is bounded. The
+    recurrence runs in chunks of STEPS periods, as an array that is appended to is copied each time.
     """
     unit = scalars.duration_of_period(F.lit(1.0))
     top = F.lit(p_max) if p_max is not None else F.col("tbase") / 2.0
     x = stars.withColumns({"_top": top.cast("double"), "_u": unit * ftdurmi / F.col("tbase")})
     # The relative step grows with P, so it is at least that of P_min.
     steps = F.ceil(F.ln(F.greatest(F.col("_top") / p_min, F.lit(1.0))) / F.ln(F.col("_u") * p_min ** (1 / 3) + 1.0)) + 1
-    grid = F.aggregate(
-        F.sequence(F.lit(1).cast("long"), steps.cast("long")),
-        F.array(F.lit(float(p_min))),
-        lambda acc, _: F.when(
-            F.element_at(acc, -1) < F.col("_top"),
-            F.array_append(
-                acc,
-                F.element_at(acc, -1)
-                + F.element_at(acc, -1) * F.col("_u") * F.pow(F.element_at(acc, -1), F.lit(1.0 / 3.0)),
-            ),
-        ).otherwise(acc),
+    x = x.withColumn("_chunks", F.floor(steps / STEPS))
+    after = "element_at(a, -1) + element_at(a, -1) * _u * power(element_at(a, -1), 1d / 3d)"
+    chunk = f"""aggregate(sequence(1, {STEPS}), array(q.p),
+        (a, i) -> if(element_at(a, -1) < _top, array_append(a, {after}), a))"""
+    grid = F.expr(
+        f"""flatten(aggregate(sequence(0L, _chunks), struct({float(p_min)!r}d AS p, cast(array() AS array<array<double>>) AS out),
+            (q, j) -> transform(array({chunk}), c -> struct(element_at(c, -1) AS p, array_append(q.out, slice(c, 2, {STEPS})) AS out))[0],
+            q -> q.out))"""
     )
-    return x.select("star", F.posexplode(F.slice(grid, 2, 2_000_000)).alias("k", "P"))
+    return x.select("star", F.posexplode(grid).alias("k", "P"))
 
 
 def search_segments(
@@ -150,14 +146,13 @@ def spread_periods(
     a block are split by block as well; aggregates then need a second, small merge.
     """
     n = F.ceil(p2.cast("double") - p1.cast("double"))
-    x = df.withColumns({"_p1": p1.cast("double"), "_np": n})
+    x = df.withColumns({"_p1": p1.cast("double"), "_np": n}).where("_np > 0")
     x = x.withColumn("_chunk", F.greatest(F.ceil(F.col("_np") / chunks), F.lit(1)))
     chunk = F.col("_chunk")
     x = x.withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_np") - 1) / chunk))))
     by = [*keys, "pchunk"]
-    if not short_series():
-        x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
-        by.append("pblock")
+    x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
+    by.append("pblock")
     x = x.repartition(shuffle_width(df), *by)
     bases = F.transform(
         F.sequence(F.col("pchunk") * chunk, F.least(F.col("_np"), (F.col("pchunk") + 1) * chunk) - 1),
@@ -257,20 +252,20 @@ def fold_phase_bins(
     Needs ``i`` and ``t_first``; phases are those of t - t_first. Every bin is present.
     """
     good = F.col(value).isNotNull() if ok is None else ok
-    x = df.withColumn("_v", F.when(good, F.col(value))).withColumn("_f", freqs)
-    chunk = 8
-    x = x.withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("_f") - 1) / chunk).cast("long"))))
-    part = F.slice("_f", (F.col("pchunk") * chunk + 1).cast("int"), F.lit(chunk))
-    x = x.withColumn("_f", part)
+    x = df.withColumn("_v", F.when(good, F.col(value))).withColumn("_nf", F.size(freqs)).where("_nf > 0")
+    chunk = F.greatest(F.ceil(F.col("_nf") / CHUNKS_PER_SERIES), F.lit(1)).cast("int")
+    x = x.withColumn("_n", chunk)
+    chunk = F.col("_n")
+    x = x.withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_nf") - 1) / chunk))))
     by = [*keys, "pchunk"]
-    if not short_series():
-        x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
-        by.append("pblock")
-    x = x.repartition(shuffle_width(df), *by)
+    x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
+    by.append("pblock")
+    # The frequencies of a chunk are made after the exchange.
+    x = x.repartition(shuffle_width(df), *by).withColumn("_f", F.slice(freqs, (F.col("pchunk") * chunk + 1).cast("int"), chunk))
     x = x.select("*", F.posexplode("_f").alias("_k", "freq")).withColumn("jf", F.col("pchunk") * chunk + F.col("_k"))
     # The first row of a series also brings one empty entry per bin.
     slot = F.explode(F.when(F.col("i") == 0, F.sequence(F.lit(-1), F.lit(nb - 1))).otherwise(F.array(F.lit(-1))))
-    x = x.drop("_f", "_k").withColumn("_z", slot)
+    x = x.drop("_f", "_k", "_n", "_nf").withColumn("_z", slot)
     ph = (F.col("t") - F.col("t_first")) * F.col("freq")
     ph = ph - F.floor(ph)
     own = F.floor(ph * nb).cast("int")
@@ -339,32 +334,46 @@ FFA_ROWS = 4096
 
 def fold_ffa(
     df: DataFrame, p1: int, p2: int, sums: Mapping[str, Column], keys: Sequence[str] = ("star",),
-    ncad_max: int | None = None,
 ) -> DataFrame:
     """Fast folding of an indexed series on all integer periods in [p1, p2).
 
     Gives ``Pcad`` = P0 + row/(m-1) for every row of the padded power of two and the sums per
-    column. All stages run after one exchange on (star, P0, row block).
+    column. All stages run after one exchange on (star, chunk of periods), or for folds of more than
+    FFA_ROWS rows on (star, P0, row block).
     """
-    n = ncad_max or frames._span.get() or df.agg(F.max("ncad")).first()[0]
+    n = df.agg(F.max("ncad")).first()[0] or 1
     stages = math.ceil(math.log2(n // p1 + 1))
     x = df.withColumns({f"_{s}": c for s, c in sums.items()})
-    x = x.withColumn("P0", F.explode(F.sequence(F.lit(p1).cast("long"), F.lit(p2 - 1).cast("long"))))
-    x = wrap_padded(x, F.col("P0"))
+    x = x.select(*keys, "i", "ncad", *[f"_{s}" for s in sums])
     block = [] if (1 << stages) <= FFA_ROWS else ["_blk"]
-    if block:
-        x = x.withColumn("_blk", F.floor(F.col("row") / FFA_ROWS))
+    if not block:
+        # The rows meet their periods after the exchange, a bounded number of chunks per series.
+        chunk = max(1, math.ceil((p2 - p1) / CHUNKS_PER_SERIES))
+        x = x.withColumn("pchunk", F.explode(_upto(0, math.ceil(max(0, p2 - p1) / chunk))))
+        x = x.repartition(shuffle_width(df), "star", "pchunk")
+        first = F.col("pchunk") * chunk + p1
+        bases = F.sequence(first, F.least(first + chunk - 1, F.lit(p2 - 1)))
+        x = wrap_padded(x.withColumn("P0", F.explode(bases)), F.col("P0"))
+    else:
+        # A fold too tall for one task is dealt by its rows, which differ from period to period.
+        x = wrap_padded(x.withColumn("P0", F.explode(_upto(p1, p2))), F.col("P0"))
+        x = x.withColumn("_blk", F.floor(F.col("row") / FFA_ROWS)).repartition(shuffle_width(df), "star", "P0", "_blk")
+    keys = [*keys, *([] if block else ["pchunk"])]
     x = x.select(*keys, "P0", *block, "k", "row", "col", *[F.col(f"_{s}").alias(s) for s in sums])
-    x = x.repartition(shuffle_width(df), "star", "P0", *block)
     names = list(sums)
     for s in range(1, stages + 1):
         inside = block if (1 << s) <= FFA_ROWS else []
         x = ffa_stage(x, s, [*keys, "P0", *inside], "P0", names)
     m = F.pow(F.lit(2.0), F.col("k"))
     return x.withColumn("Pcad", F.col("P0") + stats_div(F.col("row"), m - 1)).select(
-        *keys, "P0", "row", "Pcad", "col", *names
+        *[k for k in keys if k != "pchunk"], "P0", "row", "Pcad", "col", *names
     )
 
 
+def _upto(a: int, b: int) -> Column:
+    """The integers from a up to b, none for an empty range (sequence() would count downwards)."""
+    return F.filter(F.sequence(F.lit(a).cast("long"), F.lit(max(a, b - 1)).cast("long")), lambda p: p < b)
+
+
 def stats_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

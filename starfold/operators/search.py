@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starfold.functions import frames, stats
+from starfold.functions import stats
 from starfold.operators import fold, windows
+from starfold.session import cut_lineage
 
 
 def best_epoch(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,7 +85,7 @@ def search_clipped(
         least = periods.agg(F.min("p1")).first()[0]
         x = x.join(periods.select("star", "seg", "p1", "p2", "twdG"), "star")
         x = x.withColumn("e", F.filter("e", lambda r: F.array_contains("twdG", r["twd"])))
-    n = frames._span.get() or x.agg(F.max("ncad")).first()[0]
+    n = fold.longest(df)
     y, by = fold.spread_periods(
         x.where(F.size("e") > 0).select("star", *seg, "i", "ncad", "e", "p1", "p2"), F.col("p1"), F.col("p2"),
         lambda P: fold.frac_periods(P, F.col("ncad")), ("star", *seg),
@@ -113,7 +114,7 @@ def search_clipped(
     return out.withColumns({"P": F.col("Pcad") * F.col("dt"), "tdur": F.col("twd") * F.col("dt")}).drop("dt")
 
 
-def search_likelihood(df: DataFrame, p1: int, p2: int, twds: Sequence[int], alpha: float = 1200.0) -> DataFrame:
+def search_likelihood(df: DataFrame, p1: int | Column, p2: int | Column, twds: Sequence[int], alpha: float = 1200.0) -> DataFrame:
     """One common depth against one depth per event, by penalised likelihood.
 
     The penalty is ours after the published method: same = sum(dll) - sum(ivar (d-D)^2)/2 - ln(alpha)/2
@@ -122,7 +123,7 @@ def search_likelihood(df: DataFrame, p1: int, p2: int, twds: Sequence[int], alph
     good = F.filter("e", lambda r: r["good"] & r["depth"].isNotNull() & r["ivar"].isNotNull())
     x = fold.with_index(windows.box_depth_arrays(df, twds).withColumn("e", good))
     y, by = fold.spread_periods(
-        x.where(F.size("e") > 0).select("star", "i", "ncad", "e"), F.lit(p1), F.lit(p2),
+        x.where(F.size("e") > 0).select("star", "i", "ncad", "e", F.lit(p1).alias("p1"), F.lit(p2).alias("p2")), F.col("p1"), F.col("p2"),
         lambda P: fold.frac_periods(P, F.col("ncad")),
     )
     _, col = fold.wrap(F.col("i"), F.col("Pcad"))
@@ -160,33 +161,53 @@ def search_likelihood(df: DataFrame, p1: int, p2: int, twds: Sequence[int], alph
     )
 
 
+def segment_limits(df: DataFrame, segments: Sequence[dict]) -> DataFrame:
+    """(star, seg, p1, p2, twdG): segments in cadences of each star; those given in time units are
+    divided by its own cadence."""
+    edge = lambda s, k: F.lit(float(s[f"Pcad{k}"])) if "Pcad1" in s else F.lit(float(s[f"P{k}"])) / F.col("dt")
+    rows = [
+        F.struct(
+            F.lit(n).alias("seg"), edge(s, 1).alias("p1"), edge(s, 2).alias("p2"),
+            F.array(*[F.lit(int(k)) for k in s["twdG"]]).alias("twdG"),
+        )
+        for n, s in enumerate(segments)
+    ]
+    return cadence(df).select("star", F.explode(F.array(*rows)).alias("_s")).select("star", "_s.*")
+
+
 def periodogram(df: DataFrame, segments: Sequence[dict], mode: str = "max") -> DataFrame:
     """Run one search mode over segments and stack them.
 
-    A segment has ``twdG`` and either ``Pcad1, Pcad2`` (cadences) or ``P1, P2`` (time units). Output
-    has P and tdur in time units.
+    A segment has ``twdG`` and either ``Pcad1, Pcad2`` (cadences) or ``P1, P2`` (time units), which
+    every star reads in its own cadence. Output has P and tdur in time units.
     """
     from starfold.operators import boxes
 
-    dt = None
+    limits = cut_lineage(segment_limits(df, segments))
+    if mode == "max":
+        # All segments in one job.
+        twds = sorted({int(k) for s in segments for k in s["twdG"]})
+        return search_clipped(df, None, None, twds, limits).drop("seg")
     out = None
-    for s in segments:
-        if "Pcad1" not in s:
-            if dt is None:
-                dt = cadence(df).agg(F.max("dt")).first()[0]
-            s = {**s, "Pcad1": s["P1"] / dt, "Pcad2": s["P2"] / dt}
-        a, b, twds = s["Pcad1"], s["Pcad2"], [int(k) for k in s["twdG"]]
-        if mode == "max":
-            p = search_clipped(df, float(a), float(b), twds)
-        elif mode == "ffa":
-            p = _in_time_units(search_ffa(df, int(a), math.ceil(b), twds), df)
+    for n, s in enumerate(segments):
+        own, twds = limits.where(F.col("seg") == n).select("star", "p1", "p2"), [int(k) for k in s["twdG"]]
+        x = df.join(own, "star")
+        if mode == "ffa":
+            lo, hi = own.agg(F.min("p1"), F.max("p2")).first()
+            if lo is None:
+                continue
+            p = best_duration(duration_period_epoch(df, int(lo), math.ceil(hi), twds), ("star", "P0", "Pcad"))
+            p = p.join(own, "star").where((F.col("P0") >= F.floor("p1")) & (F.col("P0") < F.ceil("p2"))).drop("P0", "p1", "p2")
+            p = _in_time_units(p, df)
         elif mode == "bls":
-            p = _in_time_units(boxes.search_bls(df, a, b, twds[0], twds[-1]), df)
+            p = _in_time_units(boxes.search_bls(x, F.col("p1"), F.col("p2"), twds[0], twds[-1]), df)
         elif mode == "fm":
-            p = search_likelihood(df, int(a), math.ceil(b), twds)
+            p = search_likelihood(x, F.floor("p1"), F.ceil("p2"), twds)
         else:
             raise ValueError(mode)
         out = p if out is None else out.unionByName(p)
+    if out is None:
+        raise ValueError("no series to search")
     return out
 
 
@@ -196,7 +217,8 @@ def _in_time_units(p: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def bin_periodogram(pgram: DataFrame, nbins: int = 2000) -> DataFrame:
-    """The largest-s2n row per log-spaced period bin, for stars with more than ``nbins`` rows."""
+    """The largest-s2n row per log-spaced period bin, for stars with more than ``nbins`` rows; all rows
+    of the others."""
     lim = pgram.groupBy("star").agg(
         F.min("P").alias("_lo"), F.max("P").alias("_hi"), F.count(F.lit(1)).alias("_n")
     )
@@ -205,9 +227,10 @@ def bin_periodogram(pgram: DataFrame, nbins: int = 2000) -> DataFrame:
     # nbins edges make nbins-1 right-closed bins; the first edge is included.
     u = stats.safe_div(F.log10("P") - lo, hi - lo) * (nbins - 1)
     x = x.withColumn("Pbin", F.least(F.greatest(F.ceil(F.round(u, 9)) - 1, F.lit(0)), F.lit(nbins - 2)).cast("int"))
-    x = x.withColumn("_slot", F.when(F.col("_n") > nbins, F.col("Pbin").cast("double")).otherwise(F.col("Pcad")))
-    keep = [c for c in pgram.columns if c != "star"] + ["Pbin"]
-    return stats.top_row(x, ["star", "_slot"], [F.col("s2n"), -F.col("P")], keep).drop("_slot")
+    columns = [*pgram.columns, "Pbin"]
+    keep = [c for c in columns if c not in ("star", "Pbin")]
+    best = stats.top_row(x.where(F.col("_n") > nbins), ["star", "Pbin"], [F.col("s2n"), -F.col("P")], keep)
+    return best.select(*columns).unionByName(x.where(F.col("_n") <= nbins).select(*columns))
 
 
 def peak(pgram: DataFrame, keys: Sequence[str] = ("star",)) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starfold.functions import linalg, stats
-from starfold.functions.frames import short_series
 from starfold.functions.scalars import CADENCE_DAYS
 from starfold.operators import fold, windows
 from starfold.operators.clean import flux, median_filter, valid
@@ -21,9 +20,6 @@ from starfold.session import cut_lineage
 
 def with_time_span(df: DataFrame) -> DataFrame:
     """First and last time of the series on every row."""
-    if short_series():
-        w = Window.partitionBy("star")
-        return df.withColumns({"t_first": F.min("t").over(w), "t_last": F.max("t").over(w)})
     return df.join(df.groupBy("star").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last")), "star")
 
 
@@ -62,7 +58,7 @@ def bin_phasefold(df: DataFrame, spans: DataFrame) -> DataFrame:
     g = stats.agg_with_medians(
         x, ["star", "bin"],
         [F.count("f").alias("fcount"), F.avg("f").alias("fmean"), F.stddev_samp("f").alias("fstd")],
-        {"fmed": F.col("f")}, per_series=True,
+        {"fmed": F.col("f")},
     )
     spine = spans.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nbins").cast("long") - 1)))
     step = (F.col("hi") - F.col("lo")) / F.col("nbins")
@@ -139,14 +135,6 @@ def local_detrend(
     n, s1, s2, t0, t1 = (F.col(c) for c in ("_a0_0", "_a0_1", "_a1_1", "_b0", "_b1"))
     slope = stats.safe_div(n * t1 - s1 * t0, n * s2 - s1 * s1)
     line = F.array((t0 - slope * s1) / n, slope)
-    if poly_degree == 1 and short_series():
-        w = Window.partitionBy("star", "transit_id")
-        u, f = (F.when(F.col("continuum") == 1, F.col(c)) for c in ("u", "f"))
-        sums = {
-            "_a0_0": F.count(u), "_a0_1": F.sum(u), "_a1_1": F.sum(u * u), "_b0": F.sum(f), "_b1": F.sum(u * f), **counts,
-        }
-        x = x.withColumns({k: c.over(w) for k, c in sums.items()}).where(enough).withColumn("_c", line)
-        return x.withColumn("f", F.col("f") - trend).drop("_c", *sums)
     g = x.groupBy("star", "transit_id").agg(*[c.alias(k) for k, c in counts.items()], *up, *rhs).where(enough)
     if poly_degree == 1:
         g = g.withColumn("_c", line)
@@ -182,7 +170,6 @@ def single_event_table(df: DataFrame, candidates: DataFrame, twd: int) -> tuple[
     med = stats.group_medians(
         good, ["star"],
         {"ses_even": F.when(F.col("tnum") % 2 == 0, F.col("ses")), "ses_odd": F.when(F.col("tnum") % 2 == 1, F.col("ses"))},
-        per_series=True,
     )
     n = near.groupBy("star").agg(F.count(F.lit(1)).alias("num_trans"))
     seasons = {f"ses_{i}": F.lit(-99.0) for i in range(4)}
@@ -196,7 +183,7 @@ def robust_snr(ses: DataFrame, noise: DataFrame) -> DataFrame:
     g = x.groupBy("star").agg(
         F.avg(F.when(F.col("_rn") > 3, F.col("ses"))).alias("_mean"), F.count("ses").alias("n")
     )
-    m = stats.group_medians(x, ["star"], {"_med": F.col("ses")}, per_series=True)
+    m = stats.group_medians(x, ["star"], {"_med": F.col("ses")})
     y = g.join(m, "star").join(noise, "star")
     rt = F.sqrt("n")
     return y.select(
@@ -209,11 +196,7 @@ def bin_folded(folded: DataFrame, minutes: float) -> DataFrame:
     """Fixed-width bins of a folded curve (``tPF``, ``f``): count, mean, std, med and centre ``tb``.
     Bins with fewer than two points are dropped."""
     lims = {"_lo": F.min("tPF"), "hi": F.max("tPF"), "_n": F.count(F.lit(1))}
-    if short_series():
-        w = Window.partitionBy("star")
-        x = folded.withColumns({n: c.over(w) for n, c in lims.items()})
-    else:
-        x = folded.join(folded.groupBy("star").agg(*[c.alias(n) for n, c in lims.items()]), "star")
+    x = folded.join(folded.groupBy("star").agg(*[c.alias(n) for n, c in lims.items()]), "star")
     nb = F.greatest(F.rint((F.col("hi") - F.col("_lo")) / (minutes / 1440.0)), F.lit(1.0))
     x = x.where("_n >= 2").withColumns({"nb": nb, "lo": F.col("_lo") - 0.001})
     x = x.withColumn("bin", bin_index(F.col("tPF"), F.col("lo"), F.col("hi"), F.col("nb"))).where("bin IS NOT NULL")
@@ -221,7 +204,7 @@ def bin_folded(folded: DataFrame, minutes: float) -> DataFrame:
     g = stats.agg_with_medians(
         x, ["star", "bin"],
         [F.count("f").alias("count"), F.avg("f").alias("mean"), F.stddev_samp("f").alias("std"), centre.alias("tb")],
-        {"med": F.col("f")}, per_series=True,
+        {"med": F.col("f")},
     )
     return g.where("std IS NOT NULL")
 
@@ -294,43 +277,46 @@ def scar(pgram: DataFrame, top: float = 0.9) -> DataFrame:
     """90th percentile of the nearest-neighbour distance among the points of the highest s2n, in the
     plane of scaled period and epoch phase (needs ``Pcad, t0cad, s2n``).
 
-    Neighbours come from grid cells; points without one near enough go on to a coarser grid, until
-    the grid is one cell.
+    Points in the same place are each other's neighbours at distance 0. Neighbours come from grid
+    cells; points without one near enough go on to a coarser grid, until the grid is one cell. Each
+    grid's distances are written, so the plan does not grow.
     """
     cut = stats.group_quantiles(pgram, ["star"], {"_c": F.col("s2n")}, top)
     p = pgram.join(cut, "star").where("s2n > _c").select("star", "Pcad", (F.col("t0cad") / F.col("Pcad")).alias("y"))
     lim = p.groupBy("star").agg(F.min("Pcad").alias("_lo"), F.max("Pcad").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     p = p.join(lim, "star").select(
-        "star", stats.safe_div(F.col("Pcad") - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias("x"), "y", "_n"
+        "star", stats.safe_div(F.col("Pcad") - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias("x"), "y", "_n",
+        F.monotonically_increasing_id().alias("_id"),
     )
     p = cut_lineage(p)
     n = p.agg(F.max("_n")).first()[0] or 1
     h = 1.0 / max(1.0, math.sqrt(n))
     cell = lambda c: F.floor(F.col(c) / h)
-    state = p.select("star", "x", "y").withColumn("d", F.lit(None).cast("double"))
+    state = p.select("star", "_id", "x", "y").withColumn("d", F.lit(None).cast("double"))
     here = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     while True:
         last = h >= 1.5
-        pts = p.select("star", F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+        pts = p.select("star", F.col("_id").alias("_other"), F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_cx"), cell("y").alias("_cy"))
         q = state.withColumn("_o", F.explode(F.when(F.col("d").isNull(), around).otherwise(here)))
         q = q.withColumns({"_qx": cell("x") + F.col("_o.a"), "_qy": cell("y") + F.col("_o.b")}).alias("q")
         on = (
             (F.col("q.star") == F.col("p.star")) & (F.col("_qx") == F.col("_cx")) & (F.col("_qy") == F.col("_cy"))
             & F.col("q.d").isNull()
         )
-        j = q.join(pts.alias("p"), on, "left").select("q.star", "x", "y", "d", "_x", "_y")
-        other = (F.col("x") != F.col("_x")) | (F.col("y") != F.col("_y"))
+        j = q.join(pts.alias("p"), on, "left").select("q.star", "_id", "x", "y", "d", "_other", "_x", "_y")
+        other = F.col("_id") != F.col("_other")
         d2 = F.pow(F.col("x") - F.col("_x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("_y"), F.lit(2.0))
-        g = j.groupBy("star", "x", "y").agg(F.max("d").alias("_d"), F.sqrt(F.min(F.when(other, d2))).alias("_new"))
+        g = j.groupBy("star", "_id", "x", "y").agg(F.max("d").alias("_d"), F.sqrt(F.min(F.when(other, d2))).alias("_new"))
         near = F.lit(True) if last else F.col("_new") <= h
-        state = g.select("star", "x", "y", F.coalesce("_d", F.when(near, F.col("_new"))).alias("d"))
+        state = cut_lineage(g.select("star", "_id", "x", "y", F.coalesce("_d", F.when(near, F.col("_new"))).alias("d")))
         if last:
             break
         h *= 6
     return stats.group_quantiles(state, ["star"], {"scar": F.col("d")}, 0.9)
 
 
+# Fixed values.
 HARMONICS = (1.0, 1 / 2, 1 / 3, 2.0, 3.0)
 
 
@@ -435,8 +421,8 @@ def phasefold_shifted(df: DataFrame, candidates: DataFrame, shift: float, dt: fl
 
 def robust_limits(df: DataFrame, col: str, p: float, fac: float, keys: Sequence[str] = ("star",)) -> DataFrame:
     """p-th and (100-p)-th percentile, widened by ``fac`` times their span."""
-    lo = stats.group_quantiles(df, keys, {"_lo": F.col(col)}, p / 100.0, per_series=True)
-    hi = stats.group_quantiles(df, keys, {"_hi": F.col(col)}, 1 - p / 100.0, per_series=True)
+    lo = stats.group_quantiles(df, keys, {"_lo": F.col(col)}, p / 100.0)
+    hi = stats.group_quantiles(df, keys, {"_hi": F.col(col)}, 1 - p / 100.0)
     span = F.col("_hi") - F.col("_lo")
     return lo.join(hi, list(keys)).select(*keys, (F.col("_lo") - span * fac).alias("lo"), (F.col("_hi") + span * fac).alias("hi"))
 

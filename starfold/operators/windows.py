@@ -107,5 +107,5 @@ def circular_hat(df: DataFrame, keys: Sequence[str], n: Column, width: int, valu
 
 def noise_per_duration(depths: DataFrame, factor: float = 1.0, value: str = "d") -> DataFrame:
     """factor x median|value| per (star, twd)."""
-    m = stats.group_medians(depths, ["star", "twd"], {"_m": F.abs(F.col(value))}, per_series=True)
+    m = stats.group_medians(depths, ["star", "twd"], {"_m": F.abs(F.col(value))})
     return m.select("star", "twd", (F.col("_m") * factor).alias("noise"))

@@ -67,9 +67,10 @@ def secondary_eclipse_search(lc: DataFrame, candidates: DataFrame, phase_limit:
     x = validate.fold_on(centre(lc), candidates)
     x = x.withColumn("fmask", F.col("fmask") | (F.abs("phase") < phase_limit)).withColumn("f", F.when(~F.col("fmask"), F.col("f")).otherwise(0.0))
     p = search.peak(search_near(x.select(*lc.columns), candidates, search.cadence(lc)))
-    y = p.join(candidates.select("star", "P", "t0"), "star")
+    # A star whose search leaves no row stays, without significance or epoch.
+    y = candidates.select("star", "P", "t0").join(p, "star", "left")
     return y.select(
-        "star", F.col("grid_s2n").alias("se_s2n"), F.col("grid_t0").alias("se_t0"),
+        "star", F.coalesce("grid_s2n", F.lit(0.0)).alias("se_s2n"), F.col("grid_t0").alias("se_t0"),
         ((F.col("grid_t0") - F.col("t0")) / F.col("P")).alias("se_phase"),
     )
 
@@ -80,7 +81,8 @@ def cut_search(lc: DataFrame, candidates: DataFrame, tdurcad: int) -> DataFrame:
     x = clean.grow_mask(x, "transit", tdurcad, tdurcad - 1, "_cut")
     x = x.withColumn("fmask", F.col("fmask") | (F.col("_cut") > 0)).withColumn("f", F.when(~F.col("fmask"), F.col("f")).otherwise(0.0))
     p = search.peak(search_near(x.select(*lc.columns), candidates, search.cadence(lc)))
-    return p.select("star", F.col("grid_s2n").alias("s2ncut"), F.col("grid_t0").alias("s2ncut_t0"), F.col("grid_mean").alias("s2ncut_mean"))
+    p = candidates.select("star").join(p, "star", "left")
+    return p.select("star", F.coalesce("grid_s2n", F.lit(0.0)).alias("s2ncut"), F.col("grid_t0").alias("s2ncut_t0"), F.col("grid_mean").alias("s2ncut_mean"))
 
 
 def secondary_fold(lc: DataFrame, candidates: DataFrame, cut: DataFrame, **fold_args) -> tuple[DataFrame, DataFrame]:
@@ -109,20 +111,22 @@ def multi_search(lc: DataFrame, search_once, min_s2n: float = 8.0, max_passes: i
     """Search, record the peak, mask its transits, and again while s2n is high enough.
 
     ``search_once`` maps light curves to peaks (star, grid_s2n, grid_P, grid_t0, grid_tdur). A pass
-    handles all stars still active; the found candidates are written after it.
+    handles all stars still active and records what it finds; the peak of a star's last pass, too low
+    to go on with, is among its candidates.
     """
     lc = cut_lineage(lc)
     found, active = None, lc
     for n in range(1, max_passes + 1):
-        peaks = cut_lineage(search_once(active).where(F.col("grid_s2n") >= min_s2n))
-        if peaks.isEmpty():
-            break
+        peaks = cut_lineage(search_once(active))
         rows = peaks.select(
             "star", F.lit(n).alias("candidate"), F.col("grid_s2n").alias("s2n"), F.col("grid_P").alias("P"),
             F.col("grid_t0").alias("t0"), F.col("grid_tdur").alias("tdur"),
         )
         found = rows if found is None else found.unionByName(rows)
-        active = mask_candidates(lc.join(peaks.select("star"), "star", "left_semi"), found)
+        strong = peaks.where(F.col("grid_s2n") >= min_s2n).select("star")
+        if strong.isEmpty():
+            break
+        active = mask_candidates(lc.join(strong, "star", "left_semi"), found)
     if found is None:
         found = lc.sparkSession.createDataFrame([], "star STRING, candidate INT, s2n DOUBLE, P DOUBLE, t0 DOUBLE, tdur DOUBLE")
     return found

@@ -56,15 +56,3 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _series(
         df, F.lpad(F.col("s_nationkey").cast("string"), 2, "0"), F.floor(days / 5), F.col("l_extendedprice"), 1, 50
     )
-
-
-def span(spark: SparkSession, sf_dir: str, kind: str) -> int:
-    """Number of cadences from the first to the last of any series, measured on the time column."""
-    table, ts, step = {
-        "hourly": ("events", "ts", 3600),
-        "daily": ("lineitem", "l_shipdate", 86400),
-        "ensemble": ("lineitem", "l_shipdate", 5 * 86400),
-    }[kind]
-    secs = F.unix_seconds(F.col(ts).cast("timestamp"))
-    a, b = read(spark, sf_dir, table).agg(F.min(secs), F.max(secs)).first()
-    return (b - a) // step + 2

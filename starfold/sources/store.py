@@ -98,9 +98,11 @@ class ResultStore:
 
 
 def stage(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
-    """The stage table at ``path``; built and written first if absent or ``force``."""
-    if force:
+    """The stage table at ``path``; built and written first if absent, unfinished or ``force``.
+
+    A write that ended leaves the file ``_SUCCESS``; a folder without it is of a run that broke off.
+    """
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if force or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("overwrite").parquet(path)
-    else:
-        build().write.mode("ignore").parquet(path)
     return spark.read.parquet(path)

@@ -1,5 +1,5 @@
-"""Compare registered queries with their SQL in DuckDB: python -m tests.check [sf0.01] [--long] [names
-or prefixes]. With --long the series lengths are left unmeasured."""
+"""Compare registered queries with their SQL in DuckDB: python -m tests.check [sf0.01] [names
+or prefixes]."""
 
 from __future__ import annotations
 
@@ -59,11 +59,9 @@ def main(argv):
     sf = "sf0.01"
     if argv and argv[0].startswith("sf0"):
         sf, argv = argv[0], argv[1:]
-    measured = "--long" not in argv
-    argv = [a for a in argv if a != "--long"]
     spark = get_spark("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
-    q, sql = all_queries(measured), all_sql()
+    q, sql = all_queries(), all_sql()
     names = [n for n in q if not argv or any(n == a or n.startswith(a) for a in argv)]
     con, bad = connect(sf), 0
     for n in names:
