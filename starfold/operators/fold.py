@@ -30,6 +30,8 @@ def shuffle_width(df: DataFrame) -> int:
 
 def longest(df: DataFrame) -> int:
     """Cadences from the first to the last of the longest series; 1 if there is none."""
+    if "ncad" in df.columns:
+        return df.agg(F.max("ncad")).first()[0] or 1
     span = df.groupBy("star").agg((F.max("cad") - F.min("cad") + 1).alias("n"))
     return span.agg(F.max("n")).first()[0] or 1
 
@@ -138,12 +140,13 @@ def unit_periods(P: Column) -> Column:
 
 def spread_periods(
     df: DataFrame, p1: Column, p2: Column, expand: Callable[[Column], Column] | None = None,
-    keys: Sequence[str] = ("star",), chunks: int = CHUNKS_PER_SERIES,
+    keys: Sequence[str] = ("star",), chunks: int = CHUNKS_PER_SERIES, cadences: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Every row once per trial period in [p1, p2), with columns ``Pbase`` and ``Pcad``.
 
-    Returns the rows and the key columns by which they are already partitioned. Series longer than
-    a block are split by block as well; aggregates then need a second, small merge.
+    Returns the rows and the key columns by which they are already partitioned. If the longest series
+    (``cadences``, measured if not given) is longer than a block, series are split by block as well;
+    aggregates then need a second exchange to merge them. The results are the same.
     """
     n = F.ceil(p2.cast("double") - p1.cast("double"))
     x = df.withColumns({"_p1": p1.cast("double"), "_np": n}).where("_np > 0")
@@ -151,8 +154,9 @@ def spread_periods(
     chunk = F.col("_chunk")
     x = x.withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_np") - 1) / chunk))))
     by = [*keys, "pchunk"]
-    x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
-    by.append("pblock")
+    if (longest(df) if cadences is None else cadences) > CADENCES_PER_BLOCK:
+        x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
+        by.append("pblock")
     x = x.repartition(shuffle_width(df), *by)
     bases = F.transform(
         F.sequence(F.col("pchunk") * chunk, F.least(F.col("_np"), (F.col("pchunk") + 1) * chunk) - 1),
@@ -258,8 +262,9 @@ def fold_phase_bins(
     chunk = F.col("_n")
     x = x.withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_nf") - 1) / chunk))))
     by = [*keys, "pchunk"]
-    x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
-    by.append("pblock")
+    if longest(df) > CADENCES_PER_BLOCK:
+        x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
+        by.append("pblock")
     # The frequencies of a chunk are made after the exchange.
     x = x.repartition(shuffle_width(df), *by).withColumn("_f", F.slice(freqs, (F.col("pchunk") * chunk + 1).cast("int"), chunk))
     x = x.select("*", F.posexplode("_f").alias("_k", "freq")).withColumn("jf", F.col("pchunk") * chunk + F.col("_k"))

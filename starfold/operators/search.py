@@ -88,7 +88,7 @@ def search_clipped(
     n = fold.longest(df)
     y, by = fold.spread_periods(
         x.where(F.size("e") > 0).select("star", *seg, "i", "ncad", "e", "p1", "p2"), F.col("p1"), F.col("p2"),
-        lambda P: fold.frac_periods(P, F.col("ncad")), ("star", *seg),
+        lambda P: fold.frac_periods(P, F.col("ncad")), ("star", *seg), cadences=n,
     )
     row, col = fold.wrap(F.col("i"), F.col("Pcad"))
     y = y.withColumns({"row": row, "col": col}).select(*by, "Pcad", "row", "col", F.explode("e").alias("_e"))
@@ -124,7 +124,7 @@ def search_likelihood(df: DataFrame, p1: int | Column, p2: int | Column, twds: S
     x = fold.with_index(windows.box_depth_arrays(df, twds).withColumn("e", good))
     y, by = fold.spread_periods(
         x.where(F.size("e") > 0).select("star", "i", "ncad", "e", F.lit(p1).alias("p1"), F.lit(p2).alias("p2")), F.col("p1"), F.col("p2"),
-        lambda P: fold.frac_periods(P, F.col("ncad")),
+        lambda P: fold.frac_periods(P, F.col("ncad")), cadences=fold.longest(df),
     )
     _, col = fold.wrap(F.col("i"), F.col("Pcad"))
     y = y.withColumn("col", col).select(*by, "Pcad", "col", F.explode("e").alias("_e")).select(*by, "Pcad", "col", "_e.*")
