@@ -67,7 +67,8 @@ def spline_trend(
     """Least-squares cubic spline with floor(base/lendt)+1 even knots per group, ends left out.
 
     Any basis on the same knots gives the same curve. Uniform B-splines touch four coefficients per
-    point, so the normal equations are plain sums per knot cell; the banded solve is per group.
+    point, so the normal equations are plain sums per knot cell; the solve along their band is per group, its memory four numbers a
+    knot.
     """
     k = list(keys)
     good = F.col(value).isNotNull() if ok is None else ok
@@ -86,16 +87,14 @@ def spline_trend(
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         m = int(pdf["_m"].iloc[0])
-        a, b = np.zeros((m + 3, m + 3)), np.zeros(m + 3)
-        for row in pdf.itertuples(index=False):
-            c = row[pdf.columns.get_loc("_cell")]
-            for i in range(4):
-                b[c + i] += row[pdf.columns.get_loc(f"_b{i}")]
-                for j in range(4):
-                    a[c + i, c + j] += row[pdf.columns.get_loc(f"_a{min(i, j)}_{max(i, j)}")]
-        coef = np.linalg.lstsq(a, b, rcond=1e-13)[0]
+        band, b, c = np.zeros((m + 3, 4)), np.zeros(m + 3), pdf["_cell"].to_numpy()
+        for i in range(4):
+            b[c + i] += pdf[f"_b{i}"].to_numpy()
+            for j in range(i, 4):
+                band[c + i, j - i] += pdf[f"_a{i}_{j}"].to_numpy()
+        coef = linalg.solve_band(band, b)
         head = {c: [pdf[c].iloc[0]] * m for c in k}
-        return pd.DataFrame({**head, "_cell": range(m), **{f"_k{i}": [coef[c + i] for c in range(m)] for i in range(4)}})
+        return pd.DataFrame({**head, "_cell": range(m), **{f"_k{i}": coef[i : i + m] for i in range(4)}})
 
     kt = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{c}` {kt[c]}" for c in k) + ", _cell int, " + ", ".join(f"_k{i} double" for i in range(4))

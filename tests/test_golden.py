@@ -247,6 +247,57 @@ def test_modes_are_recovered(spark):
     assert np.allclose(s, np.linalg.svd(m)[1][:2])
     p = ensemble.projections(z, modes, 2)
     assert p.agg(F.max(F.abs("x2"))).first()[0] < 1e-9
+    # More components than the matrix has rank: the rest is zero.
+    modes, s = ensemble.svd_modes(z, 3)
+    assert s[2] == 0.0 and modes.agg(F.max(F.abs(F.col("u")[2]))).first()[0] == 0.0
+
+
+def test_band_solve():
+    """Against a dense least-squares fit, with empty cells, and along a long band."""
+    from starfold.functions.linalg import solve_band
+
+    rng = np.random.default_rng(5)
+    for m, n in ((1, 2), (1, 50), (30, 400), (30, 12)):
+        u = np.sort(rng.uniform(0, m, n))
+        u = u[(u < 10) | (u > 17)]
+        c = np.minimum(u.astype(int), m - 1)
+        x = u - c
+        design = np.zeros((len(u), m + 3))
+        for i, v in enumerate([(1 - x) ** 3 / 6, (3 * x**3 - 6 * x**2 + 4) / 6, (-3 * x**3 + 3 * x**2 + 3 * x + 1) / 6, x**3 / 6]):
+            design[np.arange(len(u)), c + i] += v
+        y = np.cos(u) + rng.normal(size=len(u))
+        a = design.T @ design
+        band = np.array([[a[i, i + o] if i + o < m + 3 else 0.0 for o in range(4)] for i in range(m + 3)])
+        want = design @ np.linalg.lstsq(design, y, rcond=None)[0]
+        assert np.allclose(design @ solve_band(band, design.T @ y), want, atol=1e-5)
+    n = 200_000
+    band = np.tile([4.0, 1.0, 0.5, 0.25], (n, 1))
+    x = solve_band(band, np.ones(n))
+    assert np.allclose(x[n // 2], 1 / (4 + 2 * 1.75))
+    assert (solve_band(np.zeros((3, 4)), np.zeros(3)) == 0).all()
+
+
+def test_modes_equal_dense_decomposition(spark):
+    """Full rank and two planted outliers, which the robust form drops."""
+    from starfold.operators import ensemble
+
+    rng = np.random.default_rng(8)
+    u = np.linalg.qr(rng.normal(size=(80, 3)))[0]
+    m = rng.normal(size=(40, 3)) * [9, 6, 4] @ u.T + 0.2 * rng.normal(size=(40, 80))
+    big = m.copy()
+    big[[3, 17]] += np.array([[4000.0], [-2500.0]]) * u[:, 0]
+    table = lambda x: spark.createDataFrame(
+        [(f"s{i:02d}", j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r)], "star STRING, cad BIGINT, z DOUBLE"
+    )
+    modes, s = ensemble.svd_modes(table(m), 3)
+    _, want, v = np.linalg.svd(m)
+    got = np.array([r["u"] for r in modes.orderBy("cad").collect()])
+    assert np.allclose(s, want[:3], rtol=1e-9)
+    assert np.allclose(np.abs(np.sum(got * v[:3].T, axis=0)), 1, atol=1e-8)
+    assert (got[np.abs(got).argmax(axis=0), range(3)] > 0).all()
+    _, p, s = ensemble.robust_svd(table(big), 3, x2_limits=(0.0, 3.0))
+    assert {r["star"] for r in p.collect()} == {f"s{i:02d}" for i in range(40) if i not in (3, 17)}
+    assert np.allclose(s, np.linalg.svd(np.delete(m, [3, 17], axis=0))[1][:3], rtol=1e-8)
 
 
 def test_quarter_given_twice_is_an_error(spark):
