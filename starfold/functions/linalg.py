@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -39,31 +41,36 @@ def symmetric(k: int) -> tuple[Column, Column]:
     return F.array(*full), F.array(*[F.col(f"_b{i}") for i in range(k)])
 
 
-def solve_band(band: np.ndarray, rhs: np.ndarray, rel: float = 1e-13) -> np.ndarray:
-    """Solve A x = rhs for a positive semi-definite A given by ``band[i, o] = A[i, i + o]``.
+def band_solver() -> Callable[..., np.ndarray]:
+    """``solve_band``, made here so that tasks get it by value and need not import this package."""
 
-    Elimination along the band, so memory and time grow with its length. A row whose pivot falls to
-    ``rel`` of the largest diagonal element depends on those before it and gets 0; for normal
-    equations any such solution fits equally well.
-    """
-    a, x = band.tolist(), rhs.tolist()
-    n, width = len(x), band.shape[1]
-    low = max(float(band[:, 0].max(initial=0.0)) * rel, 0.0)
-    for i, row in enumerate(a):
-        if row[0] <= low:
-            a[i] = None
-            continue
-        for o in range(1, min(width, n - i)):
-            f = row[o] / row[0]
-            if f:
-                below = a[i + o]
-                for j in range(o, width):
-                    below[j - o] -= f * row[j]
-                x[i + o] -= f * x[i]
-    for i in range(n - 1, -1, -1):
-        row = a[i]
-        if row is None:
-            x[i] = 0.0
-        else:
-            x[i] = (x[i] - sum(row[o] * x[i + o] for o in range(1, min(width, n - i)))) / row[0]
-    return np.array(x)
+    def solve_band(band: np.ndarray, rhs: np.ndarray, rel: float = 1e-13) -> np.ndarray:
+        """Solve A x = rhs for a positive semi-definite A given by ``band[i, o] = A[i, i + o]``.
+
+        Elimination along the band, so memory and time grow with its length. A row whose pivot falls to
+        ``rel`` of the largest diagonal element depends on those before it and gets 0; for normal
+        equations any such solution fits equally well.
+        """
+        a, x = band.tolist(), rhs.tolist()
+        n, width = len(x), band.shape[1]
+        low = max(float(band[:, 0].max(initial=0.0)) * rel, 0.0)
+        for i, row in enumerate(a):
+            if row[0] <= low:
+                a[i] = None
+                continue
+            for o in range(1, min(width, n - i)):
+                f = row[o] / row[0]
+                if f:
+                    below = a[i + o]
+                    for j in range(o, width):
+                        below[j - o] -= f * row[j]
+                    x[i + o] -= f * x[i]
+        for i in range(n - 1, -1, -1):
+            row = a[i]
+            if row is None:
+                x[i] = 0.0
+            else:
+                x[i] = (x[i] - sum(row[o] * x[i + o] for o in range(1, min(width, n - i)))) / row[0]
+        return np.array(x)
+
+    return solve_band

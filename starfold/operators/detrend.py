@@ -85,6 +85,8 @@ def spline_trend(
     sums = x.where(good).groupBy(*k, "_m", "_cell").agg(*up, *rhs)
     names = [f"_a{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"_b{i}" for i in range(4)]
 
+    solve_band = linalg.band_solver()
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         m = int(pdf["_m"].iloc[0])
         band, b, c = np.zeros((m + 3, 4)), np.zeros(m + 3), pdf["_cell"].to_numpy()
@@ -92,7 +94,7 @@ def spline_trend(
             b[c + i] += pdf[f"_b{i}"].to_numpy()
             for j in range(i, 4):
                 band[c + i, j - i] += pdf[f"_a{i}_{j}"].to_numpy()
-        coef = linalg.solve_band(band, b)
+        coef = solve_band(band, b)
         head = {c: [pdf[c].iloc[0]] * m for c in k}
         return pd.DataFrame({**head, "_cell": range(m), **{f"_k{i}": coef[i : i + m] for i in range(4)}})
 
