@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,18 +22,27 @@ SHARD, SAMPLE = 8192, 1 << 21
 DIRECT = 512
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles, repeats counted; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """64-bit hashes of the word shingles, in order and with repeats; a text with fewer words is one
+    shingle, a text without words has none."""
     words = text.encode().lower().split() if text else []  # bytes.lower changes A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     stops = ends[-n:] if len(words) >= shingle else ends[-1:]
     parts = map(joined.__getitem__, map(slice, starts[:n].tolist(), stops.tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles, repeats counted; 0 for a text without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bits unpacked for so many shingles at a time
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -203,13 +212,16 @@ def simhash_groups(
     )
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of: Callable[..., DataFrame] = simhash_groups
+) -> DataFrame:
     """The documents, all columns, without those that a smaller id of their group stands for.
+    ``groups_of`` gives every named document its ``component_id``.
 
     The ids to drop are joined to the texts; only a list of measured small size is broadcast. Of
     rows that share a kept id one stays. Rows with a null id cannot be told apart by id and stay.
     """
-    groups = cut_lineage(simhash_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"))
+    groups = cut_lineage(groups_of(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"))
     own = docs.select(whole_row(docs).alias("_row"), F.col(id_col).cast("long").alias("_id"))
     out = beside(own, groups.where("_id <> component_id").select("_id").distinct(), "_id", "left_anti", 16)
     again = cut_lineage(groups.where("_id = component_id").groupBy("_id").count().where("count > 1").select("_id"))

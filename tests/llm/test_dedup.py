@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from starfold.llm import embedding_dedup, simhash_dedup, substring_dedup
+import corpus_pipeline
+from starfold.llm import embedding_dedup, jaccard_dedup, simhash_dedup, substring_dedup
 from starfold.llm.catalog import QUERIES
 from starfold.llm.common import local_components
 from starfold.llm.components import connected_components
@@ -153,6 +154,50 @@ def test_odd_texts_have_groups(odd_docs, empty_docs):
     assert simhash_dedup.simhash_groups(empty_docs).count() == simhash_dedup.first_of_groups(empty_docs).count() == 0
 
 
+def jaccard_components(docs):
+    """Smallest id of each group of texts with a 5-word Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for d, t in docs:
+        w = WORDS.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[d] = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return smallest_reachable(list(sets), pairs)
+
+
+@pytest.mark.parametrize("often", [(8, 6, 1 << 20), (1, 2, 1 << 20), (1, 3, 40)])
+def test_stage_drops_every_near_copy(spark, monkeypatch, often):
+    for name, value in zip(("EVERY", "OFTEN", "HOT"), often):
+        monkeypatch.setattr(jaccard_dedup, name, value)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(60)]
+    docs, d = [(0, None), (1, " "), (2, "A b"), (3, "a B"), (4, "a b c")], 10
+    for _ in range(40):
+        base = [word() for _ in range(rng.randrange(20, 150))] + passage * rng.randrange(2)
+        for _ in range(rng.randrange(1, 10)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = word()
+            docs.append((d, " ".join(w)))
+            d += 1
+    # Exactly at the threshold (8 of 10 shingles) and just below it (7 of 9).
+    docs += [(900, "a b c d e f g h i j k l m"), (901, "a b c d e f g h i j k l x y"), (902, "q r s t u v w x y z A1 A2"), (903, "q r s t u v w x y z A1 A3 A4")]
+    w = [f"z{k}" for k in range(14)]
+    docs += [(910, " ".join(w)), (911, " ".join(w[:12])), (912, " ".join(w[2:]))]
+    rng.shuffle(docs)
+    want = jaccard_components(docs)
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+    assert {r.doc_id: r.component_id for r in jaccard_dedup.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+    assert len(set(want.values())) < len(docs) / 1.3
+
+
+def test_stage_on_documents_as_brute_force(spark):
+    docs = connect("sf0.01").sql("SELECT doc_id, text FROM documents").fetchall()
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet")), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(jaccard_components(docs).values()))
+
+
 def without_repeats(docs):
     first, out = {}, {}
     for d, t in sorted(docs):
