@@ -110,13 +110,13 @@ def plan(
         )
     )
     targets = source_targets(sized, weights, share, float(most))
-    whole = F.coalesce(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)), F.lit(0)).cast("long")
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)))
     targets = cut_lineage(
-        targets.withColumn("copies", whole).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
+        targets.withColumn("copies", F.coalesce(whole, F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     )
     thresholds = hash_thresholds(sized, targets)
-    # A source with nothing left to take needs no threshold.
-    low = F.when(F.col("copies") < most, F.col("threshold")).otherwise(F.lit(0))
+    # A source with nothing left to take needs no threshold, nor one without words.
+    low = F.when((F.col("copies") < most) & (F.col("source_size") > 0), F.col("threshold")).otherwise(F.lit(0))
     return sized, cut_lineage(targets.join(thresholds, "key").withColumn("threshold", low))
 
 

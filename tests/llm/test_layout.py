@@ -36,6 +36,14 @@ def test_mix_of_odd_documents(odd_docs, empty_docs):
     assert mixing.mix(empty_docs).count() == mixing.mixed_documents(empty_docs).count() == 0
 
 
+def test_mix_with_a_source_without_words(spark, odd_docs):
+    blank = odd_docs.where("doc_id IN (1, 2, 3)").withColumn("source", F.lit("no words"))
+    got = mixing.mix(odd_docs.unionByName(blank)).toPandas()
+    own = got[got.source_size == 0]
+    assert len(got) == odd_docs.count() + 3 and len(own) >= 3 and (own.target == 0).all() and (own.taken == 0).all()
+    assert got.taken.sum() > 0 and mixing.mixed_documents(blank).count() == 0
+
+
 def check_shards(rows, shards):
     counts = rows.groupby("shard").slot.agg(["count", "min", "max", "nunique"])
     assert counts["count"].max() - rows.groupby("shard").size().reindex(range(shards), fill_value=0).min() <= 1
