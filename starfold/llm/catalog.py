@@ -10,6 +10,7 @@ from starfold.llm.quality_classifier import op10_quality_classifier
 from starfold.llm.quality_rules import OP4_SQL, op4_quality_rules
 from starfold.llm.sharding import op8_sharding
 from starfold.llm.simhash_dedup import op3_simhash_dedup
+from starfold.llm.spelling_variants import OP11_SQL, op11_spelling_variants
 from starfold.llm.substring_dedup import op7_substring_dedup
 from starfold.llm.url_filter import OP6_SQL, op6_url_filter
 
@@ -26,6 +27,7 @@ QUERIES = {
         op8_sharding,
         op9_packing,
         op10_quality_classifier,
+        op11_spelling_variants,
     )
 }
-SQL = {"op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_filter": OP6_SQL}
+SQL = {"op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_filter": OP6_SQL, "op11_spelling_variants": OP11_SQL}
