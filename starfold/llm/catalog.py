@@ -6,6 +6,7 @@ from starfold.llm.embedding_dedup import op1_embedding_dedup
 from starfold.llm.mixing import OP2_SQL, op2_mixing
 from starfold.llm.packing import op9_packing
 from starfold.llm.pii import op5_pii
+from starfold.llm.prefix_trie import OP12_SQL, op12_conversation_prefix_trie
 from starfold.llm.quality_classifier import op10_quality_classifier
 from starfold.llm.quality_rules import OP4_SQL, op4_quality_rules
 from starfold.llm.sharding import op8_sharding
@@ -28,6 +29,7 @@ QUERIES = {
         op9_packing,
         op10_quality_classifier,
         op11_spelling_variants,
+        op12_conversation_prefix_trie,
     )
 }
-SQL = {"op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_filter": OP6_SQL, "op11_spelling_variants": OP11_SQL}
+SQL = {"op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_filter": OP6_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_prefix_trie": OP12_SQL}

@@ -13,6 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A list joined to the texts is broadcast up to this many bytes, and shuffled beyond.
 BROADCAST_BYTES = 32 << 20
 
+#: SQL for DuckDB, which has no crc32: the value of a blob ``b`` over the table ``t`` of ``crc_table``.
+CRC_TABLE_SQL = """crc_table AS (
+    SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+    FROM range(256) r(i)
+)"""
+CRC_SQL = """xor(4294967295, list_reduce([4294967295] || list_transform(range(octet_length(b)),
+        lambda i: ('0x' || substr(hex(b), (2 * i + 1)::BIGINT, 2))::BIGINT), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])))"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

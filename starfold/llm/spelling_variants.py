@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm.common import table
+from starfold.llm.common import CRC_SQL, CRC_TABLE_SQL, table
 from starfold.session import cut_lineage, release
 
 #: What a word is made of, and what stays of it by the query's contract.
@@ -216,14 +216,6 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), typo_every=TYPO_EVERY)
 
 
-#: CRC-32 of a blob ``b`` over the table ``t`` of ``crc_table``.
-CRC_TABLE_SQL = """crc_table AS (
-    SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
-    FROM range(256) r(i)
-)"""
-CRC_SQL = """xor(4294967295, list_reduce([4294967295] || list_transform(range(octet_length(b)),
-        lambda i: ('0x' || substr(hex(b), (2 * i + 1)::BIGINT, 2))::BIGINT), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])))"""
-
 OP11_SQL = f"""
 WITH RECURSIVE {CRC_TABLE_SQL}, runs AS (
     SELECT doc_id, unnest(regexp_extract_all(
