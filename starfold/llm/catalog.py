@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from starfold.llm.embedding_dedup import op1_embedding_dedup
+from starfold.llm.language_id import op13_language_id
 from starfold.llm.mixing import OP2_SQL, op2_mixing
 from starfold.llm.packing import op9_packing
 from starfold.llm.pii import op5_pii
@@ -30,6 +31,7 @@ QUERIES = {
         op10_quality_classifier,
         op11_spelling_variants,
         op12_conversation_prefix_trie,
+        op13_language_id,
     )
 }
 SQL = {"op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_filter": OP6_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_prefix_trie": OP12_SQL}
