@@ -62,7 +62,8 @@ def word_counts(
                 if len(held) > HELD:
                     yield rows(held)
                     held = Counter()
-        yield rows(held)
+        if held:
+            yield rows(held)
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     counts = texts.where("text IS NOT NULL").mapInPandas(run, "word string, n long").where(F.length("word") >= min_length)
