@@ -1,8 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles: an all-pairs join by rare prefixes."""
+"""Near copies by Jaccard similarity of word shingles: candidates by SimHash and MinHash, exact links."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +10,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm import common
-from starfold.llm.common import beside
+from starfold.llm.common import beside, local_components
 from starfold.llm.components import connected_components
-from starfold.llm.simhash_dedup import shingle_hashes
+from starfold.llm.simhash_dedup import fingerprint_edges, shingle_hashes, simhash
 from starfold.session import cut_lineage, release
 
-#: One in so many texts is counted for frequent shingles; a shingle of so many of them is frequent;
-#: so many frequent ones, the most frequent first, are ordered last.
-EVERY, OFTEN, HOT = 8, 6, 1 << 20
+#: Bands and rows of the MinHash signature: two sets meet in a band with probability
+#: 1 - (1 - J**ROWS)**BANDS, which is 1 - 8e-6 at J = 0.8, 0.22 at 0.5 and 0.0005 at 0.2.
+BANDS, ROWS = 64, 8
+#: Fingerprints this near are candidates too.
+REACH = 2
+#: Sets that a task compares at a time, and cells of the matrix it counts with.
+BLOCK, CELLS = 1024, 1 << 22
 #: Keeps rounding from excluding a pair that lies exactly at the threshold.
 EPS = 1e-9
 
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, shingle))
+_rng = np.random.default_rng(42)
+FLIP = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+SPREAD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -33,81 +35,148 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def prefix_size(n: int, similarity: float) -> int:
-    """Of two sets this similar, the first so many shingles of each, in any common order, meet."""
-    return n - math.ceil(similarity * n - EPS) + 1 if n else 0
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Least of the shingles under each of BANDS * ROWS hash functions; zeros for an empty set."""
+    out = np.zeros(BANDS * ROWS, np.uint32)
+    if len(shingles):
+        h = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
+        step = max(1, CELLS // len(h))
+        for a in range(0, len(out), step):
+            out[a : a + step] = ((h ^ FLIP[a : a + step, None]) * SPREAD[a : a + step, None]).min(axis=1)
+    return out
 
 
-def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent shingles, and how many of the counted texts hold each."""
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """One 64-bit key per signature and band; keys of different bands are different."""
+    rows = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), rows.shape[:2])
+    for r in range(ROWS):
+        key = (key ^ rows[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
+        key = key ^ (key >> np.uint64(32))
+    return key.view(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            held, size = [], 0
-            for t in b["text"]:
-                held.append(shingle_set(t, shingle))
-                size += len(held[-1])
-                if size > 1 << 18:
-                    yield pd.DataFrame({"h": np.concatenate(held).view(np.int64)})
-                    held, size = [], 0
-            if held:
-                yield pd.DataFrame({"h": np.concatenate(held).view(np.int64)})
-
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0).select("text")
-    counts = some.mapInPandas(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
-    hot = counts.orderBy(F.desc("count"), "h").limit(HOT).toPandas()
-    h, n = hot["h"].to_numpy(dtype=np.int64).view(np.uint64), hot["count"].to_numpy(dtype=np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefixes(texts: DataFrame, shingle: int, similarity: float, hot: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """(id, v, n, prefix): the set's key and size and its first shingles, infrequent ones first."""
-
-    def first(s: np.ndarray) -> np.ndarray:
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-            s = s[np.lexsort((s, np.where(hot[at] == s, weight[at], 0)))]
-        return s[: prefix_size(len(s), similarity)].view(np.int64)
+
+def described(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, v, n, fp, keys) per text, in the task that reads it: the name and size of its shingle set,
+    its SimHash fingerprint and its band keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "v": [set_key(s) for s in sets], "n": [len(s) for s in sets], "prefix": [first(s) for s in sets]})
-
-    return texts.mapInPandas(run, "id long, v long, n int, prefix array<long>")
+            for a in range(0, len(b), 1024):
+                part = b.iloc[a : a + 1024]
+                hashes = [shingle_hashes(t, shingle) for t in part["text"]]
+                sets = [np.unique(h) for h in hashes]
+                yield pd.DataFrame(
+                    {
+                        "id": part["id"],
+                        "v": [set_key(s) for s in sets],
+                        "fp": np.array([simhash(h) for h in hashes], dtype=np.uint64).view(np.int64),
+                        "keys": list(band_keys(np.array([signature(s) for s in sets]))),
+                    }
+                )
+
+    return texts.mapInPandas(run, "id long, v long, fp long, keys array<long>")
+
+
+def candidate_edges(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges (v, w) that connect all candidates, a stage table to be released after their use). Sets
+    with a band in common are tied to the smallest of them, and so are sets with equal fingerprints;
+    near fingerprints come from the vantage-point tree. No group is ever paired with itself."""
+    bands = named.select("v", F.explode("keys").alias("key"))
+    met = bands.groupBy("key").agg(F.min("v").alias("w"), F.max("v").alias("high")).where("w <> high").select("key", "w")
+    by_band = bands.join(met, "key").where("v <> w").select("v", "w").distinct()
+    points = cut_lineage(named.groupBy("fp").agg(F.min("v").alias("rep")))
+    equal = named.join(points.withColumnRenamed("rep", "w"), "fp").where("v <> w").select("v", "w").distinct()
+    near = fingerprint_edges(points, REACH).select(F.col("rep").alias("v"), F.col("root").alias("w"))
+    return by_band.unionByName(equal).unionByName(near), points
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of all intersections of the sets ``a`` with those of ``b`` (with each other without it),
+    by products of 0/1 matrices over some of the shared elements at a time."""
+    sets = a if b is None else [*a, *b]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(a) if b is None else len(b)))
+    width = max(256, CELLS // len(sets))
+    total = int(shared.sum())
+    cuts = np.searchsorted(column, np.arange(0, total + width, width))
+    for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        held = np.zeros((len(sets), min(width, total - k * width)), np.float32)
+        held[row[x:y], column[x:y] - k * width] = 1
+        out += held[: len(a)] @ (held if b is None else held[len(a) :]).T  # a piece's counts are exact in float32
+    return out
 
 
-def similar(pairs: DataFrame, named: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (v, w) whose sets are at least so similar; only the texts of ``pairs`` are read."""
+def _links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> pd.DataFrame:
+    """A spanning forest (v, root) of the sets that are similar enough: among all of them, or between
+    the two sides."""
+    order = np.argsort(names)
+    names, sets = names[order], [sets[k] for k in order]
+    n = np.array([len(s) for s in sets], dtype=float)
+    if side is None:
+        p = q = np.arange(len(sets))
+        both = overlaps(sets)
+    else:
+        p, q = np.flatnonzero(~side[order]), np.flatnonzero(side[order])
+        both = overlaps([sets[k] for k in p], [sets[k] for k in q])
+    near = both >= similarity * (n[p][:, None] + n[q] - both) - EPS
+    i, j = np.nonzero(near)
+    label = local_components(len(sets), p[i], q[j])
+    apart = names != names[label]
+    return pd.DataFrame({"v": names[apart], "root": names[label][apart]})
+
+
+def exact_edges(loose: DataFrame, named: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (v, root) that connect what is similar enough inside each group of candidates (v, component).
+
+    Only the texts of candidates are read again, one per set. Groups of up to BLOCK sets are dealt to
+    tasks together; a larger one is cut into blocks by hash, and each set goes once to each pair of
+    blocks that it is in. A task reports a spanning forest, never pairs.
+    """
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b["text"]]
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
             yield pd.DataFrame({"v": [set_key(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["a"], b["b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - EPS)
-            yield b.loc[np.array(keep, dtype=bool), ["v", "w"]]
-
-    nodes = pairs.select("v").union(pairs.select("w")).distinct()
-    ids = cut_lineage(named.select("id", "v").join(nodes, "v", "left_semi").groupBy("v").agg(F.min("id").alias("id")))
-    wanted = beside(texts, ids.select("id").distinct(), "id", "left_semi", 8).select("text")
-    sets = cut_lineage(wanted.mapInPandas(load, "v long, items binary").groupBy("v").agg(F.min("items").alias("items")))
-    small = (sets.agg(F.sum(F.length("items") + 8)).first()[0] or 0) <= common.BROADCAST_BYTES
-    side = F.broadcast if small else lambda x: x
-    out = cut_lineage(
-        pairs.join(side(sets.select("v", F.col("items").alias("a"))), "v")
-        .join(side(sets.select(F.col("v").alias("w"), F.col("items").alias("b"))), "w")
-        .select("v", "w", "a", "b")
-        .mapInPandas(run, "v long, w long")
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, group in cell.groupby("component"):
+            sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
+            two = group["i"].iloc[0] != group["j"].iloc[0]
+            side = (group["b"] == group["j"]).to_numpy() if two else None
+            found.append(_links(group["v"].to_numpy(), sets, side, similarity))
+        return pd.concat(found)
+
+    sizes = loose.groupBy("component").count()
+    members = cut_lineage(loose.join(sizes, "component").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")))
+    small = members.where("blocks = 1").count()
+    bins = max(1, small // BLOCK)
+    ids = cut_lineage(named.join(members.select("v"), "v").groupBy("v").agg(F.min("id").alias("id")).select("id").distinct())
+    wanted = beside(texts, ids, "id", "left_semi", 8).select("text")
+    sets = wanted.mapInPandas(load, "v long, items binary").groupBy("v").agg(F.min("items").alias("items"))
+    of = sets.join(members, "v").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.col("blocks") == 1
+    of = of.select(
+        "v",
+        "component",
+        "items",
+        "b",
+        F.least("b", "other").alias("i"),
+        F.greatest("b", "other").alias("j"),
+        alone.alias("alone"),
+        F.when(alone, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("cell"),
     )
-    release(ids, sets)
+    out = cut_lineage(of.groupBy("alone", "cell", "i", "j").applyInPandas(compare, "v long, root long"))
+    release(members, ids)
     return out
 
 
@@ -120,50 +189,28 @@ def jaccard_groups(
 ) -> DataFrame:
     """One row per document that has an id: id, component_id (the smallest id of its group).
 
-    Links are exact and complete: texts are linked if and only if the Jaccard similarity of their
-    sets of word shingles (compared by 64-bit hashes) is ``similarity`` or more. Two such sets meet in
-    a short prefix of each under any order of the shingles that is common to all (Chaudhuri et al.
-    2006). The order puts shingles that are frequent in a fixed share of the texts last, so a passage
-    that many texts hold pairs them only where they hold little else; what is counted, and how much of
-    the count is kept, decides the cost and never the result.
-
-    Equal sets are one point. Points that share a prefix shingle are compared with two of those that
-    hold it, and the groups joined; only then pairs that are still in different groups, and can reach
-    the similarity by their sizes and the place of the shingle (Xiao et al. 2008), are compared.
-    Only texts in such pairs are read again.
+    Texts are linked if the Jaccard similarity of their sets of word shingles (compared by 64-bit
+    hashes) is ``similarity`` or more. One pass over the texts names their sets and describes them by a
+    SimHash fingerprint and the bands of a MinHash signature; equal sets are one point. Sets with near
+    fingerprints (a vantage-point tree, ``REACH`` bits) or a band in common are candidates and form
+    loose groups, inside which all similarities are computed exactly from the whole sets: no pair is
+    linked that is not similar enough, and one at 0.8 is missed with probability 8e-6, above it less.
+    The fingerprints alone do not suffice: sets at 0.8 differ in some 10 of 64 bits, where random ones
+    differ in 32 give or take 4, too little apart for a tree to prune.
 
     Null and empty texts and texts without words have the empty set and are equal. A text of fewer
-    than ``shingle`` words is one shingle.
+    than ``shingle`` words is one shingle. Repeated rows are one point; rows that share an id but not
+    their text link whatever their texts link with; rows with a null id are left out; a very long text
+    is one set in its task (8 bytes a word); other columns, also of clashing names, are ignored; an
+    empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    named = cut_lineage(prefixes(texts, shingle, similarity, *frequent_shingles(texts, shingle)))
-    points = named.select("v", "n", F.posexplode("prefix").alias("p", "h"))
-    one = F.struct("v", "n", "p")
-    shared = points.groupBy("h").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.v <> high.v")
-    shared = cut_lineage(shared)
-    rows = cut_lineage(beside(points, shared, "h", "inner", 40).select("h", "v", "n", "p", "low", "high").distinct())
-
-    def reachable(n, p, m, q):
-        """Sizes n, m and places p, q (from 0) of a shared shingle, the first one, allow the similarity."""
-        enough = F.least(n, m) >= similarity * F.greatest(n, m) - EPS
-        return enough & (F.least(n - p, m - q) >= similarity / (1 + similarity) * (n + m) - EPS)
-
-    def with_end(end: str) -> DataFrame:
-        near = reachable(F.col("n"), F.col("p"), F.col(f"{end}.n"), F.col(f"{end}.p"))
-        other = F.col(f"{end}.v")
-        pair = F.least("v", other).alias("v"), F.greatest("v", other).alias("w")
-        return rows.where((F.col("v") != other) & near).select(*pair)
-
-    tried = cut_lineage(with_end("low").union(with_end("high")).distinct())
-    edges = similar(tried, named, texts, shingle, similarity)
-    group = connected_components(edges, "v", "w").withColumnRenamed("node", "v")
-    placed = cut_lineage(rows.join(group, "v", "left").select("h", "v", "n", "p", F.coalesce("component", "v").alias("c")))
-    other = placed.select("h", *[F.col(a).alias(b) for a, b in zip("vnpc", "wmqd")])
-    apart = (F.col("v") < F.col("w")) & (F.col("c") != F.col("d")) & reachable(*map(F.col, "npmq"))
-    left = placed.join(other, (placed["h"] == other["h"]) & apart).select("v", "w").distinct().join(tried, ["v", "w"], "left_anti")
-    left = cut_lineage(left)
-    more = similar(left, named, texts, shingle, similarity)
-    group = connected_components(edges.unionByName(more), "v", "w").withColumnRenamed("node", "v")
-    of = cut_lineage(named.join(group, "v", "left").select("id", F.coalesce("component", "v").alias("c")))
-    release(named, shared, rows, tried, edges, placed, left, more)
+    named = cut_lineage(described(texts, shingle))
+    edges, points = candidate_edges(named)
+    loose = connected_components(edges, "v", "w").withColumnRenamed("node", "v")
+    links = exact_edges(loose, named, texts, shingle, similarity)
+    group = connected_components(links, "v", "root").withColumnRenamed("node", "v")
+    # Rows of one id are one document, whatever its texts.
+    of = cut_lineage(named.join(group, "v", "left").select("id", F.coalesce("component", "v").alias("c")).distinct())
+    release(named, points, loose, links)
     return of.join(of.groupBy("c").agg(F.min("id").alias("component_id")), "c").select(F.col("id").alias(id_col), "component_id")

@@ -37,9 +37,8 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray
     return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, n)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles, repeats counted; 0 for a text without words."""
-    hashes = shingle_hashes(text, shingle, seed)
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes, repeats counted; 0 for none."""
     n = len(hashes)
     if not n:
         return 0
@@ -50,6 +49,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles, repeats counted; 0 for a text without words."""
+    return simhash(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(id, fp): one row per document, the fingerprint as a signed 64-bit number."""
 
@@ -158,6 +162,34 @@ def _shard_edges(group: pd.DataFrame, reach: int) -> pd.DataFrame:
     return out[out["rep"] != out["root"]]
 
 
+def fingerprint_edges(points: DataFrame, reach: int, seed: int = 42) -> DataFrame:
+    """Edges (rep, root) that connect all fingerprints within ``reach``, for a stage table (fp, rep) of
+    distinct fingerprints: exact and complete, whatever sample the tree is fitted on."""
+    n = points.count()
+    part = min(1.0, SAMPLE / max(n, 1) / 1.05)
+    limit = math.floor(part * (1 << 62))
+    sample = (
+        points.where((F.xxhash64(F.lit(seed), "fp").bitwiseAND((1 << 62) - 1)) <= limit)
+        .select("fp")
+        .limit(SAMPLE)
+        .toPandas()["fp"]
+        .to_numpy(dtype=np.int64)
+        .view(np.uint64)
+    )
+    tree = VantageTree(sample, max(16, math.ceil(SHARD * len(sample) / max(n, 1))), reach, seed)
+
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard, rows in tree.route(b["fp"].to_numpy().view(np.uint64)):
+                yield b.iloc[rows].assign(shard=shard)
+
+    return cut_lineage(
+        points.mapInPandas(routed, "fp long, rep long, shard int")
+        .groupBy("shard")
+        .applyInPandas(lambda g: _shard_edges(g, reach), "rep long, root long")
+    )
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -182,29 +214,7 @@ def simhash_groups(
     """
     fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     points = cut_lineage(fps.groupBy("fp").agg(F.min("id").alias("rep")).where("rep IS NOT NULL"))
-    n = points.count()
-    part = min(1.0, SAMPLE / max(n, 1) / 1.05)
-    limit = math.floor(part * (1 << 62))
-    sample = (
-        points.where((F.xxhash64(F.lit(seed), "fp").bitwiseAND((1 << 62) - 1)) <= limit)
-        .select("fp")
-        .limit(SAMPLE)
-        .toPandas()["fp"]
-        .to_numpy(dtype=np.int64)
-        .view(np.uint64)
-    )
-    tree = VantageTree(sample, max(16, math.ceil(SHARD * len(sample) / max(n, 1))), reach, seed)
-
-    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for shard, rows in tree.route(b["fp"].to_numpy().view(np.uint64)):
-                yield b.iloc[rows].assign(shard=shard)
-
-    edges = cut_lineage(
-        points.mapInPandas(routed, "fp long, rep long, shard int")
-        .groupBy("shard")
-        .applyInPandas(lambda g: _shard_edges(g, reach), "rep long, root long")
-    )
+    edges = fingerprint_edges(points, reach, seed)
     label = connected_components(edges, "rep", "root").withColumnRenamed("node", "rep")
     named = points.join(label, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select(

@@ -164,10 +164,10 @@ def jaccard_components(docs):
     return smallest_reachable(list(sets), pairs)
 
 
-@pytest.mark.parametrize("often", [(8, 6, 1 << 20), (1, 2, 1 << 20), (1, 3, 40)])
-def test_stage_drops_every_near_copy(spark, monkeypatch, often):
-    for name, value in zip(("EVERY", "OFTEN", "HOT"), often):
-        monkeypatch.setattr(jaccard_dedup, name, value)
+@pytest.mark.parametrize(("block", "broadcast"), [(1024, 1 << 25), (3, 0)])
+def test_stage_drops_every_near_copy(spark, monkeypatch, block, broadcast):
+    monkeypatch.setattr(jaccard_dedup, "BLOCK", block)
+    monkeypatch.setattr("starfold.llm.common.BROADCAST_BYTES", broadcast)
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(3000)}"
     passage = [word() for _ in range(60)]
