@@ -12,7 +12,7 @@ from starfold.llm.packing import pack, public_byte_bpe
 from starfold.llm.pii import redact
 from starfold.llm.quality_classifier import keep_good
 from starfold.llm.simhash_dedup import first_of_groups
-from starfold.session import cut_lineage
+from starfold.session import cut_lineage, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies: texts linked by a Jaccard
-    similarity of 0.8 or more on five-word shingles."""
+    similarity of 0.8 or more on five-word shingles, among candidates by SimHash and MinHash."""
     return first_of_groups(docs, groups_of=jaccard_groups)
 
 
@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        before, docs = docs, cut_lineage(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
