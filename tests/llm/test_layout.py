@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from starfold.llm import mixing, packing, sharding
 from starfold.llm.catalog import QUERIES
-from tests.check import DATA
+from tests.check import DATA, connect
 
 SF = str(DATA / "sf0.01")
 
@@ -83,10 +83,13 @@ def bpe():
 
 
 def test_ids_are_those_of_the_tokenizer_file(bpe):
+    """As the contract calls it, over literals and all texts of ``documents``."""
     full = Tokenizer.from_file(packing.public_byte_bpe()[0])
-    full.encode_special_tokens = True
-    for t in ("", "a", "<|endoftext|> x", "é 𝔘 ß\n\n  y", "don't I'LL", " " * 30_000 + "x", "\n" * 1_000_000, "7" * 5000, "\x00\x01 \u200b"):
-        assert bpe.ids(t).tolist() == full.encode(t, add_special_tokens=False).ids
+    odd = ["", "a", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "é 𝔘 ß\n\n  y", "don't I'LL", " " * 30_000 + "x", "\n" * 1_000_000, "7" * 5000, "\x00\x01 \u200b"]
+    texts = [t or "" for (t,) in connect("sf0.01").sql("SELECT text FROM documents").fetchall()]
+    for t, e in zip(odd + texts, full.encode_batch(odd + texts, add_special_tokens=False)):
+        assert bpe.ids(t).tolist() == e.ids
+    assert bpe.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
     assert bpe.ids(None).tolist() == []
 
 
