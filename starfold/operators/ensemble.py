@@ -7,18 +7,19 @@ Light curves stay long (star, cad, f, fmask); modes are wide, one row per cadenc
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starfold.functions import linalg, stats
 from starfold.functions.frames import STRETCH
 from starfold.operators.clean import valid
 from starfold.operators.detrend import spline_trend
-from starfold.session import cut_lineage
+from starfold.session import cut_lineage, release
 
 # Fixed values of the published method.
 N_MODES = 8
@@ -167,38 +168,133 @@ def calibrate(lc: DataFrame, modes: DataFrame, limits: DataFrame, k: int, value:
 # ---- decompositions ---------------------------------------------------------------------------
 
 
-def _row_vectors(z: DataFrame, cads: DataFrame, value: str) -> DataFrame:
-    """Positions and values of the non-zero cadences of each star; a series is one row."""
-    x = z.join(cads, "cad").where(F.col(value) != 0).select("star", "_j", F.col(value).alias("_v"))
-    g = x.groupBy("star").agg(F.sort_array(F.collect_list(F.struct("_j", "_v"))).alias("e"))
-    return g.select(F.transform("e", lambda r: r["_j"]).alias("i"), F.transform("e", lambda r: r["_v"]).alias("v"))
+def _gram(df: DataFrame, left: str, right: str) -> np.ndarray:
+    """Sum over the rows of the outer products of two array columns: a partial matrix per task, added
+    up in Spark; only the sum comes back."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                part = np.array(b["l"].tolist()).T @ np.array(b["r"].tolist())
+                total = part if total is None else total + part
+        if total is not None and total.size:
+            yield pd.DataFrame({"at": np.arange(total.size), "columns": total.shape[1], "x": total.ravel()})
 
-def _numbered_cadences(z: DataFrame) -> DataFrame:
-    """Cadences with their rank. The cadence axis bounds this table, not the number of stars."""
-    cads = z.select("cad").distinct()
-    ordered = cads.agg(F.sort_array(F.collect_list("cad")).alias("c"))
-    return ordered.select(F.posexplode("c").alias("_j", "cad"))
+    parts = df.select(F.col(left).alias("l"), F.col(right).alias("r")).mapInPandas(run, "at int, columns int, x double")
+    rows = parts.groupBy("at", "columns").agg(F.sum("x").alias("x")).orderBy("at").collect()
+    return np.array([r["x"] for r in rows]).reshape(-1, rows[0]["columns"] if rows else 0)
 
 
-def svd_modes(z: DataFrame, k: int, value: str = "z") -> tuple[DataFrame, list[float]]:
+def _combine(df: DataFrame, cols: Sequence[str], m: np.ndarray, out: str) -> DataFrame:
+    """``out`` is the row of all ``cols`` (arrays, laid end to end) times the matrix ``m``."""
+    fields = [f for f in df.schema if f.name != out]
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.hstack([np.array(b[c].tolist()).reshape(len(b), -1) for c in cols])
+                yield b.assign(**{out: list(x @ m)})[[f.name for f in schema]]
+
+    return df.mapInPandas(run, schema)
+
+
+def _apply(z: DataFrame, x: DataFrame, by: str, to: str, width: int, value: str) -> DataFrame:
+    """The matrix ``z`` (or its transpose) times the columns of ``x`` (by, y array): (to, y array)."""
+    v = F.col(value)
+    g = z.join(x, by).groupBy(to).agg(*[F.sum(v * F.col("y")[i]).alias(f"_y{i}") for i in range(width)])
+    return g.select(to, F.array(*[F.col(f"_y{i}") for i in range(width)]).alias("y"))
+
+
+def _start(cads: DataFrame, start: DataFrame | None, k: int, width: int) -> DataFrame:
+    """(cad, y): the columns to begin with, those of ``start`` and others that look random."""
+    noise = [F.xxhash64("cad", F.lit(i)).bitwiseAND((1 << 53) - 1) / float(1 << 53) - 0.5 for i in range(width)]
+    if start is None:
+        return cads.select("cad", F.array(*noise).alias("y"))
+    x = cads.join(start.select("cad", "u"), "cad", "left")
+    return x.select("cad", F.array(*[F.coalesce(F.col("u")[i], F.lit(0.0)) for i in range(k)], *noise[k:]).alias("y"))
+
+
+def svd_modes(
+    z: DataFrame, k: int, value: str = "z", start: DataFrame | None = None, extra: int = 4, tol: float = 1e-9, most: int = 96,
+) -> tuple[DataFrame, list[float]]:
     """First ``k`` right singular vectors of the star x cadence matrix, as modes (cad, u), and the
     singular values. The sign makes each mode's largest element positive.
 
-    The decomposition runs over the rows in Spark; only the cadence x k matrix comes back.
+    Block Krylov iteration on the long table: a round multiplies a block of k + ``extra`` columns by
+    the matrix and its transpose (an aggregate per star and one per cadence) and makes what is new
+    orthogonal to the blocks before. Only products of columns, small square matrices, come to the
+    driver. It ends when the remainder of every wanted vector is below ``tol`` of the largest value,
+    or nothing new is left; after ``most`` columns it starts again from the best ones. Vectors
+    of a matrix of lower rank (singular values below 1e-7 of the first), and values, are 0. ``start``:
+    modes to begin with, such as those of a matrix alike.
     """
-    spark: SparkSession = z.sparkSession
-    cads = cut_lineage(_numbered_cadences(z))
-    rows = _row_vectors(z, cads, value)
-    n = cads.count()
-    mat = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(n, r["i"], r["v"])), numCols=n)
-    svd = mat.computeSVD(k, computeU=False)
-    V = svd.V.toArray()
-    sign = [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in V.T]
-    table = spark.createDataFrame(
-        [(int(j), [float(x * s) for x, s in zip(row, sign)]) for j, row in enumerate(V)], "_j INT, u ARRAY<DOUBLE>"
-    )
-    return cads.join(table, "_j").select("cad", "u"), [float(s) for s in svd.s]
+    x = z.where(F.col(value).isNotNull()).select("star", "cad", value)
+    cads = cut_lineage(x.select("cad").distinct())
+    width, n = k + extra, cads.count()
+    used: list[DataFrame] = [cads]
+
+    def orthonormal(new: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+        """``new`` (cad, q, y) with y made orthogonal to q and of unit columns, twice because the first
+        pass leaves rounding: the table (cad, q longer by y, y), the first products q'y, those of what
+        was left of y, and the number of new columns."""
+        both = _combine(new, ("q", "y"), np.eye(size + width), "b")
+        first = _gram(both, "b", "y")
+        left = np.vstack([-first[:size], np.eye(width)])
+        less = cut_lineage(_combine(new, ("q", "y"), left, "y"))
+        used.append(less)
+        second = _gram(_combine(less, ("q", "y"), np.eye(size + width), "b"), "b", "y")
+        rest = second[size:] - second[:size].T @ second[:size]
+        d, u = np.linalg.eigh((rest + rest.T) / 2)
+        good = d > max(1e-20 * float(np.trace(first[size:])), 1e-290)
+        turn = u[:, good] / np.sqrt(d[good])
+        made = _combine(less, ("q", "y"), np.vstack([-second[:size] @ turn, turn]), "y")
+        out = made.select("cad", F.concat("q", "y").alias("q"), "y")
+        return out, first[:size], rest, int(good.sum())
+
+    empty = F.array().cast("array<double>")
+    block, _, _, size = orthonormal(_start(cads, start, k, width).withColumn("q", empty), 0)
+    block = cut_lineage(block)
+    used.append(block)
+    ritz = np.zeros((0, 0))
+    width, total = size, size
+    while True:
+        w = _apply(x, block.select("cad", "y"), "cad", "star", width, value)
+        y = _apply(x, w, "star", "cad", width, value)
+        zero = F.array(*[F.lit(0.0)] * width)
+        new = cut_lineage(block.select("cad", "q").join(y, "cad", "left").select("cad", "q", F.coalesce("y", zero).alias("y")))
+        used.append(new)
+        following, products, rest, size = orthonormal(new, total)
+        grown = np.zeros((total, total))
+        grown[: len(ritz), : len(ritz)] = ritz
+        grown[:, total - width :] = products
+        grown[total - width :, :] = products.T
+        ritz = grown
+        value2, vector = np.linalg.eigh(ritz)
+        value2, vector = value2[::-1], vector[:, ::-1]
+        last = vector[total - width :, :k]
+        remainder = np.sqrt(np.maximum(np.einsum("ij,il,lj->j", last, rest, last), 0))
+        done = size == 0 or total >= n or remainder.max(initial=0) <= tol * max(value2[0], 1e-290)
+        if done:
+            break
+        if total + size > most:
+            best = vector[:, : k + extra]
+            block, _, _, size = orthonormal(_combine(new, ("q",), best, "y").withColumn("q", empty), 0)
+            ritz, total = np.zeros((0, 0)), 0
+        else:
+            block = following
+        block = cut_lineage(block)
+        used.append(block)
+        width, total = size, total + size
+    s = np.sqrt(np.maximum(np.pad(value2[:k], (0, max(0, k - len(value2)))), 0))
+    s[s <= 1e-7 * s[0]] = 0
+    chosen = np.pad(vector[:, :k], ((0, 0), (0, max(0, k - vector.shape[1])))) * (s > 0)
+    modes = cut_lineage(_combine(new.select("cad", "q"), ("q",), chosen, "u").select("cad", "u"))
+    top = modes.agg(*[F.max(F.struct(F.abs(F.col("u")[i]).alias("a"), (-F.col("cad")).alias("c"), F.col("u")[i].alias("u"))).alias(f"t{i}") for i in range(k)]).first()
+    sign = F.array(*[F.lit(-1.0 if top[i]["u"] < 0 else 1.0) for i in range(k)])
+    release(*used)
+    return modes.select("cad", F.zip_with("u", sign, lambda a, b: a * b + 0.0).alias("u")), s.tolist()
 
 
 def projections(z: DataFrame, modes: DataFrame, k: int, value: str = "z") -> DataFrame:
@@ -225,9 +321,10 @@ def robust_svd(
     """
     z = cut_lineage(z)
     keep = cut_lineage(z.select("star").distinct())
+    modes = None
     for it in range(max_iter + 1):
         cur = z.join(keep, "star", "left_semi")
-        modes, s = svd_modes(cur, k, value)
+        modes, s = svd_modes(cur, k, value, modes)
         p = cut_lineage(projections(cur, modes, k, value))
         long = explode_coef(p)
         dev = long.join(moments(long).select("k", "med", "mad"), "k").groupBy("star").agg(
@@ -238,7 +335,9 @@ def robust_svd(
         )
         good = cut_lineage(ok.select("star"))
         if it == max_iter or good.count() in (p.count(), 0):
+            release(z, keep, good)
             return modes, p, s
+        release(keep, p)
         keep = good
 
 
@@ -258,14 +357,15 @@ def robust_components(
     """
     z = cut_lineage(_centred(z, value))
     keep = cut_lineage(z.select("star").distinct())
+    found = None
     while True:
         cur = z.join(keep, "star", "left_semi")
-        modes, s = svd_modes(cur, k, value)
-        p = projections(cur, modes, k, value)
+        found, s = svd_modes(cur, k, value, found)
+        modes, p = found, projections(cur, found, k, value)
         if algo == "PCA":
             scale = F.array(*[F.lit(v) for v in s])
             modes = modes.withColumn("u", F.zip_with("u", scale, lambda a, b: a * b))
-            w = p.withColumn("a", F.zip_with("a", scale, lambda a, b: a / b))
+            w = p.withColumn("a", F.zip_with("a", scale, lambda a, b: F.coalesce(stats.safe_div(a, b), F.lit(0.0))))
         elif algo == "ICA":
             modes, w = fast_ica(modes, p, k, s)
         else:
@@ -276,7 +376,9 @@ def robust_components(
         bad = long.join(sig, "k").where(F.abs("a") > F.col("_s") * 1.48 * nsig).select("star").distinct()
         good = cut_lineage(keep.join(bad, "star", "left_anti"))
         if good.count() in (keep.count(), 0):
+            release(z, keep, good)
             return modes, w
+        release(keep, w)
         keep = good
 
 
@@ -285,8 +387,6 @@ def fast_ica(modes: DataFrame, p: DataFrame, k: int, s: Sequence[float], rounds:
 
     A round is one aggregate over the cadences; k x k numbers come back.
     """
-    import numpy as np
-
     n = modes.count()
     white = cut_lineage(modes.withColumn("u", F.transform("u", lambda v: v * float(np.sqrt(n)))))
     rot = np.linalg.qr(np.random.default_rng(0).normal(size=(k, k)))[0]
