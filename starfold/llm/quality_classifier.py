@@ -16,9 +16,9 @@ from starfold.llm.common import table
 
 #: Bytes of text compressed at a time: short enough for a dictionary to count, whatever the text's length.
 CHUNK = 2048
-#: Labelled texts per class for the dictionaries and for the calibration; characters taken of each of
-#: the former, from a place picked by hash; bytes of a dictionary.
-DICT_ROWS, FIT_ROWS, SNIPPET, DICT_BYTES = 3000, 6000, 2000, 1 << 18
+#: Labelled ids per class for the dictionaries and for the calibration; bytes of a dictionary, of which
+#: each text gives an equal share from a place picked by hash, and the least share.
+DICT_ROWS, FIT_ROWS, DICT_BYTES, LEAST_SHARE = 3000, 6000, 1 << 18, 64
 LEVEL = 3
 #: Bytes of a frame's header, the same for every text.
 FRAME = len(zstandard.ZstdCompressor(write_content_size=False, write_checksum=False).compress(b"")) - 1
@@ -119,10 +119,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on labelled rows that are not held out.
 
     The sample is bounded by DICT_ROWS + FIT_ROWS ids of each class, picked in hash order; their ids
-    are broadcast to the text, so no text is shuffled. Dictionaries are built on the driver from at
-    most DICT_ROWS snippets of SNIPPET characters a class; the calibration sees only four numbers of
-    each whole text, measured in the tasks. Conflicting or repeated labels all count; null labels,
-    ids and texts are left out. Without labels every score is 0.5.
+    are broadcast to the text, so no text is shuffled. Dictionaries are built on the driver: of n
+    texts of a class each gives DICT_BYTES / n bytes (LEAST_SHARE at least) from a place picked by the
+    hash of its id, a shorter one the whole of it, so that a dictionary holds all kinds and languages.
+    The calibration sees only four numbers of each whole text, measured in the tasks. Of an id that
+    repeats, one text counts. Conflicting labels all count; null labels, ids and texts are left out.
+    Without labels every score is 0.5.
     """
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -131,32 +133,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .distinct()
     )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SNIPPET, F.lit(1))) + 1
+    for_dictionary = _chosen(known, True, DICT_ROWS)
+    count = {r["quality"]: r["count"] for r in for_dictionary.groupBy("quality").count().collect()}
+    share = F.lit(LEAST_SHARE)
+    for q, n in count.items():
+        share = F.when(F.col("quality") == q, max(LEAST_SHARE, DICT_BYTES // n)).otherwise(share)
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - share + 1, F.lit(1))) + 1
     rows = (
-        texts.join(F.broadcast(_chosen(known, True, DICT_ROWS)), "doc_id")
-        .select("doc_id", "quality", F.substring("text", place.cast("int"), F.lit(SNIPPET)).alias("part"))
-        .orderBy("doc_id", "part")
-        .limit(4 * DICT_ROWS)
+        texts.join(F.broadcast(for_dictionary), "doc_id")
+        .select("doc_id", "quality", F.substring("text", place.cast("int"), share).alias("part"))
+        .groupBy("quality", "doc_id")
+        .agg(F.min("part").alias("part"))
+        .orderBy("doc_id")
         .toPandas()
     )
     content = []
     for q in (1, 0):
-        parts = [p.encode() for p in rows.loc[rows["quality"] == q, "part"]]
-        room = max(1, DICT_BYTES // max(1, len(parts)))
-        # Every text gives an equal share, so that the dictionary holds all kinds and languages.
-        content.append(b"\n".join(p[: max(room, 64)] for p in parts)[:DICT_BYTES] or b"\n" * 8)
+        room = max(LEAST_SHARE, DICT_BYTES // max(1, count.get(q, 0)))
+        parts = [p.encode()[:room] for p in rows.loc[rows["quality"] == q, "part"]]
+        content.append(b"\n".join(parts) or b"\n" * 8)
     good, bad = content
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             m = measures(b["text"].tolist(), good, bad)
-            yield pd.DataFrame({"quality": b["quality"], **{f"m{k}": m[:, k] for k in range(m.shape[1])}})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], **{f"m{k}": m[:, k] for k in range(m.shape[1])}})
 
     sample = (
         texts.join(F.broadcast(_chosen(known, False, FIT_ROWS)), "doc_id")
-        .select("quality", "text")
-        .mapInPandas(measured, "quality int, m0 double, m1 double, m2 double, m3 double")
-        .limit(4 * FIT_ROWS)
+        .select("doc_id", "quality", "text")
+        .mapInPandas(measured, "doc_id long, quality int, m0 double, m1 double, m2 double, m3 double")
+        .groupBy("quality", "doc_id")
+        .agg(F.min(F.struct("m0", "m1", "m2", "m3")).alias("m"))
+        .select("quality", "m.*")
         .toPandas()
     )
     sample = sample.sort_values(list(sample.columns))  # sums in the same order on every run
