@@ -87,7 +87,7 @@ QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY power DESC, col, wid
 
 def box_fractional(spark, sf):
     f, keys = integer_fold(spark, sf)
-    b = boxes.box_stat_fractional(f, keys, F.col("Pcad"), P2, 0.1, 0.3)
+    b = boxes.box_stat_fractional(f, keys, F.col("Pcad"), 0.1, 0.3)
     return b.select("star", F.col("Pcad").cast("int").alias("Pcad"), r6("power").alias("power"), "width", "col")
 
 
@@ -99,8 +99,7 @@ QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY power DESC, col, wid
 
 
 def binned_snr(spark, sf):
-    periods = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda j: F.lit(0.8) + j * 0.02)
-    return boxes.binned_snr(hourly_centred(spark, sf), periods, 16, 0.05, 0.3).select(
+    return boxes.binned_snr(hourly_centred(spark, sf), lambda j: F.lit(0.8) + j * 0.02, 40, 16, 0.05, 0.3).select(
         "star", "jf", r6("P").alias("P"), r6("snr").alias("snr")
     )
 

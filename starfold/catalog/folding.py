@@ -203,8 +203,7 @@ SELECT star, {s6('pcad')} AS Pcad, col, c, s, ss FROM fc"""
 
 def fold_phase_bins(spark, sf):
     x = fold.with_index(hourly_dense(spark, sf))
-    freqs = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda j: F.lit(0.8) + j * 0.01)
-    f, _ = fold.fold_phase_bins(x, freqs, 16)
+    f, _ = fold.fold_phase_bins(x, lambda j: F.lit(0.8) + j * 0.01, 30, 16)
     return f.select("star", "jf", r6("freq").alias("freq"), F.col("col").alias("bin"), "c", "s", "ss")
 
 
@@ -222,19 +221,21 @@ SQL["fold_phase_bins"] = f"""WITH {HOURLY_DENSE}, {indexed_sql('hd', 'ix')}, {ph
 SELECT star, jf, {s6('freq')} AS freq, col AS bin, c, s, ss FROM pb"""
 
 
-def cumsum_top(spark, sf):
-    x = fold.with_index(hourly_dense(spark, sf)).select("star", "i", "ncad", "f")
-    y, by = fold.spread_periods(x, F.lit(P1), F.lit(P2))
-    row, col = fold.wrap(F.col("i"), F.col("Pcad"))
-    g, _ = fold.cumsum_top(
-        y.withColumns({"row": row, "col": col}), by, ["Pcad", "col"], F.col("f"), F.col("row"), 721 // P1 + 1
-    )
-    return g.select("star", F.col("Pcad").cast("int").alias("Pcad"), "col", "s0", "s1", "s2", "c0", "c1", "c2")
+def cumsum_top(k):
+    def run(spark, sf):
+        x = fold.with_index(hourly_dense(spark, sf)).select("star", "i", "ncad", "f")
+        y, by = fold.spread_periods(x, F.lit(P1), F.lit(P2))
+        row, col = fold.wrap(F.col("i"), F.col("Pcad"))
+        y = y.withColumns({"row": row, "col": col})
+        g, _ = fold.cumsum_top(y, by, ["Pcad", "col"], F.col("f"), F.col("row"), 721 // P1 + 1, k=k)
+        return g.select("star", F.col("Pcad").cast("int").alias("Pcad"), "col", *[f"{n}{j}" for n in "sc" for j in range(k + 1)])
+
+    return run
 
 
-QUERIES["cumsum_top"] = cumsum_top
-SQL["cumsum_top"] = f"""WITH {HOURLY_DENSE}, {indexed_sql('hd', 'ix')},
+for _k, _name in ((2, "cumsum_top"), (1, "cumsum_top_one"), (3, "cumsum_top_three")):
+    QUERIES[_name] = cumsum_top(_k)
+    SQL[_name] = f"""WITH {HOURLY_DENSE}, {indexed_sql('hd', 'ix')},
 p AS (SELECT star, pc AS Pcad, i % pc AS col, f FROM ix, (SELECT unnest(range({P1}, {P2})) AS pc)),
 r AS (SELECT *, row_number() OVER (PARTITION BY star, Pcad, col ORDER BY f DESC NULLS LAST) AS rn FROM p)
-SELECT star, Pcad::INT AS Pcad, col, coalesce(sum(f), 0) AS s0, coalesce(sum(f) FILTER (rn > 1), 0) AS s1, coalesce(sum(f) FILTER (rn > 2), 0) AS s2,
- count(f) AS c0, count(f) FILTER (rn > 1) AS c1, count(f) FILTER (rn > 2) AS c2 FROM r GROUP BY ALL"""
+SELECT star, Pcad::INT AS Pcad, col, {', '.join(f'coalesce(sum(f) FILTER (rn > {j}), 0) AS s{j}, count(f) FILTER (rn > {j}) AS c{j}' for j in range(_k + 1))} FROM r GROUP BY ALL"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from starfold.catalog.base import (
@@ -133,6 +135,77 @@ da AS (SELECT * FROM dm WHERE star = 'A'), db AS (SELECT * FROM dm WHERE star <>
 SELECT {_PG_COLS} FROM a UNION ALL SELECT {_PG_COLS} FROM b"""
 
 
+MIXED = [{"P1": 20.0, "P2": 21.0, "twdG": [2, 3]}, {"P1": 26.0, "P2": 27.0, "twdG": [3, 4, 5]}]
+
+
+def periodogram_mode(mode):
+    """Two segments in time units over series of two cadences, all in one plan."""
+
+    def run(spark, sf):
+        p = search.periodogram(_halved(daily_injected(spark, sf)), MIXED, mode)
+        return p.select("star", r6("Pcad").alias("Pcad"), "twd", r6("s2n").alias("s2n"), r6("t0").alias("t0"), r6("P").alias("P"), r6("tdur").alias("tdur"))
+
+    return run
+
+
+def _mixed_sql(part):
+    """The segments of both groups of series one by one: ``part`` gives (relations, select) for a source,
+    its dense source, a prefix, limits in cadences and durations."""
+    rel, out = [], []
+    for src, name, per in (("da", "a", 2), ("db", "b", 1)):
+        for n, s in enumerate(MIXED):
+            r, o = part(src, f"{name}{n}", int(s["P1"] * per), int(s["P2"] * per), tuple(s["twdG"]))
+            rel.append(r)
+            out.append(o)
+    return f"""WITH {DAILY_INJECTED}, dm AS (SELECT * REPLACE (CASE WHEN star = 'A' THEN t / 2 ELSE t END AS t) FROM di),
+da AS (SELECT * FROM dm WHERE star = 'A'), db AS (SELECT * FROM dm WHERE star <> 'A'),
+{', '.join(rel)} {' UNION ALL '.join(out)}"""
+
+
+def _mode_cols(s2n, t0, twd="twd"):
+    return f"star, {s6('pcad')} AS Pcad, {twd}::INT AS twd, {s6(s2n)} AS s2n, {s6(t0)} AS t0, {s6('pcad * dt')} AS P, {s6(f'{twd} * dt')} AS tdur"
+
+
+def _ffa_part(src, o, p1, p2, twds):
+    stages = math.ceil(math.log2(DAYS // p1 + 1))
+    rel = f"""{mean_depth_sql(src, o + '_m', twds)}, {indexed_sql(o + '_m', o + '_x', 't, d, twd')}, {padded_sql(o + '_x', o + '_p', p1, p2, 'd', 'd IS NOT NULL', 'star, twd')},
+{ffa_sql(o + '_p', o + '_f', p1, p2, stages, 'star, twd')}, {_CAD.format(src=src).replace('cad AS (', o + '_c AS (', 1)},
+{o}_n AS (SELECT star, twd, median(abs(d)) AS noise FROM {o}_m GROUP BY star, twd),
+{o}_b AS (SELECT star, twd, P0, pcad, s / n AS mean, col, n FROM {o}_f QUALIFY row_number() OVER (PARTITION BY star, twd, P0, pcad ORDER BY s / n DESC, col) = 1),
+{o} AS (SELECT *, mean / nullif(noise, 0) * sqrt(n) AS q FROM {o}_b JOIN {o}_n USING (star, twd) JOIN {o}_c USING (star)
+   QUALIFY row_number() OVER (PARTITION BY star, P0, pcad ORDER BY mean / nullif(noise, 0) * sqrt(n) DESC, twd) = 1)"""
+    return rel, f"SELECT {_mode_cols('q', 'col * dt + t_first')} FROM {o}"
+
+
+def _bls_part(src, o, p1, p2, twds):
+    from starfold.catalog.boxes import box_sql
+    from starfold.catalog.folding import fold_sql
+
+    rel = f"""{indexed_sql(src, o + '_x')}, {fold_sql(o + '_x', o + '_f', p1, p2, 'NOT fmask')}, {box_sql(o + '_f', o + '_bx', 'star, pcad', (twds[0], twds[-1]))},
+{_CAD.format(src=src).replace('cad AS (', o + '_c AS (', 1)},
+{o}_v AS (SELECT *, sqrt((c * ss - s * s) / nullif(c * (c - 1), 0)) / sqrt(c) AS noise FROM {o}_bx WHERE c > width AND c > 1 AND c * ss - s * s > 0),
+{o} AS (SELECT *, -s / (c * noise) AS q FROM {o}_v JOIN {o}_c USING (star) WHERE -s / (c * noise) > -1
+   QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY -s / (c * noise) DESC, col, width) = 1)"""
+    return rel, f"SELECT {_mode_cols('q', 't_first + (col + width // 2) * dt', 'width')} FROM {o}"
+
+
+def _fm_part(src, o, p1, p2, twds):
+    rel = f"""{box_depth_sql(src, o + '_d', twds)}, {indexed_sql(src, o + '_x', 'f')}, {frac_sql(p1, p2, o + '_p', o + '_x')},
+{_CAD.format(src=src).replace('cad AS (', o + '_c AS (', 1)},
+{o}_g AS (SELECT star, pcad, twd, CAST(floor(i % pcad) AS BIGINT) AS col, sum(ivar) AS w, sum(ivar * depth) AS wd, sum(ivar * depth * depth) AS wdd, sum(dll) AS dll, count(*) AS nind
+   FROM {o}_d JOIN {o}_x USING (star, cad) JOIN {o}_p USING (star) WHERE good GROUP BY ALL),
+{o}_h AS (SELECT *, wd / w AS d2, dll - (wdd - wd / w * wd) * 0.5::DOUBLE - 0.5::DOUBLE * ln(1200) AS same, dll - nind * 0.5::DOUBLE * ln(1200) AS var FROM {o}_g),
+{o} AS (SELECT * FROM {o}_h JOIN {o}_c USING (star) WHERE d2 > 0 AND same > var AND nind >= 2 QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY same DESC, twd, col) = 1)"""
+    return rel, f"SELECT {_mode_cols('d2 * sqrt(w)', 't_first + (col + twd // 2) * dt')} FROM {o}"
+
+
+#: Days that the daily series may span.
+DAYS = 2499
+for _mode, _part in (("ffa", _ffa_part), ("bls", _bls_part), ("fm", _fm_part)):
+    QUERIES[f"periodogram_{_mode}"] = periodogram_mode(_mode)
+    SQL[f"periodogram_{_mode}"] = _mixed_sql(_part)
+
+
 QUERIES["bin_periodogram"] = lambda spark, sf: search.bin_periodogram(clipped(spark, sf), 40).select(
     "star", "Pbin", r6("P").alias("P"), r6("s2n").alias("s2n"), "twd"
 )

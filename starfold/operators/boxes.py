@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,32 +11,51 @@ from starfold.functions import stats
 from starfold.operators import fold
 
 
+def running_sums(folded: DataFrame, keys: Sequence[str], n: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per folded period: ``_r``, the running (c, s, ss) before each column and behind the last,
+    ``_n`` columns, and the total count ``N``. Columns must be gap-free from 0 on.
+
+    ``keys`` must hold the columns by which ``folded`` is partitioned. A period's array is as long as
+    the period; the rows that boxes make of it only point into it.
+    """
+    run = Window.partitionBy(*keys).orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    x = folded.withColumn("_n", n.cast("int")).withColumns({f"_r{c}": F.sum(c).over(run) for c in ("c", "s", "ss")})
+    at = F.struct(F.col("col").cast("long").alias("at"), *[F.col(f"_r{c}").alias(c) for c in ("c", "s", "ss")])
+    g = x.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(at)).alias("_a"), F.max("_n").alias("_n"), F.sum("c").alias("N"), *[F.first(c).alias(c) for c in carry]
+    )
+    zero = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
+    a = F.transform("_a", lambda r: F.struct(r["at"], r["c"].cast("long").alias("c"), r["s"].cast("double").alias("s"), r["ss"].cast("double").alias("ss")))
+    return g.withColumn("_r", F.concat(F.array(zero), a)).drop("_a")
+
+
+def box_of(start: Column, width: Column, wrap: bool = True) -> dict[str, Column]:
+    """Sums over ``width`` columns from ``start`` (0 to ``_n`` - 1) on, as differences of ``_r``."""
+    r, n = F.col("_r"), F.col("_n")
+    end = start + width
+    last = F.least(end, n)
+    out = {c: F.get(r, last)[c] - F.get(r, start)[c] for c in ("c", "s", "ss")}
+    if wrap:
+        out = {c: v + F.get(r, end - last)[c] for c, v in out.items()}
+    return out
+
+
 def box_sums(
-    folded: DataFrame, keys: Sequence[str], n: Column, widths: Sequence[int], wrap: bool = True
+    folded: DataFrame, keys: Sequence[str], n: Column, widths: Column | Sequence[int], wrap: bool = True, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Count and sums of every box (start ``col``, ``width``) of a folded table, and the total count N.
 
-    Running sums over the (doubled, where boxes wrap) columns, then one difference per width.
-    ``keys`` must hold the columns by which ``folded`` is partitioned.
+    A box is a difference of running sums, wherever its width comes from: ``widths`` are integers or an
+    array column of the folded rows (the plan is the same for any number), no wider than the period.
+    Without ``wrap`` boxes end within it. ``carry`` columns are constant per period.
     """
-    w = Window.partitionBy(*keys).orderBy("_at")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = folded.withColumn("_n", n.cast("long"))
-    at = F.explode(F.array(F.col("col"), F.col("col") + F.col("_n"))) if wrap else F.col("col").cast("long")
-    x = x.withColumn("_at", at)
-    x = x.withColumns({f"_r{c}": F.sum(c).over(run) for c in ("c", "s", "ss")})
-    x = x.withColumn("_tc", F.sum(F.when(F.col("_at") < F.col("_n"), F.col("c"))).over(Window.partitionBy(*keys)))
-    ahead = {k: {c: F.lead(f"_r{c}", k - 1).over(w) - F.col(f"_r{c}") + F.col(c) for c in ("c", "s", "ss")} for k in widths}
-    x = x.withColumn(
-        "_boxes",
-        F.array(*[F.struct(F.lit(k).alias("width"), *[v.alias(c) for c, v in ahead[k].items()]) for k in widths]),
-    )
-    x = x.where(F.col("_at") < F.col("_n")).select(
-        *keys, "col", "_tc", "_n", F.explode("_boxes").alias("_b")
-    )
-    return x.select(
-        *keys, "col", "_b.*", F.col("_tc").alias("N"), "_n"
-    ).where("c IS NOT NULL")
+    x = running_sums(folded, keys, n, carry)
+    w = widths if isinstance(widths, Column) else F.array(*[F.lit(int(k)) for k in widths])
+    x = x.withColumn("width", F.explode(F.filter(w.cast("array<int>"), lambda k: (k > 0) & (k <= F.col("_n")))))
+    last = F.col("_n") - 1 if wrap else F.col("_n") - F.col("width")
+    x = x.withColumn("col", F.explode(F.sequence(F.lit(0), last)))
+    sums = box_of(F.col("col"), F.col("width"), wrap)
+    return x.select(*keys, F.col("col").cast("long").alias("col"), "width", *[v.alias(c) for c, v in sums.items()], "N", "_n", *carry)
 
 
 def scores() -> dict[str, Column]:
@@ -55,37 +74,47 @@ def scores() -> dict[str, Column]:
 def box_stat(folded: DataFrame, keys: Sequence[str], n: Column, w1: int, w2: int, stat: str = "sr") -> DataFrame:
     """Best wrapping box per folded period for widths w1..w2: ``power`` (the root for the squared
     scores), ``width`` and start ``col``; the first of equals."""
-    b = box_sums(folded, keys, n, range(w1, w2 + 1))
+    b = box_sums(folded, keys, n, F.sequence(F.lit(w1), F.lit(w2)))
     b = b.withColumn("power", scores()[stat]).where("power > 0")
     best = stats.top_row(b, keys, [F.col("power"), -F.col("col"), -F.col("width")], ["power", "col", "width"])
     return best if stat == "snr" else best.withColumn("power", F.sqrt("power"))
 
 
-def box_stat_fractional(folded: DataFrame, keys: Sequence[str], n: Column, n_max: int, qmi: float, qmax: float) -> DataFrame:
-    """``sr`` with widths between fractions of the number of columns."""
-    b = box_sums(folded, keys, n, range(1, max(2, int(n_max * qmax) + 1)))
-    k = F.col("width")
-    b = b.where((k >= F.floor(F.col("_n") * qmi)) & (k <= F.floor(F.col("_n") * qmax)))
+def box_stat_fractional(folded: DataFrame, keys: Sequence[str], n: Column, qmi: float, qmax: float) -> DataFrame:
+    """``sr`` with widths between fractions of each period's number of columns."""
+    n = n.cast("int")
+    lo, hi = F.greatest(F.floor(n * qmi), F.lit(1)).cast("int"), F.floor(n * qmax).cast("int")
+    widths = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    b = box_sums(folded.withColumn("_w", widths), keys, n, F.col("_w"), carry=["_w"]).drop("_w")
     b = b.withColumn("power", scores()["sr"]).where("power > 0")
     best = stats.top_row(b, keys, [F.col("power"), -F.col("col"), -F.col("width")], ["power", "col", "width"])
     return best.withColumn("power", F.sqrt("power"))
 
 
 def search_bls(
-    df: DataFrame, p1: float | Column, p2: float | Column, w1: int, w2: int, min_count: int | None = None
+    df: DataFrame, p1: float | None, p2: float | None, w1: int | None, w2: int | None, min_count: int | None = None,
+    periods: DataFrame | None = None,
 ) -> DataFrame:
     """Fold on fractional periods, then the box whose mean is deepest in units of its error.
 
-    A box needs more points than columns, or more than ``min_count`` where that is given.
+    A box needs more points than columns, or more than ``min_count`` where that is given. With
+    ``periods`` (star, seg, p1, p2, twdG) limits differ per star and segment, and a segment's
+    boxes are as wide as the first to the last of its durations.
     """
     x = fold.with_index(df)
+    if periods is None:
+        seg, y = [], x.withColumns({"p1": F.lit(float(p1)), "p2": F.lit(float(p2)), "_w": F.sequence(F.lit(w1), F.lit(w2))})
+    else:
+        seg = ["seg"]
+        lim = periods.select("star", "seg", "p1", "p2", F.sequence(F.element_at("twdG", 1), F.element_at("twdG", -1)).alias("_w"))
+        y = x.join(lim, "star")
     folded, by = fold.fold_columns(
-        x, F.lit(p1), F.lit(p2), "f", F.expr("NOT fmask AND f IS NOT NULL"),
-        lambda P: fold.frac_periods(P, F.col("ncad")),
+        y, F.col("p1"), F.col("p2"), "f", F.expr("NOT fmask AND f IS NOT NULL"),
+        lambda P: fold.frac_periods(P, F.col("ncad")), ("star", *seg), ["_w"],
     )
     keys = [*by, "Pcad"]
     ncol = F.max("col").over(Window.partitionBy(*keys)) + 1
-    b = box_sums(folded, keys, ncol, range(w1, w2 + 1))
+    b = box_sums(folded, keys, ncol, F.col("_w"), carry=["_w"])
     c, s = F.col("c"), F.col("s")
     floor = F.col("width") if min_count is None else F.lit(min_count)
     var = stats.safe_div(c * F.col("ss") - s * s, c * (c - 1))
@@ -99,24 +128,21 @@ def search_bls(
         stats.safe_div(F.max("t") - F.min("t"), F.max("i") - F.min("i")).alias("_dt"),
     )
     return best.join(dt, "star").select(
-        "star", "Pcad", F.col("width").alias("twd"), "col", "s2n", "noise",
+        "star", *seg, "Pcad", F.col("width").alias("twd"), "col", "s2n", "noise",
         (-F.col("s") / F.col("c")).alias("mean"),
         (F.col("t_first") + (F.col("col") + F.floor(F.col("width") / 2)) * F.col("_dt")).alias("t0"),
     )
 
 
-def frequency_grid(fmin: float, df: float, nf: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda j: F.lit(fmin) + j * df)
-
-
-def binned_snr(df: DataFrame, periods: Column, nb: int, qmi: float, qma: float, min_points: int = 40) -> DataFrame:
+def binned_snr(
+    df: DataFrame, period: Callable[[Column], Column], n: int | Column, nb: int, qmi: float, qma: float, min_points: int = 40
+) -> DataFrame:
     """sqrt(max s^2/(ss - s^2/n)) over dimming boxes with at least ``min_points`` points, per period;
-    0 where there is none."""
+    0 where there is none. ``period`` gives the period of an index from 0 to ``n`` - 1."""
     x = fold.with_index(df)
-    freqs = F.transform(periods, lambda P: F.lit(1.0) / P)
-    folded, by = fold.fold_phase_bins(x, freqs, nb, "f", F.expr("NOT fmask AND f IS NOT NULL"))
+    folded, by = fold.fold_phase_bins(x, lambda j: F.lit(1.0) / period(j), n, nb, "f", F.expr("NOT fmask AND f IS NOT NULL"))
     keys = [*by, "jf", "freq"]
-    b = box_sums(folded, keys, F.lit(nb), range(max(1, int(nb * qmi)), int(nb * qma) + 1))
+    b = box_sums(folded, keys, F.lit(nb), F.sequence(F.lit(max(1, int(nb * qmi))), F.lit(max(1, int(nb * qmi), int(nb * qma)))))
     score = F.when(F.col("c") >= min_points, scores()["snr2"])
     out = b.groupBy(*keys).agg(F.sqrt(F.coalesce(F.max(score), F.lit(0.0))).alias("snr"))
     return out.select("star", "jf", (F.lit(1.0) / F.col("freq")).alias("P"), "snr")
@@ -143,11 +169,11 @@ def bls_spectrum(
     x = x.where(F.col("t") >= F.col("_t1"))
     # The first good row carries the empty bins.
     x = x.withColumn("i", F.when(F.col("t") == F.col("_t1"), 0).otherwise(F.col("i") + 1).cast("long"))
-    folded, by = fold.fold_phase_bins(x, frequency_grid(fmin, dfreq, nf), nb, "_dev")
+    folded, by = fold.fold_phase_bins(x, lambda j: F.lit(fmin) + j * dfreq, nf, nb, "_dev")
     keys = [*by, "jf", "freq"]
     kmi = max(1, int(qmi * nb))
     kma = int(qma * nb) + 1
-    b = box_sums(folded, keys, F.lit(nb), range(kmi, kma + 2), wrap=snr)
+    b = box_sums(folded, keys, F.lit(nb), F.sequence(F.lit(kmi), F.lit(kma + 1)), wrap=snr)
     b = b.join(base.select("star", "rn"), "star")
     kkmi = F.greatest(F.floor(F.col("rn") * qmi), F.lit(5))
     score = scores()["depth_snr"] if snr else scores()["sr"]
@@ -175,22 +201,19 @@ def bls_spectrum(
     return spectrum, peak
 
 
-def local_continuum(folded: DataFrame, keys: Sequence[str], n: Column, widths: Sequence[int]) -> DataFrame:
+def local_continuum(folded: DataFrame, keys: Sequence[str], n: Column, widths: Column | Sequence[int]) -> DataFrame:
     """Per folded period the (width, epoch) with the largest depth below its two neighbouring boxes,
     in units of the scatter inside: depth/sigma*sqrt(n)."""
-    b = box_sums(folded, keys, n, widths).drop("N")
-    w = Window.partitionBy(*keys, "width").orderBy("_at")
-    x = b.withColumn("m", stats.safe_div(F.col("s"), F.col("c")))
-    x = x.withColumn(
-        "_at", F.explode(F.array(F.col("col") - F.col("_n"), F.col("col"), F.col("col") + F.col("_n")))
-    )
-    around = {}
-    for k in widths:
-        near = lambda d: F.max("m").over(w.rangeBetween(d, d))
-        around[f"_b{k}"], around[f"_a{k}"] = near(-k), near(k)
-    x = x.withColumns(around).where((F.col("_at") >= 0) & (F.col("_at") < F.col("_n")))
-    pick = lambda p: F.coalesce(*[F.when(F.col("width") == k, F.col(f"{p}{k}")) for k in widths])
-    depth = (pick("_b") + pick("_a")) * 0.5 - F.col("m")
-    var = stats.safe_div(F.col("ss"), F.col("c")) - F.col("m") * F.col("m")
-    x = x.withColumn("s2n", stats.safe_div(depth, F.sqrt(F.when(var > 0, var))) * F.sqrt("c")).where("s2n > 0")
+    x = running_sums(folded, keys, n)
+    w = widths if isinstance(widths, Column) else F.array(*[F.lit(int(k)) for k in widths])
+    x = x.withColumn("width", F.explode(F.filter(w, lambda k: (k > 0) & (k <= F.col("_n")))))
+    x = x.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    n, k = F.col("_n"), F.col("width")
+    mean = lambda d: stats.safe_div(d["s"], d["c"])
+    here = box_of(F.col("col"), k)
+    around = (mean(box_of(F.pmod(F.col("col") - k, n), k)) + mean(box_of(F.pmod(F.col("col") + k, n), k))) * 0.5
+    x = x.select(*keys, F.col("col").cast("long").alias("col"), "width", here["c"].alias("c"), here["s"].alias("s"), here["ss"].alias("ss"), around.alias("_o"))
+    m = stats.safe_div(F.col("s"), F.col("c"))
+    var = stats.safe_div(F.col("ss"), F.col("c")) - m * m
+    x = x.withColumn("s2n", stats.safe_div(F.col("_o") - m, F.sqrt(F.when(var > 0, var))) * F.sqrt("c")).where("s2n > 0")
     return stats.top_row(x, keys, [F.col("s2n"), -F.col("width"), -F.col("col")], ["s2n", "width", "col"])

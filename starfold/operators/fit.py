@@ -190,7 +190,8 @@ def best_fit_curve(lc: DataFrame, fits: DataFrame, oversample: int = 4, model: M
     model = model or ephemeris_model()
     from starfold.operators import fold
 
-    x = fold.with_index(validate.with_time_span(lc)).select("star", "i", "ncad", "t_first", "t_last")
+    last = lc.groupBy("star").agg(F.max("t").alias("t_last"))
+    x = fold.with_index(lc).join(last, "star").select("star", "i", "ncad", "t_first", "t_last")
     j = F.explode(F.sequence(F.lit(0), F.lit(oversample - 1)))
     x = x.withColumn("_j", j).withColumn("_k", F.col("i") * oversample + F.col("_j"))
     step = stats.safe_div(F.col("t_last") - F.col("t_first"), F.col("ncad") * oversample - 1)

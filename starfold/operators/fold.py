@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from starfold.functions import scalars
 
@@ -177,15 +178,24 @@ def merged_aggregate(
 ) -> tuple[DataFrame, list[str]]:
     """Aggregate by (partitioning keys + keys); merge the blocks of long series afterwards.
 
-    ``aggs`` maps a name to (kind, input). Returns the result and the keys it is partitioned by.
+    ``aggs`` maps a name to (kind, input); kind ``topK`` keeps the K largest. Returns the result and the keys it is partitioned by.
     """
     single = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "first": F.first}
+
+    def own(kind: str, c: Column) -> Column:
+        return InternalFunction.collect_top_k(c, int(kind[3:]), False) if kind.startswith("top") else single[kind](c)
+
+    def merge(kind: str, c: Column) -> Column:
+        if not kind.startswith("top"):
+            return MERGE[kind](c)
+        return F.slice(F.sort_array(F.flatten(F.collect_list(c)), False), 1, int(kind[3:]))  # a few per block
+
     group = [*by, *[k for k in keys if k not in by]]
-    out = x.groupBy(*group).agg(*[single[kind](c).alias(n) for n, (kind, c) in aggs.items()])
+    out = x.groupBy(*group).agg(*[own(kind, c).alias(n) for n, (kind, c) in aggs.items()])
     if "pblock" not in by:
         return out, list(by)
     rest = [k for k in group if k != "pblock"]
-    out = out.groupBy(*rest).agg(*[MERGE[kind](F.col(n)).alias(n) for n, (kind, _) in aggs.items()])
+    out = out.groupBy(*rest).agg(*[merge(kind, F.col(n)).alias(n) for n, (kind, _) in aggs.items()])
     return out, [k for k in by if k != "pblock"]
 
 
@@ -213,64 +223,67 @@ def fold_columns(
 
 def cumsum_top(
     x: DataFrame, by: Sequence[str], keys: Sequence[str], value: Column, row: Column, max_rows: int,
-    extra: Mapping[str, tuple[str, Column]] | None = None,
+    extra: Mapping[str, tuple[str, Column]] | None = None, k: int = 2,
 ) -> tuple[DataFrame, list[str]]:
-    """Sum and count per group without the 2, 1 and 0 largest values, NULLs ignored.
+    """Sum and count per group without its 0, 1, ..., ``k`` largest values (s0, c0 to sk, ck), NULLs ignored.
 
-    The two largest come from plain maxima: for every bit of the row number the maximum is kept for
-    either value of the bit. A second-largest row differs from the largest in some bit, so it is the
-    largest of the smaller ones of these pairs. Nothing is collected or sorted.
+    Up to two come from plain maxima: for every bit of the row number the maximum is kept for either
+    value of the bit. A second-largest row differs from the largest in some bit, so it is the largest
+    of the smaller ones of these pairs. Nothing is collected or sorted. More are kept in Spark's
+    bounded queue of the k largest, which is merged like a sum.
     """
-    bits = max(1, math.ceil(math.log2(max(2, max_rows + 1))))
-    aggs = {"s0": ("sum", value), "c0": ("count", value), "_m1": ("max", value)}
+    aggs = {"s0": ("sum", value), "c0": ("count", value)}
+    bits = max(1, math.ceil(math.log2(max(2, max_rows + 1)))) if k == 2 else 0
+    if k > 2:
+        aggs["_top"] = (f"top{k}", value)
+    elif k:
+        aggs["_m1"] = ("max", value)
     for b in range(bits):
         bit = F.getbit(row, F.lit(b))
         aggs[f"_z{b}"] = ("max", F.when(bit == 0, value))
         aggs[f"_o{b}"] = ("max", F.when(bit == 1, value))
     aggs.update(extra or {})
     out, by = merged_aggregate(x, by, keys, aggs)
-    second = [
-        F.when(F.col(f"_z{b}").isNotNull() & F.col(f"_o{b}").isNotNull(), F.least(f"_z{b}", f"_o{b}")) for b in range(bits)
-    ]
-    m2 = F.greatest(*second) if bits > 1 else second[0]
+    if k > 2:
+        top = [F.get("_top", F.lit(j)) for j in range(k)]
+    else:
+        second = [
+            F.when(F.col(f"_z{b}").isNotNull() & F.col(f"_o{b}").isNotNull(), F.least(f"_z{b}", f"_o{b}")) for b in range(bits)
+        ]
+        top = ([F.col("_m1")] + ([F.greatest(*second) if bits > 1 else second[0]] if k == 2 else [])) if k else []
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    out = out.withColumn("_m2", m2)
-    out = out.withColumns(
-        {
-            "s0": z(F.col("s0")),
-            "s1": z(F.col("s0")) - z(F.col("_m1")),
-            "s2": z(F.col("s0")) - z(F.col("_m1")) - z(F.col("_m2")),
-            "c1": F.greatest(F.col("c0") - 1, F.lit(0)),
-            "c2": F.greatest(F.col("c0") - 2, F.lit(0)),
-        }
-    )
-    drop = ["_m1", "_m2", *[f"_{x}{b}" for b in range(bits) for x in "zo"]]
-    return out.drop(*drop), by
+    cols, rest = {"s0": z(F.col("s0"))}, z(F.col("s0"))
+    for j, t in enumerate(top, 1):
+        rest = rest - z(t)
+        cols |= {f"s{j}": rest, f"c{j}": F.greatest(F.col("c0") - j, F.lit(0))}
+    return out.withColumns(cols).drop("_m1", "_top", *[f"_{x}{b}" for b in range(bits) for x in "zo"]), by
 
 
 def fold_phase_bins(
-    df: DataFrame, freqs: Column, nb: int, value: str = "f", ok: Column | None = None, keys: Sequence[str] = ("star",),
+    df: DataFrame, freq: Callable[[Column], Column], nf: int | Column, nb: int, value: str = "f", ok: Column | None = None,
+    keys: Sequence[str] = ("star",),
 ) -> tuple[DataFrame, list[str]]:
-    """Count, sum and sum of squares per (frequency, phase bin) for an array of frequencies.
+    """Count, sum and sum of squares per (frequency, phase bin) for the frequencies of the indices
+    0 to ``nf`` - 1; ``freq`` gives that of an index.
 
     Needs ``i`` and ``t_first``; phases are those of t - t_first. Every bin is present.
     """
     good = F.col(value).isNotNull() if ok is None else ok
-    x = df.withColumn("_v", F.when(good, F.col(value))).withColumn("_nf", F.size(freqs)).where("_nf > 0")
-    chunk = F.greatest(F.ceil(F.col("_nf") / CHUNKS_PER_SERIES), F.lit(1)).cast("int")
-    x = x.withColumn("_n", chunk)
+    count = nf if isinstance(nf, Column) else F.lit(nf)
+    x = df.withColumn("_v", F.when(good, F.col(value))).withColumn("_nf", count.cast("long")).where("_nf > 0")
+    x = x.withColumn("_n", F.greatest(F.ceil(F.col("_nf") / CHUNKS_PER_SERIES), F.lit(1)).cast("long"))
     chunk = F.col("_n")
     x = x.withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_nf") - 1) / chunk))))
     by = [*keys, "pchunk"]
     if longest(df) > CADENCES_PER_BLOCK:
         x = x.withColumn("pblock", F.floor(F.col("i") / CADENCES_PER_BLOCK))
         by.append("pblock")
-    # The frequencies of a chunk are made after the exchange.
-    x = x.repartition(shuffle_width(df), *by).withColumn("_f", F.slice(freqs, (F.col("pchunk") * chunk + 1).cast("int"), chunk))
-    x = x.select("*", F.posexplode("_f").alias("_k", "freq")).withColumn("jf", F.col("pchunk") * chunk + F.col("_k"))
+    # The frequencies of a chunk, and only those, are made after the exchange.
+    own = F.sequence(F.col("pchunk") * chunk, F.least((F.col("pchunk") + 1) * chunk, F.col("_nf")) - 1)
+    x = x.repartition(shuffle_width(df), *by).withColumn("jf", F.explode(own)).withColumn("freq", freq(F.col("jf")))
     # The first row of a series also brings one empty entry per bin.
     slot = F.explode(F.when(F.col("i") == 0, F.sequence(F.lit(-1), F.lit(nb - 1))).otherwise(F.array(F.lit(-1))))
-    x = x.drop("_f", "_k", "_n", "_nf").withColumn("_z", slot)
+    x = x.drop("_n", "_nf").withColumn("_z", slot)
     ph = (F.col("t") - F.col("t_first")) * F.col("freq")
     ph = ph - F.floor(ph)
     own = F.floor(ph * nb).cast("int")
@@ -338,30 +351,34 @@ FFA_ROWS = 4096
 
 
 def fold_ffa(
-    df: DataFrame, p1: int, p2: int, sums: Mapping[str, Column], keys: Sequence[str] = ("star",),
+    df: DataFrame, p1: int | Column, p2: int | Column, sums: Mapping[str, Column], keys: Sequence[str] = ("star",),
+    least: int | None = None,
 ) -> DataFrame:
     """Fast folding of an indexed series on all integer periods in [p1, p2).
 
     Gives ``Pcad`` = P0 + row/(m-1) for every row of the padded power of two and the sums per
     column. All stages run after one exchange on (star, chunk of periods), or for folds of more than
-    FFA_ROWS rows on (star, P0, row block).
+    FFA_ROWS rows on (star, P0, row block). Limits that differ per row (columns, constant per key) need
+    the ``least`` of them, which bounds the number of stages.
     """
     n = df.agg(F.max("ncad")).first()[0] or 1
-    stages = math.ceil(math.log2(n // p1 + 1))
-    x = df.withColumns({f"_{s}": c for s, c in sums.items()})
-    x = x.select(*keys, "i", "ncad", *[f"_{s}" for s in sums])
+    least = p1 if least is None else least
+    stages = math.ceil(math.log2(n // max(least, 1) + 1))
+    at = lambda p: (p if isinstance(p, Column) else F.lit(p)).cast("long")
+    x = df.withColumns({f"_{s}": c for s, c in sums.items()}).withColumns({"_lo": at(p1), "_hi": at(p2)})
+    x = x.select(*keys, "i", "ncad", "_lo", "_hi", *[f"_{s}" for s in sums]).where("_hi > _lo")
     block = [] if (1 << stages) <= FFA_ROWS else ["_blk"]
     if not block:
         # The rows meet their periods after the exchange, a bounded number of chunks per series.
-        chunk = max(1, math.ceil((p2 - p1) / CHUNKS_PER_SERIES))
-        x = x.withColumn("pchunk", F.explode(_upto(0, math.ceil(max(0, p2 - p1) / chunk))))
+        x = x.withColumn("_c", F.ceil((F.col("_hi") - F.col("_lo")) / CHUNKS_PER_SERIES))
+        x = x.withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_hi") - F.col("_lo") - 1) / F.col("_c")))))
         x = x.repartition(shuffle_width(df), "star", "pchunk")
-        first = F.col("pchunk") * chunk + p1
-        bases = F.sequence(first, F.least(first + chunk - 1, F.lit(p2 - 1)))
+        first = F.col("_lo") + F.col("pchunk") * F.col("_c")
+        bases = F.sequence(first, F.least(first + F.col("_c"), F.col("_hi")) - 1)
         x = wrap_padded(x.withColumn("P0", F.explode(bases)), F.col("P0"))
     else:
         # A fold too tall for one task is dealt by its rows, which differ from period to period.
-        x = wrap_padded(x.withColumn("P0", F.explode(_upto(p1, p2))), F.col("P0"))
+        x = wrap_padded(x.withColumn("P0", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1))), F.col("P0"))
         x = x.withColumn("_blk", F.floor(F.col("row") / FFA_ROWS)).repartition(shuffle_width(df), "star", "P0", "_blk")
     keys = [*keys, *([] if block else ["pchunk"])]
     x = x.select(*keys, "P0", *block, "k", "row", "col", *[F.col(f"_{s}").alias(s) for s in sums])
@@ -375,10 +392,5 @@ def fold_ffa(
     )
 
 
-def _upto(a: int, b: int) -> Column:
-    """The integers from a up to b, none for an empty range (sequence() would count downwards)."""
-    return F.filter(F.sequence(F.lit(a).cast("long"), F.lit(max(a, b - 1)).cast("long")), lambda p: p < b)
-
-
 def stats_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

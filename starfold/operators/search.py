@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from starfold.functions import stats
 from starfold.operators import fold, windows
-from starfold.session import cut_lineage
+from starfold.session import cut_lineage, staged
 
 
 def best_epoch(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -21,13 +21,28 @@ def best_epoch(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def duration_period_epoch(df: DataFrame, p1: int, p2: int, twds: Sequence[int]) -> DataFrame:
-    """Single-event depths folded by the fast method, best epoch per (twd, period)."""
+def duration_period_epoch(
+    df: DataFrame, p1: int | None, p2: int | None, twds: Sequence[int], periods: DataFrame | None = None
+) -> DataFrame:
+    """Single-event depths folded by the fast method, best epoch per (twd, period).
+
+    With ``periods`` (star, seg, p1, p2, twdG) limits in cadences differ per star and segment, and a
+    segment takes only its own durations out of ``twds``.
+    """
+    df = staged(df)
     d = windows.mean_depth(df, twds)
     noise = windows.noise_per_duration(d)
     x = fold.with_index(d).select("star", "twd", "i", "ncad", "d").where("d IS NOT NULL")
-    folded = fold.fold_ffa(x, p1, p2, {"s": F.col("d"), "n": F.lit(1).cast("long")}, ("star", "twd"))
-    best = best_epoch(folded, ["star", "twd", "P0", "Pcad"])
+    sums = {"s": F.col("d"), "n": F.lit(1).cast("long")}
+    seg = []
+    if periods is None:
+        folded = fold.fold_ffa(x, p1, p2, sums, ("star", "twd"))
+    else:
+        seg = ["seg"]
+        lim = periods.select("star", "seg", F.greatest(F.floor("p1"), F.lit(1)).alias("p1"), F.ceil("p2").alias("p2"), F.explode("twdG").alias("twd"))
+        least = int(lim.agg(F.min("p1")).first()[0] or 1)
+        folded = fold.fold_ffa(x.join(lim.distinct(), ["star", "twd"]), F.col("p1"), F.col("p2"), sums, ("star", "seg", "twd"), least)
+    best = best_epoch(folded, ["star", *seg, "twd", "P0", "Pcad"])
     cad = cadence(df)
     return (
         best.join(noise, ["star", "twd"])
@@ -68,7 +83,9 @@ def search_clipped(
 
     ``p1``/``p2`` are trial-period limits in cadences. With ``periods`` (star, seg, p1, p2, twdG)
     they differ per star; each row is one segment and folds only its own durations out of ``twds``.
+    The series is written once, as boxes, noise, cadence and length all read it.
     """
+    df = staged(df)
     boxes = windows.box_depth_arrays(df, twds)
     events = F.transform(
         F.filter("e", lambda r: r["good"] & r["depth"].isNotNull()),
@@ -114,17 +131,26 @@ def search_clipped(
     return out.withColumns({"P": F.col("Pcad") * F.col("dt"), "tdur": F.col("twd") * F.col("dt")}).drop("dt")
 
 
-def search_likelihood(df: DataFrame, p1: int | Column, p2: int | Column, twds: Sequence[int], alpha: float = 1200.0) -> DataFrame:
+def search_likelihood(
+    df: DataFrame, p1: int | None, p2: int | None, twds: Sequence[int], alpha: float = 1200.0, periods: DataFrame | None = None
+) -> DataFrame:
     """One common depth against one depth per event, by penalised likelihood.
 
     The penalty is ours after the published method: same = sum(dll) - sum(ivar (d-D)^2)/2 - ln(alpha)/2
-    and variable = sum(dll) - nind ln(alpha)/2.
+    and variable = sum(dll) - nind ln(alpha)/2. ``periods`` as for ``search_clipped``.
     """
+    df = staged(df)
     good = F.filter("e", lambda r: r["good"] & r["depth"].isNotNull() & r["ivar"].isNotNull())
     x = fold.with_index(windows.box_depth_arrays(df, twds).withColumn("e", good))
+    seg = ["seg"] if periods is not None else []
+    if periods is None:
+        x = x.withColumns({"p1": F.lit(p1), "p2": F.lit(p2)})
+    else:
+        x = x.join(periods.select("star", "seg", F.floor("p1").alias("p1"), F.ceil("p2").alias("p2"), "twdG"), "star")
+        x = x.withColumn("e", F.filter("e", lambda r: F.array_contains("twdG", r["twd"])))
     y, by = fold.spread_periods(
-        x.where(F.size("e") > 0).select("star", "i", "ncad", "e", F.lit(p1).alias("p1"), F.lit(p2).alias("p2")), F.col("p1"), F.col("p2"),
-        lambda P: fold.frac_periods(P, F.col("ncad")), cadences=fold.longest(df),
+        x.where(F.size("e") > 0).select("star", *seg, "i", "ncad", "e", "p1", "p2"), F.col("p1"), F.col("p2"),
+        lambda P: fold.frac_periods(P, F.col("ncad")), ("star", *seg), cadences=fold.longest(df),
     )
     _, col = fold.wrap(F.col("i"), F.col("Pcad"))
     y = y.withColumn("col", col).select(*by, "Pcad", "col", F.explode("e").alias("_e")).select(*by, "Pcad", "col", "_e.*")
@@ -150,7 +176,7 @@ def search_likelihood(df: DataFrame, p1: int | Column, p2: int | Column, twds: S
         ["phic_same", "phic_variable", "depth_2d", "w", "nind", "col", "twd"],
     )
     return best.join(cadence(df), "star").select(
-        "star", "Pcad", "twd", "col", "nind", "phic_same", "phic_variable",
+        "star", *seg, "Pcad", "twd", "col", "nind", "phic_same", "phic_variable",
         F.col("depth_2d").alias("mean"),
         F.col("w").alias("depth_ivar"),
         (F.col("depth_2d") * F.sqrt("w")).alias("s2n"),
@@ -183,32 +209,20 @@ def periodogram(df: DataFrame, segments: Sequence[dict], mode: str = "max") -> D
     """
     from starfold.operators import boxes
 
+    df = staged(df)
     limits = cut_lineage(segment_limits(df, segments))
+    # All segments of all stars in one plan, whatever the mode.
+    twds = sorted({int(k) for s in segments for k in s["twdG"]})
     if mode == "max":
-        # All segments in one job.
-        twds = sorted({int(k) for s in segments for k in s["twdG"]})
         return search_clipped(df, None, None, twds, limits).drop("seg")
-    out = None
-    for n, s in enumerate(segments):
-        own, twds = limits.where(F.col("seg") == n).select("star", "p1", "p2"), [int(k) for k in s["twdG"]]
-        x = df.join(own, "star")
-        if mode == "ffa":
-            lo, hi = own.agg(F.min("p1"), F.max("p2")).first()
-            if lo is None:
-                continue
-            p = best_duration(duration_period_epoch(df, int(lo), math.ceil(hi), twds), ("star", "P0", "Pcad"))
-            p = p.join(own, "star").where((F.col("P0") >= F.floor("p1")) & (F.col("P0") < F.ceil("p2"))).drop("P0", "p1", "p2")
-            p = _in_time_units(p, df)
-        elif mode == "bls":
-            p = _in_time_units(boxes.search_bls(x, F.col("p1"), F.col("p2"), twds[0], twds[-1]), df)
-        elif mode == "fm":
-            p = search_likelihood(x, F.floor("p1"), F.ceil("p2"), twds)
-        else:
-            raise ValueError(mode)
-        out = p if out is None else out.unionByName(p)
-    if out is None:
-        raise ValueError("no series to search")
-    return out
+    if mode == "ffa":
+        p = best_duration(duration_period_epoch(df, None, None, twds, limits), ("star", "seg", "P0", "Pcad"))
+        return _in_time_units(p.drop("seg", "P0"), df)
+    if mode == "bls":
+        return _in_time_units(boxes.search_bls(df, None, None, None, None, periods=limits).drop("seg"), df)
+    if mode == "fm":
+        return search_likelihood(df, None, None, twds, periods=limits).drop("seg")
+    raise ValueError(mode)
 
 
 def _in_time_units(p: DataFrame, df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from starfold.functions import linalg, stats
 from starfold.functions.scalars import CADENCE_DAYS
 from starfold.operators import fold, windows
 from starfold.operators.clean import flux, median_filter, valid
-from starfold.session import cut_lineage
+from starfold.session import cut_lineage, staged
 
 
 def with_time_span(df: DataFrame) -> DataFrame:
@@ -345,9 +345,11 @@ def s2n_known(
 ) -> DataFrame:
     """s2n at the grid point nearest to a known signal (``star, P, phase, tdur``).
 
-    Nearest duration, then the fast fold at floor(P) cadences and its nearest fractional period,
-    then the epoch of the nearest phase (the shorter way round).
+    Nearest duration, then the fast fold at floor(P) cadences, the only base period that is folded, and
+    its nearest fractional period, then the epoch of the nearest phase (the shorter way round). Signals
+    with floor(P) outside ``p_limits`` give no row.
     """
+    df = staged(df)
     d = windows.mean_depth(df, twds)
     noise = windows.noise_per_duration(d)
     x = fold.with_index(d)
@@ -360,8 +362,10 @@ def s2n_known(
         F.array(*[F.struct(F.abs(F.lit(float(w)) - want).alias("d"), F.lit(w).cast("int").alias("w")) for w in twds])
     )
     k = k.withColumns({"twd": choice["w"], "P0": F.floor(F.col("P") / F.col("dt"))})
-    y = x.where("d IS NOT NULL").join(k.select("star", "twd"), ["star", "twd"], "left_semi")
-    f = fold.fold_ffa(y, *p_limits, {"s": F.col("d"), "n": F.lit(1).cast("long")}, ("star", "twd"))
+    k = k.where((F.col("P0") >= p_limits[0]) & (F.col("P0") < p_limits[1]))
+    y = x.where("d IS NOT NULL").join(k.select("star", "twd", "P0").distinct(), ["star", "twd"])
+    sums = {"s": F.col("d"), "n": F.lit(1).cast("long")}
+    f = fold.fold_ffa(y, F.col("P0"), F.col("P0") + 1, sums, ("star", "twd"), p_limits[0])
     j = f.join(k, ["star", "twd", "P0"])
     dp = F.abs(F.col("Pcad") - F.col("P") / F.col("dt"))
     near = j.groupBy("star").agg(F.min(F.struct(dp.alias("d"), F.col("row").alias("row"))).alias("_m")).select("star", F.col("_m.row").alias("row"))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folder made for a local session without one, and stage tables of the open ``stage_tables`` blocks.
+_local_folder: dict[str, str] = {}
+_open_blocks: list[list[DataFrame]] = []
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -34,11 +40,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="starfold-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _local_folder:
+        _local_folder[context.applicationId] = tempfile.mkdtemp(prefix="starfold-ckpt-")
+    return _local_folder[context.applicationId]
+
+
+@contextmanager
+def stage_tables() -> Iterator[None]:
+    """Remove at the end of the block the stage tables that were written inside it.
+
+    Lazy results read them, so write or collect those inside: ``with stage_tables(): search(...).write...``.
+    """
+    _open_blocks.append([])
+    try:
+        yield
+    finally:
+        release(*_open_blocks.pop())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,9 +68,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
+    if _open_blocks:
+        _open_blocks[-1].append(out)
     return out
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a stage table, else written as one: for what several steps read."""
+    return df if getattr(df, "stage_path", None) else cut_lineage(df)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Remove stage tables that ``cut_lineage`` wrote and nothing reads any more."""
     for df in tables:
