@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ from starfold.session import cut_lineage, release
 BANDS, ROWS = 64, 8
 #: Fingerprints this near are candidates too.
 REACH = 2
-#: Sets that a task compares at a time, and cells of the matrix it counts with.
-BLOCK, CELLS = 1024, 1 << 22
+#: Sets that a task compares at a time; cells of the matrices it makes signatures and counts with.
+BLOCK, SIGN_CELLS, CELLS = 1024, 1 << 16, 1 << 20
+#: Texts taken out of an Arrow batch at a time.
+TEXTS = 512
 #: Keeps rounding from excluding a pair that lies exactly at the threshold.
 EPS = 1e-9
 
@@ -40,7 +43,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     out = np.zeros(BANDS * ROWS, np.uint32)
     if len(shingles):
         h = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-        step = max(1, CELLS // len(h))
+        step = max(1, SIGN_CELLS // len(h))
         for a in range(0, len(out), step):
             out[a : a + step] = ((h ^ FLIP[a : a + step, None]) * SPREAD[a : a + step, None]).min(axis=1)
     return out
@@ -60,22 +63,26 @@ def described(texts: DataFrame, shingle: int) -> DataFrame:
     """(id, v, n, fp, keys) per text, in the task that reads it: the name and size of its shingle set,
     its SimHash fingerprint and its band keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a in range(0, len(b), 1024):
-                part = b.iloc[a : a + 1024]
-                hashes = [shingle_hashes(t, shingle) for t in part["text"]]
-                sets = [np.unique(h) for h in hashes]
-                yield pd.DataFrame(
-                    {
-                        "id": part["id"],
-                        "v": [set_key(s) for s in sets],
-                        "fp": np.array([simhash(h) for h in hashes], dtype=np.uint64).view(np.int64),
-                        "keys": list(band_keys(np.array([signature(s) for s in sets]))),
-                    }
-                )
+    schema = pa.schema([("id", pa.int64()), ("v", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
-    return texts.mapInPandas(run, "id long, v long, fp long, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            hashes = [shingle_hashes(t, shingle) for t in b.column("text").to_pylist()]
+            sets = [np.unique(h) for h in hashes]
+            fp = np.array([simhash(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            keys = band_keys(np.array([signature(s) for s in sets]))
+            ends = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
+            columns = [b.column("id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(fp), pa.ListArray.from_arrays(ends, keys.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return texts.mapInArrow(run, "id long, v long, fp long, keys array<long>")
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows some at a time, so that few texts are Python objects at once."""
+    for b in batches:
+        for a in range(0, b.num_rows, TEXTS):
+            yield b.slice(a, TEXTS)
 
 
 def candidate_edges(named: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,14 +110,14 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarr
     row, column = row[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((len(a), len(a) if b is None else len(b)))
+    out = np.zeros((len(a), len(a) if b is None else len(b)), np.float32 if shared.sum() < 1 << 24 else np.float64)
     width = max(256, CELLS // len(sets))
     total = int(shared.sum())
     cuts = np.searchsorted(column, np.arange(0, total + width, width))
     for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
         held = np.zeros((len(sets), min(width, total - k * width)), np.float32)
         held[row[x:y], column[x:y] - k * width] = 1
-        out += held[: len(a)] @ (held if b is None else held[len(a) :]).T  # a piece's counts are exact in float32
+        out += held[: len(a)] @ (held if b is None else held[len(a) :]).T  # whole numbers, exact up to 2**24 and past it in float64
     return out
 
 
@@ -126,9 +133,12 @@ def _links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, s
     else:
         p, q = np.flatnonzero(~side[order]), np.flatnonzero(side[order])
         both = overlaps([sets[k] for k in p], [sets[k] for k in q])
-    near = both >= similarity * (n[p][:, None] + n[q] - both) - EPS
-    i, j = np.nonzero(near)
-    label = local_components(len(sets), p[i], q[j])
+    found = []
+    for k in range(0, len(p), 64):  # thresholds in double precision, a strip at a time
+        strip = both[k : k + 64].astype(float)
+        i, j = np.nonzero(strip >= similarity * (n[p[k : k + 64]][:, None] + n[q] - strip) - EPS)
+        found.append((p[k + i], q[j]))
+    label = local_components(len(sets), *map(np.concatenate, zip(*found)))
     apart = names != names[label]
     return pd.DataFrame({"v": names[apart], "root": names[label][apart]})
 
@@ -141,10 +151,10 @@ def exact_edges(loose: DataFrame, named: DataFrame, texts: DataFrame, shingle: i
     blocks that it is in. A task reports a spanning forest, never pairs.
     """
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"]]
-            yield pd.DataFrame({"v": [set_key(s) for s in sets], "items": [s.tobytes() for s in sets]})
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"v": [set_key(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -161,7 +171,7 @@ def exact_edges(loose: DataFrame, named: DataFrame, texts: DataFrame, shingle: i
     bins = max(1, small // BLOCK)
     ids = cut_lineage(named.join(members.select("v"), "v").groupBy("v").agg(F.min("id").alias("id")).select("id").distinct())
     wanted = beside(texts, ids, "id", "left_semi", 8).select("text")
-    sets = wanted.mapInPandas(load, "v long, items binary").groupBy("v").agg(F.min("items").alias("items"))
+    sets = wanted.mapInArrow(load, "v long, items binary").groupBy("v").agg(F.min("items").alias("items"))
     of = sets.join(members, "v").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     alone = F.col("blocks") == 1
