@@ -297,15 +297,40 @@ SQL["mean_of_bins"] = f"""WITH {HOURLY_DENSE} SELECT star, CAST(floor((cad - a)
 FROM (SELECT *, min(cad) OVER (PARTITION BY star) AS a FROM hd) GROUP BY 1, 2 HAVING avg(f) IS NOT NULL"""
 
 
+def _less_level(q, o):
+    """A quarter's flux less the mean of the other table's, a new group."""
+    level = o["level"].mean() if len(o) else 0.0
+    return q.assign(g=q["f"] - level, n_other=len(o))[["star", "quarter", "cad", "g", "n_other"]]
+
+
 def per_quarter(spark, sf):
+    """Two inputs with rows of their own: a series, and levels of some of its quarters every 7 days."""
     d = fixtures.daily(spark, sf)
-    other = clean.normalize_quarter(d).select("star", "quarter", "cad", F.col("f").alias("g"))
-    step = lambda x: x.withColumn("h", F.col("f") * F.col("g"))
-    return clean.map_per_quarter(d, step, other).groupBy("star", "quarter").agg(r6(F.sum("h") / 1e6, 3).alias("h"))
+    other = d.where("cad % 7 = 3 AND quarter % 3 <> 1").select("star", "quarter", F.round(F.col("f") / 1000).alias("level"))
+    return clean.map_per_quarter(d, _less_level, "star string, quarter int, cad long, g double, n_other long", other).select(
+        "star", "quarter", "cad", r6("g", 3).alias("g"), "n_other"
+    )
 
 
 QUERIES["map_per_quarter"] = per_quarter
-SQL["map_per_quarter"] = f"""WITH {DAILY}, m AS (SELECT *, f / median(f) OVER (PARTITION BY star, quarter) - 1 AS g FROM daily)
-SELECT star, quarter, {s6('sum(f * g) / 1e6', 3)} AS h FROM m GROUP BY star, quarter"""
+SQL["map_per_quarter"] = f"""WITH {DAILY}, o AS (SELECT star, quarter, avg(round(f / 1000)) AS level, count(*) AS n FROM daily WHERE cad % 7 = 3 AND quarter % 3 <> 1 GROUP BY star, quarter)
+SELECT star, quarter, cad, {s6('f - coalesce(level, 0)', 3)} AS g, coalesce(n, 0) AS n_other FROM daily LEFT JOIN o USING (star, quarter)"""
+
+
+def per_quarter_in_place(spark, sf):
+    """The first ten days of a quarter scaled in place; other rows and columns stay."""
+
+    def scale(q):
+        early = q[q["cad"] < q["cad"].min() + 10]
+        return early.assign(f=early["f"] / 4)[["star", "quarter", "cad", "f"]]
+
+    d = fixtures.daily(spark, sf)
+    x = clean.map_per_quarter(d, scale, "star string, quarter int, cad long, f double", in_place=True)
+    return x.select("star", "cad", "f", r6("ferr").alias("ferr"), "quarter")
+
+
+QUERIES["map_per_quarter_in_place"] = per_quarter_in_place
+SQL["map_per_quarter_in_place"] = f"""WITH {DAILY} SELECT star, cad, CASE WHEN cad < min(cad) OVER (PARTITION BY star, quarter) + 10 THEN f / 4 ELSE f END AS f,
+ {s6('ferr')} AS ferr, quarter FROM daily"""
 
 # Which series each query runs on; their length is measured before planning.

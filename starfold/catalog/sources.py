@@ -60,11 +60,16 @@ SELECT star, COUNT(*) AS n, SUM(f) AS total, {s6('min(P1)')} AS P1 FROM hourly J
 WHERE cad >= P1 AND cad < P2 GROUP BY star"""
 
 
-def load_quarters(spark, sf):
+def _quarter_files(spark, sf):
+    """The hourly series as one file per star and quarter."""
     path = _path(spark)
-    fixtures.hourly(spark, sf).withColumn("q", F.col("quarter")).repartition(1, "q").write.partitionBy("q").parquet(path)
-    raw = spark.read.parquet(path).withColumn("file", F.col("q").cast("string"))
-    return lightcurves.checked_quarters(raw, ["star", "quarter", "cad", "f"]).groupBy("star", "quarter").agg(
+    fixtures.hourly(spark, sf).withColumns({"s": F.col("star"), "q": F.col("quarter")}).repartition("s", "q").write.partitionBy("s", "q").parquet(path)
+    return path
+
+
+def load_quarters(spark, sf):
+    df = lightcurves.load_quarters(spark, [_quarter_files(spark, sf)], ["star", "quarter", "cad", "f"])
+    return df.groupBy("star", "quarter").agg(
         F.count(F.lit(1)).alias("n"), F.min("cad").alias("first_cad"), F.sum("f").alias("total")
     )
 
@@ -132,15 +137,21 @@ SQL["split_by_star"] = f"WITH {DAILY} SELECT lpad(star, 9, '0') AS star_id, COUN
 
 
 def modal_length(spark, sf):
-    good, rest = lightcurves.modal_length(fixtures.hourly(spark, sf))
+    """Over files of which one is broken and one is empty: both are reported, the others load."""
+    path = _quarter_files(spark, sf)
+    spark.range(1).select(F.lit("not a light curve").alias("value")).coalesce(1).write.text(f"{path}/s=broken")
+    fixtures.hourly(spark, sf).where("false").coalesce(1).write.parquet(f"{path}/s=empty")
+    lc, bad = lightcurves.load_folder(spark, path)
+    good, rest = lightcurves.modal_length(lc)
     a = good.groupBy("star").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(True))
-    return a.unionByName(rest.withColumn("kept", F.lit(False)))
+    files = bad.select(F.regexp_extract("file", "/s=([^/]+)/", 1).alias("star"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("kept"))
+    return a.unionByName(rest.withColumn("kept", F.lit(False))).unionByName(files)
 
 
 QUERIES["modal_length_filter"] = modal_length
 SQL["modal_length_filter"] = f"""WITH {HOURLY}, c AS (SELECT star, COUNT(*) AS n FROM hourly GROUP BY star),
 b AS (SELECT n AS e FROM c GROUP BY n ORDER BY COUNT(*) DESC, n LIMIT 1)
-SELECT star, n, n = (SELECT e FROM b) AS kept FROM c"""
+SELECT star, n, n = (SELECT e FROM b) AS kept FROM c UNION ALL SELECT 'broken', 0, false UNION ALL SELECT 'empty', 0, false"""
 
 
 def _headers(spark, sf):

@@ -36,10 +36,21 @@ def grid_search(spark, sf):
 QUERIES["grid_search"] = grid_search
 
 
+def two_signals(spark, sf):
+    """The scaled injected series with a second, shallower dip every 41 days."""
+    d = small(spark, sf).select("star", "cad", "t", "f", "fmask")
+    dip = F.when(F.pmod(C("cad") - 5, F.lit(41)) < 2, 0.009).otherwise(0.0)
+    return d.withColumn("f", F.when(~C("fmask"), C("f") - dip).otherwise(0.0))
+
+
+PAIR = [{"Pcad1": 25, "Pcad2": 29, "twdG": [2, 3]}, {"Pcad1": 39, "Pcad2": 43, "twdG": [2, 3]}]
+
+
 def multi_search(spark, sf):
-    once = lambda lc: search.peak(search.search_clipped(stages.centre(lc), 24, 30, (2, 3)))
-    c = stages.multi_search(daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask"), once, 8.0, 3)
-    return c.select("star", "candidate", r6("s2n").alias("s2n"), r6("P").alias("P"), r6("t0").alias("t0"), r6("tdur").alias("tdur"))
+    once = lambda lc: search.peak(search.periodogram(stages.centre(lc), PAIR))
+    fit_once = lambda lc, peaks: stages.fit_and_validate(lc, peaks, 2, MODEL)
+    c = stages.multi_search(two_signals(spark, sf), once, 8.0, 5, fit_once)
+    return c.select("star", "candidate", *[r6(x).alias(x) for x in ("s2n", "P", "t0", "tdur", "rp", "rchisq", "num_trans", "clip_snr")])
 
 
 QUERIES["multi_search"] = multi_search

@@ -6,13 +6,15 @@ quarter``; ``fmask`` true means excluded.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starfold.functions import stats
 from starfold.functions.frames import STRETCH, partition_sql, scan, with_ends, with_frames
+from starfold.session import cut_lineage
 
 VALID = "NOT fmask AND f IS NOT NULL"
 
@@ -250,7 +252,8 @@ def mask_outliers(
         x = df.withColumn("_fi", F.coalesce(flux(), F.lit(0.0)))
     else:
         raise ValueError(interp)
-    x = median_filter(x, "_fi", 4, "_fm").withColumn("_hp", F.col("_fi") - F.col("_fm"))
+    # Written before the median, which reads it three times.
+    x = cut_lineage(median_filter(x, "_fi", 4, "_fm").withColumn("_hp", F.col("_fi") - F.col("_fm")))
     x = stats.with_medians(x, ["star"], {"_mad": F.abs("_hp")})
     sig = F.col("_mad") * 1.48
     bad = (F.col("_hp") < sig * lims[0]) | (F.col("_hp") > sig * lims[1])
@@ -281,7 +284,7 @@ def mask_steps(
         with_frames(w1, 0, scale, lambda w: {"_later": F.first("_md").over(w.rangeBetween(scale, scale))})
     )
     inside = F.col("cad") + size + scale <= F.col("_b")
-    w2 = w2.withColumn("_step", F.when(inside, F.col("_md") - F.col("_later")))
+    w2 = cut_lineage(w2.withColumn("_step", F.when(inside, F.col("_md") - F.col("_later"))))
     w2 = stats.with_medians(w2, ["star"], {"_ms": F.abs("_step")})
     w2 = w2.withColumn("_hit", F.coalesce(F.abs("_step") > F.col("_ms") * nsig, F.lit(False)))
     mid = (size + scale) // 2
@@ -312,8 +315,8 @@ def quality_mask(
     x = x.withColumn("fmask", F.col("fmask") | F.col("is_bad_region") | F.col("is_outlier"))
     x = mask_steps(x)
     x = parse_quality(x, bits)
-    for k, n in grow.items():
-        x = grow_mask(x, k, n, n)
+    most = max(grow.values(), default=0)
+    x = with_frames(x, most, most, lambda w: {k: F.max(F.col(k)).over(w.rangeBetween(-n, n)) for k, n in grow.items()})
     return x.withColumns(
         {
             "fmask": F.col("fmask") | F.col("is_step") | F.col("desat") | F.col("at_tweak"),
@@ -354,15 +357,38 @@ def join_segments(df: DataFrame, a: str, b: str, out: str = "segment") -> DataFr
     return x.select(*df.columns, F.when(F.col("_pair").isNotNull(), F.col("_k")).alias(out))
 
 
+# Time buckets over which cut ranges are numbered: so many rows come to the driver at most.
+RANK_BUCKETS = 4096
+
+
+def numbered_spans(regions: DataFrame) -> DataFrame:
+    """(_i, _lo, _hi): the spans between the end of each cut and the start of the next, numbered in
+    order of starts.
+
+    Cuts are ranked inside time buckets; one summary row per bucket (its number of cuts and its first
+    start) carries rank and next start over to the others.
+    """
+    cuts = regions.select(F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
+    ends = cuts.agg(F.min("start").alias("a"), F.max("start").alias("b")).first()
+    low, span = ends["a"] or 0.0, (ends["b"] or 0.0) - (ends["a"] or 0.0)
+    step = span / RANK_BUCKETS or 1.0
+    bucket = F.least(F.floor((F.col("start") - low) / step), F.lit(RANK_BUCKETS - 1)).cast("long")
+    cuts = cuts.withColumn("_k", bucket)
+    rows = cuts.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first")).where("_k IS NOT NULL").orderBy("_k").collect()
+    carry, before = [], 0
+    for r, after in zip(rows, [*rows[1:], None]):
+        carry.append((r["_k"], before, after and after["first"]))
+        before += r["n"]
+    carried = regions.sparkSession.createDataFrame(carry, "_k LONG, _before LONG, _next DOUBLE")
+    w = Window.partitionBy("_k").orderBy("start", "stop")
+    x = cuts.withColumns({"_r": F.row_number().over(w) - 1, "_lead": F.lead("start").over(w)}).join(F.broadcast(carried), "_k")
+    x = x.select((F.col("_r") + F.col("_before")).alias("_i"), F.col("stop").alias("_lo"), F.coalesce("_lead", "_next").alias("_hi"))
+    return x.where("_hi IS NOT NULL")
+
+
 def region_segments(df: DataFrame, regions: DataFrame, out: str = "segment", width: float = 64.0) -> DataFrame:
     """Label i between the end of cut i and the start of cut i+1 (strict); -1 elsewhere."""
-    w = Window.partitionBy(F.lit(0)).orderBy("start")
-    spans = regions.select(
-        (F.row_number().over(w) - 1).cast("long").alias("_i"),
-        F.col("stop").alias("_lo"),
-        F.lead("start").over(w).alias("_hi"),
-    ).where("_hi IS NOT NULL")
-    found = _range_lookup(df, spans, "_i", width)
+    found = _range_lookup(df, numbered_spans(regions), "_i", width)
     return found.withColumn(out, F.coalesce("_i", F.lit(-1))).drop("_i")
 
 
@@ -456,12 +482,29 @@ def mean_of_valid(df: DataFrame, nbin: int = 8) -> DataFrame:
     )
 
 
-def map_per_quarter(df: DataFrame, fn, other: DataFrame | None = None) -> DataFrame:
-    """Apply a keyed transform to all quarters at once.
+def map_per_quarter(
+    df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, other: DataFrame | None = None, in_place: bool = False,
+    keys: Sequence[str] = ("star", "quarter"),
+) -> DataFrame:
+    """Apply ``fn`` to the rows of every quarter.
 
-    ``fn`` maps a DataFrame keyed by (star, quarter) to another; with ``other`` the two inputs are
-    paired by key first.
+    ``fn`` takes a quarter's rows and, with ``other``, the rows of that table for the same quarter (two
+    tables need not have the same rows; a quarter that only one has comes with an empty other one). It
+    returns rows of ``schema``, which are the result, a new group; with ``in_place`` they hold ``cad``
+    and their other columns replace those of ``df``, whose remaining rows and columns stay.
+    Each quarter is one task's work, a few thousand rows, sent and returned as Arrow.
     """
+    keyed = df.groupBy(*keys)
     if other is None:
-        return fn(df)
-    return fn(df.join(other, [c for c in ("star", "quarter", "cad") if c in other.columns]))
+        out = keyed.applyInPandas(lambda q: fn(q), schema)
+    else:
+        out = keyed.cogroup(other.groupBy(*keys)).applyInPandas(lambda q, o: fn(q, o), schema)
+    if not in_place:
+        return out
+    at = [*keys, "cad"]
+    new = [c for c in out.columns if c not in at]
+    made = out.select(*at, *[F.col(c).alias(f"_new_{c}") for c in new], F.lit(True).alias("_has"))
+    x = df.join(made, at, "left")
+    for c in new:
+        x = x.withColumn(c, F.when(F.col("_has"), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in df.columns else F.col(f"_new_{c}"))
+    return x.drop("_has", *[f"_new_{c}" for c in new])

@@ -5,9 +5,10 @@ Candidates are rows (star, P, t0, tdur); light-curve rows meet theirs by an equi
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,25 +247,44 @@ def hist_bin_avg(
     return g.withColumn("x", F.lit(float(lo)) + (F.col("bin") + 0.5) * ((hi - lo) / nbins))
 
 
-def autocorr(binned: DataFrame, candidates: DataFrame, clip: float = 1.0) -> tuple[DataFrame, DataFrame]:
+# Bins of a folded curve in one block of its autocorrelation.
+LAG_BLOCK = 2048
+
+
+def autocorr(binned: DataFrame, candidates: DataFrame, clip: float = 1.0, block: int = LAG_BLOCK) -> tuple[DataFrame, DataFrame]:
     """Circular autocorrelation of a binned folded curve (NULL as 0), lags centred on 0, and per star
     the ratio of its maximum beyond ``clip`` durations to the overall one.
 
-    A curve has one value per bin, so it travels as one array; no bin pairs are made.
+    ``binned`` has every bin from 0 on. A curve is cut into blocks of ``block`` bins. Each block meets
+    each other one by an equi-join on its number; a task correlates the two and the products are
+    added up per lag, so no row or task holds a whole curve.
     """
-    curve = binned.groupBy("star").agg(
-        F.sort_array(F.collect_list(F.struct("bin", F.coalesce("fmed", F.lit(0.0)).alias("f"), "t_phasefold"))).alias("_c")
+    x = binned.select("star", F.col("bin").cast("long").alias("bin"), F.coalesce("fmed", F.lit(0.0)).alias("f"), "t_phasefold")
+    time_of = lambda k: F.max(F.when(F.col("bin") == k, F.col("t_phasefold")))
+    size = x.groupBy("star").agg((F.max("bin") + 1).alias("_n"), (time_of(1) - time_of(0)).alias("dt"))
+    part = x.groupBy("star", F.floor(F.col("bin") / block).alias("_i")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("bin", "f"))), lambda r: r["f"]).alias("_f")
     )
-    curve = curve.withColumns({"_f": F.transform("_c", lambda r: r["f"]), "_n": F.size("_c")})
-    curve = curve.withColumn("dt", F.get("_c", F.lit(1))["t_phasefold"] - F.get("_c", F.lit(0))["t_phasefold"])
-    lag = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    x = curve.select("star", "_f", "_n", "dt", lag.alias("_lag"))
+    part = cut_lineage(part.join(size, "star").withColumn("_nb", F.ceil(F.col("_n") / block)))
+    left = part.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    right = part.select("star", F.col("_i").alias("_j"), F.col("_f").alias("_g"))
+    pairs = left.join(right, ["star", "_j"]).select("star", "_i", "_j", "_f", "_g")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            first, sums = [], []
+            for i, j, f, g in zip(b["_i"], b["_j"], b["_f"], b["_g"]):
+                sums.append(np.correlate(g, f, "full"))
+                first.append((j - i) * block - (len(f) - 1))
+            yield pd.DataFrame({"star": b["star"], "first": first, "sums": sums})
+
+    found = pairs.mapInPandas(run, "star string, first long, sums array<double>")
+    found = found.select("star", "first", F.posexplode("sums").alias("_p", "_s")).join(size, "star")
     n, k = F.col("_n"), F.col("_lag")
-    rolled = F.concat(F.slice("_f", n - k + 1, k), F.slice("_f", F.lit(1), n - k))
-    ac = F.aggregate(F.zip_with("_f", rolled, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    auto = found.groupBy("star", F.pmod(F.col("first") + F.col("_p"), n).alias("_lag"), "_n", "dt").agg(F.sum("_s").alias("autocorr"))
     # Lags run from -n/2; the fold keeps its start at half a period.
     i = F.pmod(k + n / 2.0, n.cast("double")) - n / 2.0
-    auto = x.select("star", i.alias("i_shift"), (i * F.col("dt")).alias("t_shift"), ac.alias("autocorr"))
+    auto = auto.select("star", i.alias("i_shift"), (i * F.col("dt")).alias("t_shift"), "autocorr")
     lim = candidates.select("star", (F.col("tdur") * clip).alias("_w"))
     g = auto.join(lim, "star").groupBy("star").agg(
         F.max("autocorr").alias("_all"),
@@ -273,47 +293,78 @@ def autocorr(binned: DataFrame, candidates: DataFrame, clip: float = 1.0) -> tup
     return auto, g.select("star", stats.safe_div(F.col("_out"), F.col("_all")).alias("autor"))
 
 
+# Points of a strip of the plane, and strips of one star at most.
+STRIP_POINTS, STRIPS = 4096, 1024
+
+
+def _nearest_in(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, best: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """Distance from each query to the nearest point nearer than ``best``, walking outwards from its
+    place in the order of y until the step in y alone is as far; ``own`` are places to leave out."""
+    order = np.argsort(y, kind="stable")
+    x, y = x[order], y[order]
+    at = np.searchsorted(y, qy)
+    if own is not None:
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at, skip = place[own], place[own]
+    best = best.copy()
+    for step in (1, -1):
+        k = at + (0 if own is None else step) if step > 0 else at - 1
+        live = np.arange(len(qx))
+        while len(live):
+            inside = (k >= 0) & (k < len(y))
+            live, k = live[inside], k[inside]
+            dy = np.abs(y[k] - qy[live])
+            near = dy < best[live]
+            live, k, dy = live[near], k[near], dy[near]
+            best[live] = np.minimum(best[live], np.hypot(x[k] - qx[live], dy))
+            k = k + step
+    return best
+
+
 def scar(pgram: DataFrame, top: float = 0.9) -> DataFrame:
     """90th percentile of the nearest-neighbour distance among the points of the highest s2n, in the
     plane of scaled period and epoch phase (needs ``Pcad, t0cad, s2n``).
 
-    Points in the same place are each other's neighbours at distance 0. Neighbours come from grid
-    cells; points without one near enough go on to a coarser grid, until the grid is one cell. Each
-    grid's distances are written, so the plan does not grow.
+    Points in the same place are each other's neighbours at distance 0; a lone point has none and does
+    not count. The plane of a star is cut into strips of about STRIP_POINTS points by quantiles of the
+    period. A strip finds the neighbours among its own points; a point goes on only to strips that lie
+    nearer than the neighbour it has, so the distances are exact and few points move twice.
     """
     cut = stats.group_quantiles(pgram, ["star"], {"_c": F.col("s2n")}, top)
     p = pgram.join(cut, "star").where("s2n > _c").select("star", "Pcad", (F.col("t0cad") / F.col("Pcad")).alias("y"))
-    lim = p.groupBy("star").agg(F.min("Pcad").alias("_lo"), F.max("Pcad").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    p = p.join(lim, "star").select(
-        "star", stats.safe_div(F.col("Pcad") - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias("x"), "y", "_n",
-        F.monotonically_increasing_id().alias("_id"),
+    p = cut_lineage(p.withColumn("_id", F.monotonically_increasing_id()))
+    lim = p.groupBy("star").agg(
+        F.min("Pcad").alias("_lo"), F.max("Pcad").alias("_hi"), F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("Pcad", [k / STRIPS for k in range(1, STRIPS)], 10 * STRIPS).alias("_q"),
     )
-    p = cut_lineage(p)
-    n = p.agg(F.max("_n")).first()[0] or 1
-    h = 1.0 / max(1.0, math.sqrt(n))
-    cell = lambda c: F.floor(F.col(c) / h)
-    state = p.select("star", "_id", "x", "y").withColumn("d", F.lit(None).cast("double"))
-    here = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    while True:
-        last = h >= 1.5
-        pts = p.select("star", F.col("_id").alias("_other"), F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_cx"), cell("y").alias("_cy"))
-        q = state.withColumn("_o", F.explode(F.when(F.col("d").isNull(), around).otherwise(here)))
-        q = q.withColumns({"_qx": cell("x") + F.col("_o.a"), "_qy": cell("y") + F.col("_o.b")}).alias("q")
-        on = (
-            (F.col("q.star") == F.col("p.star")) & (F.col("_qx") == F.col("_cx")) & (F.col("_qy") == F.col("_cy"))
-            & F.col("q.d").isNull()
-        )
-        j = q.join(pts.alias("p"), on, "left").select("q.star", "_id", "x", "y", "d", "_other", "_x", "_y")
-        other = F.col("_id") != F.col("_other")
-        d2 = F.pow(F.col("x") - F.col("_x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("_y"), F.lit(2.0))
-        g = j.groupBy("star", "_id", "x", "y").agg(F.max("d").alias("_d"), F.sqrt(F.min(F.when(other, d2))).alias("_new"))
-        near = F.lit(True) if last else F.col("_new") <= h
-        state = cut_lineage(g.select("star", "_id", "x", "y", F.coalesce("_d", F.when(near, F.col("_new"))).alias("d")))
-        if last:
-            break
-        h *= 6
-    return stats.group_quantiles(state, ["star"], {"scar": F.col("d")}, 0.9)
+    # Of the quantiles every so many are edges; equal ones are one.
+    every = F.greatest(F.floor(F.lit(STRIPS) * STRIP_POINTS / F.col("_n")), F.lit(1)).cast("int")
+    edges = F.array_distinct(F.filter("_q", lambda v, k: (k + 1) % every == 0))
+    scaled = lambda v: F.coalesce(stats.safe_div(v - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    lim = lim.withColumn("_e", edges).select("star", "_lo", "_hi", F.transform("_e", scaled).alias("_e"))
+    p = p.join(lim, "star").select("star", "_id", scaled(F.col("Pcad")).alias("x"), "y", "_e")
+    p = cut_lineage(p.withColumn("_k", F.size(F.filter("_e", lambda v: v < F.col("x")))))
+
+    def inside(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group["x"].to_numpy(), group["y"].to_numpy()
+        d = _nearest_in(x, y, x, y, np.full(len(x), np.inf), np.arange(len(x)))
+        return pd.DataFrame({"star": group["star"], "_id": group["_id"], "d": d})
+
+    def beyond(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        d = _nearest_in(*(f[c].to_numpy() for f in (points, asked) for c in ("x", "y")), asked["d"].to_numpy(), None)
+        return pd.DataFrame({"star": asked["star"], "_id": asked["_id"], "d": d})
+
+    shape = "star string, _id long, d double"
+    own = cut_lineage(p.select("star", "_id", "x", "y", "_k").groupBy("star", "_k").applyInPandas(inside, shape))
+    # Strip k lies between edges k - 1 and k.
+    low = F.size(F.filter("_e", lambda v: v < F.col("x") - F.col("d")))
+    high = F.size(F.filter("_e", lambda v: v < F.col("x") + F.col("d")))
+    ask = p.join(own, ["star", "_id"]).withColumn("_to", F.explode(F.sequence(low, high))).where("_to <> _k")
+    ask = cut_lineage(ask.select("star", "_id", "x", "y", "d", F.col("_to").alias("_k")))
+    more = p.select("star", "_id", "x", "y", "_k").groupBy("star", "_k").cogroup(ask.groupBy("star", "_k")).applyInPandas(beyond, shape)
+    least = own.unionByName(more).groupBy("star", "_id").agg(F.min("d").alias("d")).where("d < double('infinity')")
+    return stats.group_quantiles(least, ["star"], {"scar": F.col("d")}, 0.9)
 
 
 # Fixed values.

@@ -5,13 +5,14 @@ Loops run over whole tables with a bounded number of rounds and write a stage ta
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfold.functions import stats
-from starfold.operators import clean, detrend, ensemble, fold, inject, search, validate, windows
+from starfold.operators import clean, detrend, ensemble, fit, fold, inject, search, validate, windows
 from starfold.session import cut_lineage
 
 PGRAM_BINS = 2000
@@ -34,7 +35,8 @@ def grid_search(
     """
     if mode != "max":
         raise ValueError("other modes run over explicit segments: search.periodogram")
-    x = centre(lc)
+    # Written once: the search reads it for boxes, noise, cadence and length.
+    lc = x = cut_lineage(centre(lc))
     base = search.cadence(lc).join(lc.groupBy("star").agg((F.max("t") - F.min("t")).alias("tbase")), "star")
     base = cut_lineage(base)
     top = F.lit(p_max).cast("double") if p_max is not None else F.col("tbase") * 0.49
@@ -107,29 +109,60 @@ def mask_candidates(lc: DataFrame, candidates: DataFrame, pad: float = 1.0) -> D
     return x.withColumn("fmask", F.col("fmask") | F.coalesce(hit, F.lit(False))).drop("_c")
 
 
-def multi_search(lc: DataFrame, search_once, min_s2n: float = 8.0, max_passes: int = 5) -> DataFrame:
-    """Search, record the peak, mask its transits, and again while s2n is high enough.
+def fit_and_validate(lc: DataFrame, peaks: DataFrame, rounds: int = 4, model: fit.Model | None = None, twd: int = 3) -> DataFrame:
+    """Constant-ephemeris fit of each peak (star, grid_P, grid_t0, grid_tdur, grid_mean) and the numbers
+    that judge it: fitted P, t0, tdur, rp, b and rchisq, events seen (num_trans), median depths of even
+    and odd ones, and the s2n without the three deepest (clip_snr). Flux is relative to 1, less 1."""
+    start = peaks.select(
+        "star", F.col("grid_P").alias("P"), F.col("grid_t0").alias("t0"), F.col("grid_tdur").alias("tdur"), F.col("grid_mean").alias("mean")
+    )
+    fits, _ = fit.fit_constant_ephemeris(lc, start, rounds, model)
+    fits = cut_lineage(fits.select("star", "P", "t0", "tdur", "rp", "b", "rchisq"))
+    ses, head = validate.single_event_table(lc, fits.select("star", "P", "t0", "tdur"), twd)
+    noise = windows.noise_per_duration(windows.mean_depth(lc, (twd,))).select("star", "noise")
+    out = fits.join(head.select("star", "num_trans", "ses_even", "ses_odd"), "star", "left")
+    return out.join(validate.robust_snr(ses, noise).select("star", "clip_snr"), "star", "left")
+
+
+FITTED = ("P", "t0", "tdur", "rp", "b", "rchisq", "num_trans", "ses_even", "ses_odd", "clip_snr")
+
+
+def multi_search(
+    lc: DataFrame, search_once: Callable[[DataFrame], DataFrame], min_s2n: float = 8.0, max_passes: int = 5,
+    fit_once: Callable[[DataFrame, DataFrame], DataFrame] | None = fit_and_validate,
+) -> DataFrame:
+    """Search, fit and validate the peak, mask its transits, and again while s2n is high enough.
 
-    ``search_once`` maps light curves to peaks (star, grid_s2n, grid_P, grid_t0, grid_tdur). A pass
-    handles all stars still active and records what it finds; the peak of a star's last pass, too low
-    to go on with, is among its candidates.
+    ``search_once`` maps light curves to peaks (star, grid_s2n, grid_P, grid_t0, grid_tdur, grid_mean);
+    ``fit_once`` maps light curves and the peaks worth it to fitted candidates with the columns FITTED
+    (None: the peak stands for itself). A pass handles all stars still active and records what it
+    finds, the next one masks within 1.5 fitted durations of it; the peak of a star's last pass, too low
+    to go on with, is among its candidates, without a fit.
     """
     lc = cut_lineage(lc)
-    found, active = None, lc
+    found, active = [], lc
     for n in range(1, max_passes + 1):
         peaks = cut_lineage(search_once(active))
-        rows = peaks.select(
-            "star", F.lit(n).alias("candidate"), F.col("grid_s2n").alias("s2n"), F.col("grid_P").alias("P"),
-            F.col("grid_t0").alias("t0"), F.col("grid_tdur").alias("tdur"),
-        )
-        found = rows if found is None else found.unionByName(rows)
-        strong = peaks.where(F.col("grid_s2n") >= min_s2n).select("star")
+        strong = peaks.where(F.col("grid_s2n") >= min_s2n)
+        named = peaks.select("star", F.lit(n).alias("candidate"), F.col("grid_s2n").alias("s2n"), F.col("grid_P"), F.col("grid_t0"), F.col("grid_tdur"))
+        if fit_once is None or strong.isEmpty():
+            fits = peaks.select("star", F.col("grid_P").alias("P"), F.col("grid_t0").alias("t0"), F.col("grid_tdur").alias("tdur"))
+            fits = fits if fit_once is None else fits.where("false")
+        else:
+            fits = fit_once(active.join(strong.select("star"), "star", "left_semi"), strong)
+        rows = named.join(fits, "star", "left")
+        own = {"P": "grid_P", "t0": "grid_t0", "tdur": "grid_tdur"}
+        cols = [F.coalesce(F.col(c), F.col(own[c])).alias(c) if c in own else (F.col(c) if c in rows.columns else F.lit(None)).cast("double").alias(c) for c in FITTED]
+        found.append(cut_lineage(rows.select("star", "candidate", "s2n", *cols)))
         if strong.isEmpty():
             break
-        active = mask_candidates(lc.join(strong, "star", "left_semi"), found)
-    if found is None:
-        found = lc.sparkSession.createDataFrame([], "star STRING, candidate INT, s2n DOUBLE, P DOUBLE, t0 DOUBLE, tdur DOUBLE")
-    return found
+        so_far = reduce(DataFrame.unionByName, found)
+        masked = mask_candidates(lc.join(strong.select("star"), "star", "left_semi"), so_far.where(F.col("s2n") >= min_s2n))
+        active = cut_lineage(masked)
+    if not found:
+        shape = ", ".join(f"{c} DOUBLE" for c in FITTED)
+        return lc.sparkSession.createDataFrame([], f"star STRING, candidate INT, s2n DOUBLE, {shape}")
+    return reduce(DataFrame.unionByName, found)
 
 
 def calibrate_ensemble(

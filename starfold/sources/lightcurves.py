@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,19 +65,44 @@ def with_params(df: DataFrame, params: DataFrame, on: str = "star") -> DataFrame
     return df.join(params, on)
 
 
+def _normal_path(c: Column) -> Column:
+    """File paths as both the listing and the rows give them: one slash behind the scheme."""
+    return F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def load_folder(spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", schema: T.StructType = LC) -> tuple[DataFrame, DataFrame]:
+    """All light curves under a folder, and the files that gave none: (lc, quarantine).
+
+    A file that cannot be read does not stop the others: it is skipped, and ``quarantine`` (file,
+    length) lists it by comparing the folder's listing, which opens no file, with the files that rows
+    came from. Files without rows are listed as well. ``lc`` has the column ``file``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(_normal_path(F.col("path")).alias("file"), "length")
+    reader = spark.read.format(fmt).schema(schema).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    if fmt == "csv":
+        reader = reader.option("header", "true").option("mode", "DROPMALFORMED")
+    lc = reader.load(path).withColumn("file", _normal_path(F.col("_metadata.file_path")))
+    doubles = [f.name for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    lc = lc.withColumns({c: stats.nan_to_null(F.col(c)) for c in doubles})
+    return lc, files.join(lc.select("file").distinct(), "file", "left_anti")
+
+
 def checked_quarters(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Quarters of light curves read from many files; fails if a (star, quarter) comes from more
-    than one ``file``. Keeps the wanted columns."""
-    dup = (
-        df.select("star", "quarter", "file").distinct().groupBy("star", "quarter").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    out = df.join(dup, ["star", "quarter"])
+    """Quarters of light curves read from many files; fails if a file holds more than one star, or a
+    (star, quarter) comes from more than one ``file``. Keeps the wanted columns."""
+    held = df.groupBy("star", "quarter", "file").agg(F.lit(1).alias("_one"))
+    dup = held.groupBy("star", "quarter").agg(F.count(F.lit(1)).alias("_n"))
+    stars = held.groupBy("file").agg(F.min("star").alias("_s1"), F.max("star").alias("_s2"))
+    out = df.join(dup, ["star", "quarter"]).join(stars, "file")
     out = out.where(F.assert_true(F.col("_n") == 1, F.lit("quarter given twice")).isNull())
+    out = out.where(F.assert_true(F.col("_s1") == F.col("_s2"), F.lit("file with more than one star")).isNull())
     return out.select(*(columns or [c for c in df.columns if c != "file"]))
 
 
 def load_quarters(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    return checked_quarters(spark.read.parquet(*paths).withColumn("file", F.input_file_name()), columns)
+    """Light curves of many files, each one star's quarter, checked as ``checked_quarters`` does."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(*paths)
+    return checked_quarters(df.withColumn("file", _normal_path(F.col("_metadata.file_path"))), columns)
 
 
 def clean_columns(raw: DataFrame) -> DataFrame:
