@@ -59,7 +59,7 @@ SQL["fit_modes"] = f"""WITH {_REL} SELECT star, {s6('regr_intercept(f, cad / 500
 
 def fit_l1(spark, sf):
     r = relative(spark, sf)
-    coef, _ = ensemble.fit_modes_l1(r.withColumn("ferr", F.lit(1.0)), modes_of(r, 2), 2)
+    coef, _ = ensemble.fit_modes_l1(r, modes_of(r, 2), 2)
     return coef.select("star", r6(C("a")[0], 4).alias("a0"), r6(C("a")[1], 4).alias("a1"))
 
 
@@ -173,7 +173,7 @@ QUERIES["detrend_spline"] = spline
 
 def robust_svd(spark, sf):
     t = ensemble.training_set(relative(spark, sf))
-    _, p, s = ensemble.robust_svd(t.select("star", "cad", "z"), 3, x2_limits=(0.0, 1e9))
+    _, p, s = ensemble.robust_svd(t.select("star", "cad", "z"), 3)
     return p.select("star", r6("x2").alias("x2"), *[r6(C("a")[i]).alias(f"a{i}") for i in range(3)])
 
 
@@ -194,7 +194,7 @@ QUERIES["robust_ica"] = robust("ICA")
 
 
 def make_modes(spark, sf):
-    _, p, fit = ensemble.make_modes(relative(spark, sf), 3, x2_limits=(0.0, 1e9))
+    _, p, fit = ensemble.make_modes(relative(spark, sf), 3)
     return fit.groupBy("star").agg(F.count(F.lit(1)).alias("n"), r6(F.stddev_pop("fit")).alias("sd")).join(p.select("star", r6("x2").alias("x2")), "star")
 
 

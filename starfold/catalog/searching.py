@@ -85,6 +85,26 @@ def clipped_sql(centred, src, out, p1, p2, twds):
    FROM {out}_b JOIN {out}_n USING (star, twd) JOIN {out}_c USING (star) QUALIFY row_number() OVER (PARTITION BY star, pcad ORDER BY q / noise DESC, twd) = 1)"""
 
 
+def clipped_limits_sql(src, out, lim, twds):
+    """SQL of the outlier-proof search over limits per star and segment: ``lim`` has (star, seg, p1, p2,
+    twdg), all its durations among ``twds``."""
+    return f"""{box_depth_sql(src, out + '_d', twds)}, {indexed_sql(src, out + '_x', 'f')}, {_CAD.format(src=src).replace('cad AS (', out + '_c AS (', 1)},
+{out}_n AS (SELECT star, twd, median(abs(depth)) * 1.5::DOUBLE AS noise FROM {out}_d WHERE good GROUP BY star, twd),
+{out}_pb AS (SELECT star, seg, twdg, ncad, p1 + unnest(range(CAST(ceil(p2 - p1) AS BIGINT))) AS pb FROM {lim} JOIN (SELECT DISTINCT star, ncad FROM {out}_x) USING (star)),
+{out}_p AS (SELECT star, seg, twdg, unnest(list_transform(range(CAST(ceil(1 / (pb / ncad)) AS BIGINT)), lambda j: pb + j * (pb / ncad))) AS pcad FROM {out}_pb),
+{out}_g AS (SELECT star, seg, twd, pcad, CAST(floor(i % pcad) AS BIGINT) AS col, sum(depth) AS s0, count(*) AS c0, max(depth, 2) AS m
+   FROM {out}_d d JOIN {out}_x USING (star, cad) JOIN {out}_p p USING (star) WHERE good AND list_contains(twdg, twd) GROUP BY ALL HAVING count(*) >= 3),
+{out}_b AS (SELECT *, s0 / c0 AS mean, s0 / sqrt(c0) AS q FROM {out}_g
+   WHERE (s0 - m[1]) / (c0 - 1) > s0 / c0 * 0.5::DOUBLE AND (s0 - m[1] - m[2]) / (c0 - 2) > s0 / c0 * 0.5::DOUBLE
+   QUALIFY row_number() OVER (PARTITION BY star, seg, twd, pcad ORDER BY s0 / sqrt(c0) DESC, col) = 1),
+{out} AS (SELECT star, pcad, twd, q / noise AS s2n, c0 AS c, mean, (col + twd / 2::DOUBLE) * dt + t_first AS t0, noise, pcad * dt AS P, twd * dt AS tdur
+   FROM {out}_b JOIN {out}_n USING (star, twd) JOIN {out}_c USING (star) QUALIFY row_number() OVER (PARTITION BY star, seg, pcad ORDER BY q / noise DESC, twd) = 1)"""
+
+
+def peak_sql(src, out):
+    return f"{out} AS (SELECT star, s2n, P, t0, tdur, mean FROM {src} QUALIFY row_number() OVER (PARTITION BY star ORDER BY s2n DESC, P) = 1)"
+
+
 _CLIPPED = f"{DAILY_INJECTED}, {clipped_sql(None, 'di', 'pg', D1, D2, DTW)}"
 
 

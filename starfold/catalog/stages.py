@@ -6,20 +6,19 @@ from pyspark.sql import functions as F
 
 from starfold.catalog.base import DAILY_INJECTED, INJECTED_DEPTH, daily_dense, daily_injected, hourly_dense, r6, s6
 from starfold.catalog.cotrending import relative
-from starfold.catalog.searching import clipped_sql
+from starfold.catalog.searching import D1, D2, DTW, clipped_limits_sql, clipped_sql, peak_sql
+from starfold.catalog.validation import detrend_sql, label_sql, phase_sql, pmod_sql
 from starfold.operators import clean, fit, search, validate
 from starfold.plans import stages
-from starfold.sources import fixtures
+from starfold.session import cut_lineage
 
 QUERIES, SQL = {}, {}
 C = F.col
 
-TRUE = {"P": 27.0, "t0": 12.0, "tdur": 3.0}
-
-
-def peaks(spark, sf):
-    s = fixtures.read(spark, sf, "lineitem").select(C("l_returnflag").alias("star")).distinct()
-    return s.select("star", *[F.lit(v).alias(k) for k, v in TRUE.items()], F.lit(0.01).alias("mean"))
+def peaks(spark, sf, lc=None):
+    """What the search finds in the injected series: the start of everything that follows a search."""
+    p = search.peak(search.search_clipped(small(spark, sf) if lc is None else lc, D1, D2, DTW))
+    return cut_lineage(p.select("star", C("grid_P").alias("P"), C("grid_t0").alias("t0"), C("grid_tdur").alias("tdur"), C("grid_mean").alias("mean")))
 
 
 def small(spark, sf):
@@ -27,12 +26,25 @@ def small(spark, sf):
     return daily_injected(spark, sf).withColumn("f", C("f") / (INJECTED_DEPTH * 100))
 
 
+def injected(spark, sf):
+    """The injected series, and what the search finds in it."""
+    d = cut_lineage(daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask"))
+    return d, peaks(spark, sf, d)
+
+
+_FOUND = f"{DAILY_INJECTED}, {clipped_sql(None, 'di', 'pg', D1, D2, DTW)}, {peak_sql('pg', 'cand')}"
+_NEAR = """lim AS (SELECT star, 0 AS seg, P / dt - 1 AS p1, P / dt + 1 AS p2, [greatest(round_even(tdur / dt, 0), 1)::INT] AS twdg
+   FROM cand JOIN (SELECT star, (max(t) - min(t)) / (max(cad) - min(cad)) AS dt FROM di GROUP BY star) USING (star))"""
+
+
 def grid_search(spark, sf):
     pg, peak = stages.grid_search(clean.preprocess(hourly_dense(spark, sf)))
     n = pg.groupBy("star").agg(F.count(F.lit(1)).alias("rows"))
     return peak.join(n, "star").select("star", "rows", r6("grid_P").alias("grid_P"), r6("grid_s2n").alias("grid_s2n"), r6("grid_t0").alias("grid_t0"), r6("grid_tdur").alias("grid_tdur"))
 
 
+# Its parts have SQL (segments, clipped search, binning, peak); the whole grid at once is more than DuckDB's
+# aggregate holds in memory.
 QUERIES["grid_search"] = grid_search
 
 
@@ -57,30 +69,46 @@ QUERIES["multi_search"] = multi_search
 
 
 def secondary(spark, sf):
-    d = daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask")
-    return stages.secondary_eclipse_search(d, peaks(spark, sf)).select("star", *[r6(c).alias(c) for c in ("se_s2n", "se_t0", "se_phase")])
+    d, p = injected(spark, sf)
+    return stages.secondary_eclipse_search(d, p).select("star", *[r6(c).alias(c) for c in ("se_s2n", "se_t0", "se_phase")])
 
 
 QUERIES["secondary_eclipse_search"] = secondary
+SQL["secondary_eclipse_search"] = f"""WITH {_FOUND}, {phase_sql('di', 'ph', -0.5)},
+sm AS (SELECT star, cad, t, fmask OR abs(tpf / P) < 0.1 AS fmask, CASE WHEN NOT (fmask OR abs(tpf / P) < 0.1) THEN f ELSE 0 END AS f FROM ph),
+{_NEAR}, {clipped_limits_sql('sm', 'se', 'lim', DTW)}, {peak_sql('se', 'pk')}
+SELECT c.star, {s6('coalesce(k.s2n, 0)')} AS se_s2n, {s6('k.t0')} AS se_t0, {s6('(k.t0 - c.t0) / c.P')} AS se_phase FROM cand c LEFT JOIN pk k ON k.star = c.star"""
 
 
 def cut(spark, sf):
-    d = daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask")
-    return stages.cut_search(d, peaks(spark, sf), 3).select("star", r6("s2ncut").alias("s2ncut"), r6("s2ncut_t0").alias("s2ncut_t0"))
+    d, p = injected(spark, sf)
+    return stages.cut_search(d, p, 3).select("star", r6("s2ncut").alias("s2ncut"), r6("s2ncut_t0").alias("s2ncut_t0"))
 
 
+_CUT = f"""{_FOUND}, {label_sql('di', 'lb', 0.5, 3.0)},
+gm AS (SELECT *, max(transit) OVER (PARTITION BY star ORDER BY cad ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS cut FROM lb),
+cm AS (SELECT star, cad, t, fmask OR cut > 0 AS fmask, CASE WHEN NOT (fmask OR cut > 0) THEN f ELSE 0 END AS f FROM gm),
+{_NEAR}, {clipped_limits_sql('cm', 'cs', 'lim', DTW)}, {peak_sql('cs', 'ct')}"""
 QUERIES["cut_search"] = cut
+SQL["cut_search"] = f"""WITH {_CUT}
+SELECT c.star, {s6('coalesce(k.s2n, 0)')} AS s2ncut, {s6('k.t0')} AS s2ncut_t0 FROM cand c LEFT JOIN ct k ON k.star = c.star"""
 
 
 def secondary_fold(spark, sf):
-    d = daily_injected(spark, sf).select("star", "cad", "t", "f", "fmask")
-    p = peaks(spark, sf)
-    curve, off = stages.secondary_fold(d, p, stages.cut_search(d, p, 3), cadence=1.0)
-    n = curve.groupBy("star").agg(F.count(F.lit(1)).alias("n"))
-    return off.join(n, "star").select("star", "n", r6("t0shft_se").alias("t0shft_se"), r6("ph_se").alias("ph_se"))
+    """Every star: one whose cut search left nothing keeps its row, without points."""
+    d, p = injected(spark, sf)
+    curve, off = stages.secondary_fold(d, p, cut_lineage(stages.cut_search(d, p, 3)), cadence=1.0)
+    n = curve.groupBy("star").agg(F.count(F.lit(1)).alias("n"), F.min("tPF").alias("first"))
+    x = off.join(n, "star", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return x.select("star", "n", r6("first").alias("first"), r6("t0shft_se").alias("t0shft_se"), r6("ph_se").alias("ph_se"))
 
 
 QUERIES["secondary_fold"] = secondary_fold
+SQL["secondary_fold"] = f"""WITH {_CUT}, seen AS (SELECT c.star, c.P, k.t0, c.tdur FROM cand c JOIN ct k ON k.star = c.star),
+{detrend_sql('di', 'dt', 1.0, 3.0, 4).replace('JOIN cand ON cand.star', 'JOIN seen ON seen.star')},
+sf AS (SELECT star, count(*) AS n, min({pmod_sql('t - t0 + P / 2', 'P')} - P / 2 + 1) AS first FROM dt WHERE f IS NOT NULL GROUP BY star)
+SELECT c.star, coalesce(n, 0) AS n, {s6('first')} AS first, {s6('c.t0 - k.t0')} AS t0shft_se, {s6('(c.t0 - k.t0) / c.P * 360')} AS ph_se
+FROM cand c LEFT JOIN ct k ON k.star = c.star LEFT JOIN sf ON sf.star = c.star"""
 
 MODEL = fit.ephemeris_model(4, 1.0)
 
@@ -142,8 +170,6 @@ QUERIES["fit_shape"] = shape
 
 def percentiles(spark, sf):
     d, p = _folded(spark, sf)
-    from starfold.session import cut_lineage
-
     d = cut_lineage(d)
     q, bands = fit.posterior_percentiles(d, cut_lineage(fit.fit_shape(d, p, 2, model=SHAPE)), 7, model=SHAPE)
     n = bands.groupBy("star").agg(F.count(F.lit(1)).alias("n_band"), r6(F.avg(C("hi") - C("lo")), 9).alias("band"))
