@@ -68,6 +68,16 @@ def test_shards_of_odd_documents(odd_docs, empty_docs):
     assert sharding.shard(empty_docs).count() == 0
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    """A third of all rows alike in every column does not gather in one bucket, and slots stay whole."""
+    hot = spark.range(0, 900, numPartitions=6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    df = hot.unionByName(spark.range(1800).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")))
+    rows = sharding.shard(df, 8, bucket_bytes=1000).toPandas()
+    check_shards(rows, 8)
+    null = rows[rows["doc_id"].isna()]
+    assert len(null) == 900 and null.groupby("shard").size().between(70, 160).all() and null["shard"].nunique() == 8
+
+
 def test_written_shards_hold_every_document(spark, odd_docs, tmp_path):
     path = str(tmp_path / "shards")
     sharding.write_shards(odd_docs, path, n_shards=4, bucket_bytes=2000)
