@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starfold.catalog.base import DAILY_INJECTED, INJECTED_DEPTH, daily_dense, daily_injected, hourly_dense, r6, s6
-from starfold.catalog.cotrending import relative
+from starfold.catalog.cotrending import modes_of, relative
 from starfold.catalog.searching import D1, D2, DTW, clipped_limits_sql, clipped_sql, peak_sql
 from starfold.catalog.validation import detrend_sql, label_sql, phase_sql, pmod_sql
-from starfold.operators import clean, fit, search, validate
+from starfold.operators import clean, ensemble, fit, search, validate
 from starfold.plans import stages
 from starfold.session import cut_lineage
+from starfold.sources import fixtures
 
 QUERIES, SQL = {}, {}
 C = F.col
@@ -181,12 +182,20 @@ QUERIES["posterior_percentiles"] = percentiles
 
 
 def inject_recover(spark, sf):
-    d = daily_dense(spark, sf).select("star", "cad", "t", "f", "fmask")
-    s = d.select("star").distinct()
-    p = s.select("star", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.lit(P).alias("P"), F.lit(df).alias("df")) for i, (P, df) in enumerate([(27.1, 4e13), (33.7, 2e13)])])).alias("_e"))
+    """Two dips per star in the quarters of its series, calibrated with two modes whose limits come from
+    the quarters without dips, searched within 10 cadences and spliced over the star's own periodogram."""
+    d = cut_lineage(clean.normalize_quarter(fixtures.daily(spark, sf)).select("star", "cad", "t", "f", "fmask", "quarter"))
+    parts = cut_lineage(stages.quarter_series(d, 100.0, 100.0))
+    modes = cut_lineage(modes_of(d, 2))
+    limits = cut_lineage(ensemble.coef_stats(ensemble.explode_coef(ensemble.mode_coefficients(parts, modes, 2))))
+    full = search.search_clipped(cut_lineage(stages.centre(stages.calibrate_quarters(parts, modes, limits, 2))), 20, 42, (2, 3))
+    p = d.select("star").distinct()
+    p = p.select("star", F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.lit(P).alias("P"), F.lit(df).alias("df")) for i, (P, df) in enumerate([(27.1, 1.2e6), (33.7, 0.8e6)])])).alias("_e"))
     p = p.select("star", F.concat_ws("-", "star", C("_e.n").cast("string")).alias("id"), C("_e.P").alias("P"), F.lit(0.4).alias("phase"), C("_e.df").alias("df"), F.lit(3.0).alias("tdur"))
-    r = stages.recovered(stages.inject_recover(d, p, (2, 3), 3.0, 1.0))
-    return r.select("star", "id", "P", r6("grid_P").alias("grid_P"), r6("grid_s2n").alias("grid_s2n"), "num_trans", r6("clip_snr").alias("clip_snr"), "bg")
+    r = stages.recovered(stages.inject_recover(d, p, (2, 3), 10.0, 1.0, full, 100.0, modes, limits, 2))
+    return r.select(
+        "star", "id", "P", *[r6(c).alias(c) for c in ("grid_P", "grid_s2n")], "num_trans", *[r6(c).alias(c) for c in ("clip_snr", "harm", "s2ncut", "autor")], "bg"
+    )
 
 
 QUERIES["inject_recover"] = inject_recover

@@ -261,11 +261,13 @@ def autocorr(binned: DataFrame, candidates: DataFrame, clip: float = 1.0, block:
     """
     x = binned.select("star", F.col("bin").cast("long").alias("bin"), F.coalesce("fmed", F.lit(0.0)).alias("f"), "t_phasefold")
     time_of = lambda k: F.max(F.when(F.col("bin") == k, F.col("t_phasefold")))
-    size = x.groupBy("star").agg((F.max("bin") + 1).alias("_n"), (time_of(1) - time_of(0)).alias("dt"))
-    part = x.groupBy("star", F.floor(F.col("bin") / block).alias("_i")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("bin", "f"))), lambda r: r["f"]).alias("_f")
+    blocks = x.groupBy("star", F.floor(F.col("bin") / block).alias("_i")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("bin", "f"))), lambda r: r["f"]).alias("_f"),
+        (F.max("bin") + 1).alias("_end"), time_of(0).alias("_t0"), time_of(1).alias("_t1"),
     )
-    part = cut_lineage(part.join(size, "star").withColumn("_nb", F.ceil(F.col("_n") / block)))
+    blocks = cut_lineage(blocks)
+    size = blocks.groupBy("star").agg(F.max("_end").alias("_n"), (F.max("_t1") - F.max("_t0")).alias("dt"))
+    part = blocks.select("star", "_i", "_f").join(size, "star").withColumn("_nb", F.ceil(F.col("_n") / block))
     left = part.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     right = part.select("star", F.col("_i").alias("_j"), F.col("_f").alias("_g"))
     pairs = left.join(right, ["star", "_j"]).select("star", "_i", "_j", "_f", "_g")
@@ -282,6 +284,7 @@ def autocorr(binned: DataFrame, candidates: DataFrame, clip: float = 1.0, block:
     found = found.select("star", "first", F.posexplode("sums").alias("_p", "_s")).join(size, "star")
     n, k = F.col("_n"), F.col("_lag")
     auto = found.groupBy("star", F.pmod(F.col("first") + F.col("_p"), n).alias("_lag"), "_n", "dt").agg(F.sum("_s").alias("autocorr"))
+    auto = cut_lineage(auto)
     # Lags run from -n/2; the fold keeps its start at half a period.
     i = F.pmod(k + n / 2.0, n.cast("double")) - n / 2.0
     auto = auto.select("star", i.alias("i_shift"), (i * F.col("dt")).alias("t_shift"), "autocorr")

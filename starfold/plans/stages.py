@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfold.functions import stats
+from starfold.functions import scalars, stats
 from starfold.operators import clean, detrend, ensemble, fit, fold, inject, search, validate, windows
-from starfold.session import cut_lineage
+from starfold.session import cut_lineage, staged
 
 PGRAM_BINS = 2000
 
@@ -194,39 +194,79 @@ def splice_periodogram(full: DataFrame, narrow: DataFrame) -> DataFrame:
     return x.where(outside).select(*full.columns).unionByName(narrow.select(*full.columns))
 
 
+def quarter_series(lc: DataFrame, lendt: float = 10.0, nsep: float = 24.0) -> DataFrame:
+    """Every quarter of every star as a series of its own (``star`` is star#quarter): gap-free, outliers
+    masked, spline trend removed. Rows without a quarter are left out."""
+    part = F.concat_ws("#", F.col("star").cast("string"), F.col("quarter").cast("string"))
+    x = lc.where("quarter IS NOT NULL").select(part.alias("star"), "cad", "t", "f", "fmask")
+    x = clean.preprocess(clean.cadence_fill(x)).drop("is_outlier")
+    x = detrend.detrend_spline(x, nsep, lendt)
+    return x.select("star", "cad", "t", F.col("fdt").alias("f"), (F.col("fmask") | F.col("fdt").isNull()).alias("fmask"))
+
+
+def calibrate_quarters(
+    parts: DataFrame, modes: DataFrame | None = None, limits: DataFrame | None = None, k: int = ensemble.N_MODES
+) -> DataFrame:
+    """The quarters of ``quarter_series`` less the stored modes fitted to each, cosmic rays masked, on
+    one gap-free axis per star. Without modes they are only stitched."""
+    x = parts
+    if modes is not None:
+        x = ensemble.calibrate(staged(x), modes, limits, k).withColumn("f", F.col("fcal"))
+        x = clean.mask_outliers(x, (-1e3, 10.0), "linear", "cr").withColumn("fmask", F.col("fmask") | F.col("cr"))
+    of = F.regexp_replace("star", "#[^#]*$", "")
+    return clean.stitch_quarters(x.select(of.alias("star"), "cad", "t", "f", (F.col("fmask") | F.col("f").isNull()).alias("fmask")))
+
+
 def inject_recover(
     lc: DataFrame, params: DataFrame, twds: Sequence[int], delta: float = 10.0, cadence: float | None = None,
-    full: DataFrame | None = None, lendt: float = 100.0,
+    full: DataFrame | None = None, lendt: float = 100.0, modes: DataFrame | None = None, limits: DataFrame | None = None,
+    k: int = ensemble.N_MODES, fit_once: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Inject, clean, detrend, search around the injected period, validate; one row per injection id.
+    """Inject, clean, detrend, calibrate, search around the injected period, validate; one row per id.
+
+    Every injection is its own series (star/id), so all run together. The dips go into the raw quarters
+    (column ``quarter``; without it a star is one quarter, else flux is relative to each quarter's
+    level), which are cleaned and detrended one by one, and calibrated with ``k`` stored ``modes``
+    (cad, u) under the coefficient ``limits`` where those are given. With ``full``, a periodogram keyed
+    by star, the search stays inside its periods, and replaces its rows there before the peak is taken.
 
-    Every injection is its own series (star/id), so all run together. With ``full`` (a periodogram
-    keyed by star) the narrow search replaces its range before the peak is taken.
+    ``harm`` is the multiple of the period with the highest s2n, ``s2ncut`` what is left with the
+    transits cut out, ``autor`` the ratio of autocorrelation. ``fit_once`` (as in ``multi_search``) adds
+    the fitted columns as ``fit_...``.
     """
+    step = scalars.CADENCE_DAYS if cadence is None else cadence
     key = F.concat_ws("/", F.col("star"), F.col("id").cast("string"))
     dt = search.cadence(lc)
-    x = inject.inject(lc, params) if cadence is None else inject.inject(lc, params, cadence)
-    x = x.withColumn("star", key).drop("finj", "id")
-    x = clean.preprocess(x).drop("is_outlier")
-    x = detrend.detrend_spline(x, lendt, lendt).withColumn("f", F.col("fdt"))
-    x = cut_lineage(centre(x.select("star", "cad", "t", "f", "fmask")))
+    raw = lc if "quarter" in lc.columns else lc.withColumn("quarter", F.lit(0))
+    x = inject.inject(raw, params, step).withColumn("star", key)
+    x = cut_lineage(centre(calibrate_quarters(quarter_series(x, lendt, lendt), modes, limits, k)))
     ids = params.join(dt, "star").select(key.alias("star"), "id", F.col("star").alias("of"), (F.col("P") / F.col("dt")).alias("pc"))
-    ids = cut_lineage(ids)
-    near = ids.select(
-        "star", F.lit(0).alias("seg"), F.greatest(F.floor(F.col("pc") - delta), F.lit(1)).cast("double").alias("p1"),
-        F.floor(F.col("pc") + delta).cast("double").alias("p2"), F.array(*[F.lit(int(k)) for k in twds]).alias("twdG"),
-    )
+    p1, p2 = F.greatest(F.floor(F.col("pc") - delta), F.lit(1)).cast("double"), F.floor(F.col("pc") + delta).cast("double")
+    if full is not None:
+        full = staged(full)
+        span = full.groupBy(F.col("star").alias("of")).agg(F.min("Pcad").alias("_p1"), F.max("Pcad").alias("_p2"))
+        ids = ids.join(span, "of", "left")
+        p1, p2 = F.greatest(p1, F.floor("_p1").cast("double")), F.least(p2, F.ceil("_p2").cast("double"))
+    ids = cut_lineage(ids.withColumns({"p1": p1, "p2": p2}))
+    near = ids.where("p1 < p2").select("star", F.lit(0).alias("seg"), "p1", "p2", F.array(*[F.lit(int(w)) for w in twds]).alias("twdG"))
     pg = search.search_clipped(x, None, None, list(twds), near).drop("seg")
     if full is not None:
         keyed = ids.select("star", "of").join(full.withColumnRenamed("star", "of"), "of").drop("of")
-        pg = splice_periodogram(keyed.select(*pg.columns), pg)
+        pg = splice_periodogram(keyed.select(*pg.columns), cut_lineage(pg))
     peak = cut_lineage(search.peak(pg))
     cand = peak.select("star", F.col("grid_P").alias("P"), F.col("grid_t0").alias("t0"), F.col("grid_tdur").alias("tdur"))
     mid = int(sorted(twds)[len(twds) // 2])
     ses, head = validate.single_event_table(x, cand, mid)
-    noise = windows.noise_per_duration(windows.mean_depth(x, (mid,))).select("star", "noise")
-    snr = validate.robust_snr(ses, noise)
-    out = peak.join(head.select("star", "num_trans", "ses_even", "ses_odd"), "star", "left").join(snr, "star", "left")
+    depths = cut_lineage(windows.mean_depth(x, (mid,)))
+    out = peak.join(head.select("star", "num_trans", "ses_even", "ses_odd"), "star", "left")
+    out = out.join(validate.robust_snr(ses, windows.noise_per_duration(depths).select("star", "noise")), "star", "left")
+    out = out.join(validate.check_harmonics(depths, cand).where("best").select("star", "harm"), "star", "left")
+    out = out.join(cut_search(x, cand, mid).select("star", "s2ncut"), "star", "left")
+    _, ratio = validate.autocorr(validate.bin_phasefold(validate.fold_on(x, cand), validate.phase_bin_spans(cand, step)), cand)
+    out = out.join(ratio, "star", "left")
+    if fit_once is not None:
+        fits = fit_once(x, peak)
+        out = out.join(fits.select("star", *[F.col(c).alias(f"fit_{c}") for c in fits.columns if c != "star"]), "star", "left")
     out = out.join(ids.select("star", "id", F.col("of")), "star").drop("star").withColumnRenamed("of", "star")
     return inject.merge_results(params, out.drop("star"))
 

@@ -207,3 +207,32 @@ def test_decompositions_leave_no_table(spark):
     assert np.allclose(s2, s, rtol=1e-9)
     x = modes.join(again.withColumnRenamed("u", "w"), "cad").select(F.sum(F.col("u")[0] * F.col("w")[0])).first()[0]
     assert x == pytest.approx(1, abs=1e-8)
+
+
+def test_injections_in_quarters_come_back(spark):
+    """Quarters with levels, drifts and a common mode of their own: the dip is found, the mode is not."""
+    rng = np.random.default_rng(11)
+    n, rows = 1200, []
+    mode = np.sin(np.arange(n) / 2.3)
+    for star in "ab":
+        for j in range(n):
+            q = j // 300
+            f = 0.001 * rng.normal() + 0.02 * (q + 1) * mode[j] + 1e-4 * j * (-1) ** q
+            rows.append((star, j, float(j), float(f), j % 41 == 7, q))
+    lc = spark.createDataFrame(rows, "star STRING, cad BIGINT, t DOUBLE, f DOUBLE, fmask BOOLEAN, quarter INT")
+    modes = spark.createDataFrame([(j, [1.0, float(mode[j])]) for j in range(n)], "cad BIGINT, u ARRAY<DOUBLE>")
+    limits = spark.createDataFrame([(i, 0.0, 1.0, -1.0, 1.0) for i in range(2)], "k INT, med DOUBLE, sig DOUBLE, outlo DOUBLE, outhi DOUBLE")
+    parts = stages.quarter_series(lc, 1e4, 1e4)
+    assert parts.select("star").distinct().count() == 8
+    cal = stages.calibrate_quarters(parts, modes, limits, 2).where("NOT fmask").collect()
+    f = np.array([r["f"] for r in cal])
+    assert abs(np.corrcoef(f, mode[[r["cad"] for r in cal]])[0, 1]) < 0.1 and f.std() < 0.002
+    params = spark.createDataFrame([("a", "a1", 31.0, 0.3, 1e4, 3.0), ("b", "b1", 24.0, 0.5, 1e4, 3.0), ("b", "b2", 9.0, 0.5, 1e4, 2.0)], "star STRING, id STRING, P DOUBLE, phase DOUBLE, df DOUBLE, tdur DOUBLE")
+    quiet = session.cut_lineage(stages.centre(stages.calibrate_quarters(parts, modes, limits, 2)))
+    full = search.search_clipped(quiet, 20, 36, (2, 3))
+    got = {r["id"]: r for r in stages.recovered(stages.inject_recover(lc, params, (2, 3), 3.0, 1.0, full, 1e4, modes, limits, 2)).collect()}
+    assert got["a1"]["bg"] and got["b1"]["bg"]
+    for i in ("a1", "b1"):
+        assert got[i]["grid_s2n"] > 20 > got[i]["s2ncut"] and got[i]["harm"] is not None and got[i]["autor"] is not None
+    # Its period is outside the periodogram: what the star has without a dip stands.
+    assert not got["b2"]["bg"] and got["b2"]["grid_P"] >= 20
