@@ -21,6 +21,8 @@ SPREAD = WINDOW - PHRASE
 #: Phrases an automaton is meant to hold, and documents that one pass of it takes.
 SHARD_PHRASES, SHARD_DOCS = 20_000, 2_000
 VOCABULARY = 1 << 19
+#: A key with more than this part of a join's rows is met by broadcast; there are fewer such keys.
+HOT_KEYS = 4096
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIXER = np.uint64(0xD6E8FEB86659FD93)
@@ -139,6 +141,17 @@ def _phrases(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "g1 long, g2 int, doc_id long, pos int")
 
 
+def _spread_join(rows: DataFrame, side: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side``, which has one row a key and ``n``, how many of the ``total`` rows it
+    meets. Keys with over 1/HOT_KEYS of the rows, fewer than HOT_KEYS of them, are broadcast, so their
+    rows stay in the tasks that read them; the rest is shuffled."""
+    hot = F.col("n") * HOT_KEYS > total
+    many, few = side.where(hot).drop("n"), side.where(~hot).drop("n")
+    often = rows.join(F.broadcast(many), keys, how)
+    rest = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(few, keys, how)
+    return often.unionByName(rest)
+
+
 def _routed(docs: DataFrame, routes: DataFrame, salts: DataFrame) -> DataFrame:
     """(shard, salt, kind, doc_id, text): phrases (kind 0, to every pass of their shard), then texts."""
 
@@ -236,12 +249,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
        the phrase it chose, so none is missed.
     """
     phrases = cut_lineage(_phrases(docs))
-    recurring = phrases.groupBy("g1", "g2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    recurring = phrases.groupBy("g1", "g2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     recurring = cut_lineage(recurring.where("owner < last").drop("last"))
     shards = max(1, -(-recurring.count() // SHARD_PHRASES))
     place = F.when(F.col("doc_id") == F.col("owner"), F.col("pos"))
     routes = cut_lineage(
-        phrases.join(recurring, ["g1", "g2"])
+        _spread_join(phrases, recurring, ["g1", "g2"], phrases.count())
         .groupBy("doc_id", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int").alias("shard"))
         .agg(F.collect_set(place).alias("places"))
     )
@@ -254,25 +267,26 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .mapInPandas(_locate, "g1 long, g2 int, b1 long, b2 int, doc_id long, p0 int, p1 int")
     )
     block, phrase = ["g1", "g2", "b1", "b2"], ["g1", "g2"]
-    first = found.groupBy(*block).agg(F.min("doc_id").alias("first"))
-    several = first.groupBy(*phrase).count().where("count > 1").select(*phrase)
-    found_first = found.join(first, block)
+    first = cut_lineage(found.groupBy(*block).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    several = first.groupBy(*phrase).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    total = found.count()
+    found_first = _spread_join(found, first, block, total)
     whole = found_first.where("first < doc_id").select(
         "doc_id", F.greatest(F.col("p0") - SPREAD, F.lit(0)).alias("a"), (F.col("p1") + WINDOW).alias("b")
     )
     # The first document of a block may hold it at several places.
-    unclear = found_first.where("first = doc_id").join(several, phrase, "left_semi")
+    unclear = _spread_join(found_first.where("first = doc_id"), several, phrase, total, "left_semi")
     places = cut_lineage(unclear.groupBy("doc_id").agg(F.collect_set(F.struct("p0", "p1")).alias("places")))
     windows = cut_lineage(_windows(beside(docs, places, "doc_id", "inner", 32, "places")))
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
+    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     single = (
-        windows.join(earliest, ["w1", "w2"])
+        _spread_join(windows, earliest, ["w1", "w2"], windows.count())
         .where("first < doc_id")
         .select("doc_id", F.col("p0").alias("a"), (F.col("p1") + WINDOW).alias("b"))
     )
     out = whole.unionByName(single).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     out = cut_lineage(out)
-    release(routes, found, places, windows)
+    release(routes, found, first, places, windows)
     return out
 
 
