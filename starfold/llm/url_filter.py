@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 
 from starfold.llm.common import table
 
-#: The trie is broadcast up to this many characters of rules; more are matched by joins.
-TRIE_CHARS = 64 << 20
+#: The trie is broadcast if it takes at most this many bytes in a Python worker; larger ones give way to
+#: joins. A node, with its label and its entry in its parent, takes at most NODE_BYTES.
+TRIE_BYTES, NODE_BYTES = 256 << 20, 480
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
 
+def trie_bytes(rules: Sequence[Rule]) -> int:
+    """Upper bound of the trie's memory, without building it: nodes for the labels and segments of every
+    rule as if none were shared, four for what ends there, and its characters twice."""
+    return sum(NODE_BYTES * (h.count(".") + p.count("/") + 5) + 2 * (len(h) + len(p)) * 4 for _, h, p in rules)
+
+
 class RuleTrie:
     """Nodes are dicts: host labels from the right, then, under each rule's host, path segments.
 
@@ -38,6 +45,9 @@ class RuleTrie:
             # Of two rules for the same place the blocking one holds.
             if ends.get(rest, (None, ""))[1] != "block":
                 ends[rest] = (host + path, verdict)
+                lengths = node.get(("lengths",), ())
+                if len(rest) not in lengths:
+                    node[("lengths",)] = tuple(sorted((*lengths, len(rest)), reverse=True))
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest host, and under it the longest path, that fit."""
@@ -55,8 +65,8 @@ class RuleTrie:
         best = None
         segments = path.split("/")
         for k, s in enumerate(segments):
-            ends = node.get(("ends",), {})
-            for n in sorted(map(len, ends), reverse=True):
+            ends = node.get(("ends",))
+            for n in node.get(("lengths",), ()):
                 if s[:n] in ends:
                     best = ends[s[:n]]
                     break
@@ -98,19 +108,18 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = "allow",
-    trie_chars: int = TRIE_CHARS,
+    max_bytes: int = TRIE_BYTES,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict.
 
     A rule (verdict, host, path) fits its host and all subdomains if the path starts with its own.
     The longest host wins, then the longest path, then block over allow. Without a fitting rule the
     rule is null and the verdict is ``default``. Only the two columns are read. The trie is broadcast
-    while the rules have at most ``trie_chars`` characters; longer lists are joined, with the same
-    result. Null, empty and unparsable URLs have empty host and path and take the default; repeated
+    while it surely takes at most ``max_bytes``; longer lists are joined, with the same result. Null, empty and unparsable URLs have empty host and path and take the default; repeated
     rows are judged alike; an empty table gives no rows.
     """
     urls = parsed(pages, id_col, url_col)
-    if sum(len(h) + len(p) for _, h, p in rules) > trie_chars:
+    if trie_bytes(rules) > max_bytes:
         out = _by_join(urls, rules)
     else:
         trie = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))

@@ -178,10 +178,32 @@ def test_url_trie_and_joins_agree(spark):
     rules = [*url_filter.RULES, ("allow", "example.org", "/es/ok/"), ("block", "org", "/")]
     df = spark.createDataFrame([*enumerate(urls), (None, urls[5]), (5, urls[5])], "page_id long, url string").withColumn("rule", F.lit("own"))
     by_trie = sorted(map(str, url_filter.judge(df, rules).collect()))
-    assert by_trie == sorted(map(str, url_filter.judge(df, rules, trie_chars=0).collect())) and len(by_trie) == df.count()
+    assert by_trie == sorted(map(str, url_filter.judge(df, rules, max_bytes=0).collect())) and len(by_trie) == df.count()
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, url_filter.RULES).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[4] == ("example.org", "", None, "allow") and got[5] == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert got[7][2:] == ("example.org/en/1", "block") and got[8][2:] == ("org/", "allow") and got[10][2] is None
     assert got[13][2] is None and got[12][2:] == ("com/de/", "block")
     assert url_filter.judge(df.where("false"), rules).count() == 0
+
+
+def test_trie_memory_is_bounded():
+    """The bound that decides on the broadcast is above what the trie takes."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for rules in (
+        [("block", f"{word(8)}.{word(3)}", "/") for _ in range(5000)],
+        [("allow", f"{word(2)}.{word(6)}.com", f"/{word(4)}/{word(9)}/{word(3)}") for _ in range(5000)],
+        [("block", f"{word(5)}.net", f"/{word(200)}") for _ in range(2000)],
+        [("block", "one.org", f"/{word(rng.randint(1, 40))}") for _ in range(5000)],
+    ):
+        tracemalloc.start()
+        trie = url_filter.RuleTrie(rules)
+        taken = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert taken <= url_filter.trie_bytes(rules)
+        for verdict, host, path in rules[:50]:
+            assert trie.match("x." + host, path + "z") is not None
