@@ -143,8 +143,9 @@ QUERIES["best_fit_curve"] = curve
 
 
 def _folded(spark, sf):
-    p = peaks(spark, sf)
-    x = validate.phase_fold_detrended(small(spark, sf), p, cadence=0.0)
+    d = cut_lineage(small(spark, sf).select("star", "cad", "t", "f", "fmask"))
+    p = peaks(spark, sf, d)
+    x = validate.phase_fold_detrended(d, p, cadence=0.0)
     return fit.choose_fit_input(x, p, minutes=720.0).withColumns({"t": C("t") / 10}), p.select(
         "star", F.lit(0.1).alias("p"), F.lit(0.15).alias("tau"), F.lit(0.3).alias("b"), F.lit(0.0).alias("dt")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starfold.llm.common import table, whole_row
-from starfold.session import cut_lineage, release
+from starfold.session import as_stage_table, cut_lineage, release, stage_folder
 
 #: Bytes of text that a bucket is meant to hold: one task shuffles it in memory.
 BUCKET_BYTES = 16 << 20
@@ -61,27 +61,19 @@ def shard(
 ) -> DataFrame:
     """One row per document: id, size, text_crc32, law (``rows``), shard, slot, grown_shard (null).
 
-    The shuffle runs over (id, size, checksum), read once from the texts; the number of buckets comes
-    from the bytes of the texts. Rows spread by a hash of all three and their place, so neither a hot
-    source nor a group of copies nor exact repeats gather. Null texts have size 16 and checksum 0. Any order of a bucket is valid,
-    and its permutation is drawn in the task that numbers the slots, so a retry cannot tear it. An
-    empty table gives no rows. Other columns are ignored.
+    ``write_shards`` sends the whole documents through both passes and writes them as shards into a
+    stage folder; the columns are read from the shards as they lie there, size and checksum from the
+    texts that arrived. Null texts have size 16 and checksum 0. An empty table gives no rows. Other
+    columns travel with their rows and are not returned.
     """
-    light = cut_lineage(
-        docs.select(
-            F.col(id_col).cast("long").alias("id"),
-            document_size(F.col(text_col)).alias("size"),
-            F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        )
-    )
-    total = light.agg(F.sum("size")).first()[0] or 0
-    placed = two_pass_shuffle(light, n_shards, max(1, -(-total // bucket_bytes)), seed)
-    return placed.select(
-        F.col("id").alias(id_col),
-        "size",
-        "text_crc32",
+    path = stage_folder(docs.sparkSession)
+    written = as_stage_table(write_shards(docs, path, n_shards, seed, text_col, bucket_bytes), path)
+    return written.select(
+        F.col(id_col).cast("long").alias(id_col),
+        document_size(F.col(text_col)).alias("size"),
+        F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.lit("rows").alias("law"),
-        "shard",
+        F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
@@ -89,13 +81,17 @@ def shard(
 
 def write_shards(
     docs: DataFrame, path: str, n_shards: int = 40, seed: int = 42, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES
-) -> None:
-    """Write whole documents as shuffled shards: folders ``shard=N`` of Parquet with a ``slot`` column.
-
-    All columns travel through the same two passes, from a stage table that is removed at the end; the
-    documents' own columns ``shard`` and ``slot`` become ``shard_`` and ``slot_``. An empty table gives
-    an empty one; null and very long texts, ties and repeated rows are written like others. A bucket is written by the task that permuted it,
-    into the one or few shards its run falls in; files of a shard follow each other by slot.
+) -> DataFrame:
+    """Write whole documents as shuffled shards: folders ``shard=N`` of Parquet (zstd) with a ``slot`` column.
+    Returns the written table.
+
+    All columns travel through the two passes, from a stage table that is removed at the end; the
+    documents' own columns ``shard`` and ``slot`` become ``shard_`` and ``slot_``. The number of buckets
+    comes from the bytes of the texts. Rows spread by a hash of all columns and their place, so neither
+    a hot source nor a group of copies nor exact repeats gather. Any order of a bucket is valid, and its
+    permutation is drawn in the task that numbers and writes its rows, so a retry cannot tear it. An
+    empty table gives an empty one; null and very long texts, ties and repeated rows are written like
+    others. A bucket goes into the one or few shards its run falls in; rows of a file are in order of slot.
     """
     for c in ("shard", "slot"):
         if c in docs.columns:
@@ -103,8 +99,9 @@ def write_shards(
     docs = cut_lineage(docs)
     total = docs.agg(F.sum(document_size(F.col(text_col)))).first()[0] or 0
     placed = two_pass_shuffle(docs, n_shards, max(1, -(-total // bucket_bytes)), seed)
-    placed.write.partitionBy("shard").parquet(path)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     release(docs)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from starfold.functions.frames import scan
 from starfold.functions.scalars import CADENCE_DAYS
 from starfold.operators import validate
 from starfold.operators.fold import shuffle_width
-from starfold.session import cut_lineage
+from starfold.session import cut_lineage, staged
 
 Model = Callable[[Column, Mapping[str, Column]], Column]
 
@@ -306,10 +306,12 @@ def report_units(q: DataFrame) -> DataFrame:
 
 def choose_fit_input(folded: DataFrame, periods: DataFrame, short: float = 50.0, minutes: float = 10.0) -> DataFrame:
     """Fit data (t, f, ferr) from a folded curve (``tPF, f, t``): bins with the error of the mean for
-    periods under ``short``, else single points with an error from successive differences."""
-    x = folded.join(periods.select("star", F.col("P").alias("_P")), "star")
+    periods under ``short``, else single points with an error from successive differences. The curve and
+    its bins are written once, as both kinds, the medians and the errors read them."""
+    x = staged(folded).join(periods.select("star", F.col("P").alias("_P")), "star")
     b = validate.bin_folded(x.where(F.col("_P") < short).select("star", "tPF", "f"), minutes)
     binned = b.select("star", F.col("tb").alias("t"), F.col("med").alias("f"), F.col("std"), "count")
+    binned = cut_lineage(binned)
     typ = stats.group_medians(binned, ["star"], {"_typ": F.col("std")})
     err = F.when(F.col("count") == 1, F.col("_typ")).otherwise(F.col("std") / F.sqrt("count"))
     binned = binned.join(typ, "star").select("star", "t", "f", err.alias("ferr"))

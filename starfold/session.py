@@ -61,12 +61,20 @@ def stage_tables() -> Iterator[None]:
         release(*_open_blocks.pop())
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Path of a new stage table in the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/starfold-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a stage table in the checkpoint folder and read it back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/starfold-{uuid.uuid4().hex}"
+    path = stage_folder(df.sparkSession)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return as_stage_table(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def as_stage_table(out: DataFrame, path: str) -> DataFrame:
+    """``out``, which reads ``path``, with that path to be removed as a stage table is."""
     out.stage_path = path
     if _open_blocks:
         _open_blocks[-1].append(out)

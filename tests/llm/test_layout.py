@@ -87,6 +87,23 @@ def test_written_shards_hold_every_document(spark, odd_docs, tmp_path):
     assert sorted(str(r.text)[:50] for r in back.collect()) == sorted(str(r.text)[:50] for r in odd_docs.collect())
 
 
+def test_rows_come_from_shards_of_whole_documents(spark, odd_docs):
+    """What ``shard`` returns is read from written shards, which hold every column of every document there."""
+    got = sharding.shard(odd_docs, 4, bucket_bytes=2000)
+    (folder,) = {f.rsplit("/shard=", 1)[0] for f in got.inputFiles()}
+    back = spark.read.parquet(folder)
+    assert set(back.columns) == set(odd_docs.columns) | {"shard_", "slot_"}
+    held = {(r["shard"], r["slot"]): (r["doc_id"], r["text"]) for r in back.collect()}
+    rows = got.collect()
+    assert len(rows) == len(held) == odd_docs.count()
+    for r in rows:
+        doc_id, text = held[r["shard"], r["slot"]]
+        raw = (text or "").encode()
+        assert (r["doc_id"], r["size"], r["text_crc32"]) == (doc_id, len(raw) + 16, zlib.crc32(raw))
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(held.values(), key=key) == sorted(odd_docs.select("doc_id", "text").collect(), key=key)
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return packing.byte_bpe(*packing.public_byte_bpe())
