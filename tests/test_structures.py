@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starfold import session
-from starfold.operators import boxes, clean, ensemble, fold, search, validate
+from starfold.operators import boxes, clean, ensemble, fit, fold, search, validate
 from starfold.plans import stages
 from starfold.sources import lightcurves
 
@@ -236,3 +236,29 @@ def test_injections_in_quarters_come_back(spark):
         assert got[i]["grid_s2n"] > 20 > got[i]["s2ncut"] and got[i]["harm"] is not None and got[i]["autor"] is not None
     # Its period is outside the periodogram: what the star has without a dip stands.
     assert not got["b2"]["bg"] and got["b2"]["grid_P"] >= 20
+
+
+def test_fit_input_does_not_repeat_the_plan_of_its_curve(spark):
+    """However long the curve's plan, the fit data read what was written of it; values of both kinds stay."""
+    rng = np.random.default_rng(5)
+    rows = [(s, float(x), float(f), float(i)) for s in ("bins", "points") for i, (x, f) in enumerate(zip(rng.uniform(-1, 1, 60), rng.normal(0, 1, 60)))]
+    parts = [spark.createDataFrame(rows[i::12], "star STRING, tPF DOUBLE, f DOUBLE, t DOUBLE") for i in range(12)]
+    curve = parts[0]
+    for p in parts[1:]:
+        curve = curve.unionByName(p)
+    periods = spark.createDataFrame([("bins", 10.0), ("points", 90.0)], "star STRING, P DOUBLE")
+    got = fit.choose_fit_input(curve, periods, minutes=288.0)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 16
+    out = got.toPandas()
+    p = pd.DataFrame(rows, columns=["star", "tPF", "f", "t"])
+    p = p[p.star == "points"].sort_values("tPF")
+    points = out[out.star == "points"].sort_values("t")
+    assert np.allclose(points.t, p.tPF) and np.allclose(points.f, p.f)
+    assert np.allclose(points.ferr, (np.diff(p.f) * np.sqrt(2)).std())
+    b = pd.DataFrame(rows, columns=["star", "tPF", "f", "t"]).query("star == 'bins'")
+    lo, hi = b.tPF.min() - 0.001, b.tPF.max()
+    n = max(round((b.tPF.max() - b.tPF.min()) / 0.2), 1)
+    k = np.ceil(np.round((b.tPF - lo) / (hi - lo) * n, 9)) - 1
+    g = b.groupby(k).f.agg(["median", "std", "count"]).query("count > 1")
+    bins = out[out.star == "bins"].sort_values("t")
+    assert np.allclose(bins.f, g["median"]) and np.allclose(bins.ferr, g["std"] / np.sqrt(g["count"]))
