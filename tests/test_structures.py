@@ -262,3 +262,15 @@ def test_fit_input_does_not_repeat_the_plan_of_its_curve(spark):
     g = b.groupby(k).f.agg(["median", "std", "count"]).query("count > 1")
     bins = out[out.star == "bins"].sort_values("t")
     assert np.allclose(bins.f, g["median"]) and np.allclose(bins.ferr, g["std"] / np.sqrt(g["count"]))
+
+
+def test_queries_of_fits_do_not_repeat_the_search(spark, tmp_path):
+    """The plan of the data of ``fit_shape`` and ``posterior_percentiles`` holds neither series nor search."""
+    from starfold.catalog import stages as queries
+
+    day = F.date_add(F.lit("1995-01-02").cast("date"), F.col("id").cast("int"))
+    price = F.lit(1000.0) + F.pmod(F.xxhash64("id"), F.lit(90))
+    spark.range(500).select(F.lit("A").alias("l_returnflag"), day.alias("l_shipdate"), price.alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    data, pars = queries._folded(spark, str(tmp_path))
+    assert data._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 16
+    assert pars.count() == 1 and data.where("f IS NOT NULL AND ferr > 0").count() > 10
