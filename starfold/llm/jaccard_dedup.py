@@ -23,8 +23,8 @@ BANDS, ROWS = 64, 8
 REACH = 2
 #: Sets that a task compares at a time; cells of the matrices it makes signatures and counts with.
 BLOCK, SIGN_CELLS, CELLS = 1024, 1 << 16, 1 << 20
-#: Texts taken out of an Arrow batch at a time.
-TEXTS = 512
+#: Texts taken out of an Arrow batch at a time, and elements of sets that are matched at a time.
+TEXTS, ELEMENTS = 512, 1 << 18
 #: Keeps rounding from excluding a pair that lies exactly at the threshold.
 EPS = 1e-9
 
@@ -99,31 +99,37 @@ def candidate_edges(named: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
-    """Sizes of all intersections of the sets ``a`` with those of ``b`` (with each other without it),
-    by products of 0/1 matrices over some of the shared elements at a time."""
+    """Sizes of all intersections of the sorted sets ``a`` with those of ``b`` (with each other without
+    it), by products of 0/1 matrices over some of the shared elements at a time, which come from one
+    range of hashes after the other: beside the sets and the result, some ELEMENTS are held."""
     sets = a if b is None else [*a, *b]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    row, column = row[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(a), len(a) if b is None else len(b)), np.float32 if shared.sum() < 1 << 24 else np.float64)
+    # Whole numbers, exact up to 2**24 and past it in float64.
+    out = np.zeros((len(a), len(a) if b is None else len(b)), np.float32 if max(map(len, sets)) < 1 << 24 else np.float64)
+    ranges = max(1, -(-sum(map(len, sets)) // ELEMENTS))
+    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = np.array([[0, *np.searchsorted(s, bounds), len(s)] for s in sets])
     width = max(256, CELLS // len(sets))
-    total = int(shared.sum())
-    cuts = np.searchsorted(column, np.arange(0, total + width, width))
-    for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
-        held = np.zeros((len(sets), min(width, total - k * width)), np.float32)
-        held[row[x:y], column[x:y] - k * width] = 1
-        out += held[: len(a)] @ (held if b is None else held[len(a) :]).T  # whole numbers, exact up to 2**24 and past it in float64
+    for r in range(ranges):
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), cuts[:, r + 1] - cuts[:, r])
+        _, column, count = np.unique(np.concatenate([s[x:y] for s, (x, y) in zip(sets, cuts[:, r : r + 2])]), return_inverse=True, return_counts=True)
+        shared = count > 1
+        number = np.cumsum(shared) - 1
+        keep = shared[column]
+        row, column = row[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        total = int(shared.sum())
+        at = np.searchsorted(column, np.arange(0, total + width, width))
+        for k, (x, y) in enumerate(zip(at, at[1:])):
+            held = np.zeros((len(sets), min(width, total - k * width)), np.float32)
+            held[row[x:y], column[x:y] - k * width] = 1
+            out += held[: len(a)] @ (held if b is None else held[len(a) :]).T
     return out
 
 
 def _links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> pd.DataFrame:
     """A spanning forest (v, root) of the sets that are similar enough: among all of them, or between
-    the two sides."""
+    the two sides. The pairs of a strip go into the forest before those of the next are made."""
     order = np.argsort(names)
     names, sets = names[order], [sets[k] for k in order]
     n = np.array([len(s) for s in sets], dtype=float)
@@ -133,12 +139,11 @@ def _links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, s
     else:
         p, q = np.flatnonzero(~side[order]), np.flatnonzero(side[order])
         both = overlaps([sets[k] for k in p], [sets[k] for k in q])
-    found = []
+    every = label = np.arange(len(sets))
     for k in range(0, len(p), 64):  # thresholds in double precision, a strip at a time
         strip = both[k : k + 64].astype(float)
         i, j = np.nonzero(strip >= similarity * (n[p[k : k + 64]][:, None] + n[q] - strip) - EPS)
-        found.append((p[k + i], q[j]))
-    label = local_components(len(sets), *map(np.concatenate, zip(*found)))
+        label = local_components(len(sets), np.concatenate([every, p[k + i]]), np.concatenate([label, q[j]]))
     apart = names != names[label]
     return pd.DataFrame({"v": names[apart], "root": names[label][apart]})
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -246,3 +247,30 @@ def test_odd_texts_lose_their_repeats(odd_docs, empty_docs):
     assert got[1] == got[2] == got[3] == [(0, 0)] and got[4] == [(200_000, 0)] * 2
     assert got[11] == [(200_001, 200_000)] and got[9] == got[10] == [(30, 0)]
     assert substring_dedup.remove_repeats(empty_docs).count() == 0
+
+
+def test_links_of_a_large_group_of_near_copies_hold_few_pairs_and_elements():
+    """2048 near copies are linked without all their pairs, or all their elements' places, at once."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(0, 1 << 63, 5).astype(np.uint64))) for _ in range(2048)]
+    names = rng.permutation(2048).astype(np.int64)
+    for side in (None, names % 2 == 0):
+        tracemalloc.start()
+        forest = jaccard_dedup._links(names, sets, side, 0.8)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sorted(forest["v"]) == list(range(1, 2048)) and set(forest["root"]) == {0}
+        assert peak < 60e6
+
+
+def test_overlaps_by_ranges_of_hashes_are_whole(monkeypatch):
+    monkeypatch.setattr(jaccard_dedup, "ELEMENTS", 100)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 64, 80, dtype=np.uint64)
+    sets = [np.unique(rng.choice(base, k, replace=False)) for k in rng.integers(0, 80, 40)] + [np.zeros(0, np.uint64)]
+    expected = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    assert (jaccard_dedup.overlaps(sets[:15], sets[15:]) == expected[:15, 15:]).all()
+    got = jaccard_dedup.overlaps(sets)
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (got == expected)[off].all()
