@@ -20,25 +20,17 @@ WINDOW, PHRASE = 50, 25
 SPREAD = WINDOW - PHRASE
 #: Phrases an automaton is meant to hold, and documents that one pass of it takes.
 SHARD_PHRASES, SHARD_DOCS = 20_000, 2_000
-VOCABULARY = 1 << 19
 #: A key with more than this part of a join's rows is met by broadcast; there are fewer such keys.
 HOT_KEYS = 4096
-#: Odd multipliers of the rolling hashes.
+#: Odd multipliers of the rolling hashes, and what undoes them modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+INVERSES = tuple(pow(b, -1, 2**64) for b in BASES)
 MIXER = np.uint64(0xD6E8FEB86659FD93)
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= VOCABULARY:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; hashing one anew takes less time than looking it up among many."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 class Rolling:
@@ -59,9 +51,9 @@ class Rolling:
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
         self.sums, self.inverse = [], []
-        for b in BASES:
+        for b, inverse in zip(BASES, INVERSES):
             self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(hashes * self.powers(b, n), dtype=np.uint64)]))
-            self.inverse.append(self.powers(pow(b, -1, 2**64), n + 1))
+            self.inverse.append(self.powers(inverse, n + 1))
 
     def run(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(64 bits, 32 bits) of the words start .. stop - 1."""
@@ -124,13 +116,12 @@ def _phrases(docs: DataFrame) -> DataFrame:
     """(g1, g2, doc_id, pos): the chosen phrases of every document of at least a window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHash()
         for b in batches:
             parts = []
             for doc, text in zip(b["doc_id"].to_numpy(), b["text"]):
                 words = words_of(text)
                 if len(words) >= WINDOW:
-                    at, g1, g2 = phrase_places(Rolling(hashes.of(words)))
+                    at, g1, g2 = phrase_places(Rolling(word_hashes(words)))
                     # A phrase that a document repeats, as in a run of one word, is listed once.
                     once = np.flatnonzero(_changes(g1, g2, order := np.lexsort((at, g2, g1))))
                     at, g1, g2 = at[order][once], g1[order][once], g2[order][once]
@@ -180,7 +171,7 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     Rows come sorted by shard and pass, phrases first: those build the automaton, whose symbols are
     numbers of the words that occur in its phrases, and the texts stream through it.
     """
-    hashes, at_shard, automaton = WordHash(), None, None
+    at_shard, automaton = None, None
     columns = ["g1", "g2", "b1", "b2", "doc_id", "p0", "p1"]
     for batch in batches:
         parts = []
@@ -201,7 +192,7 @@ def _locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p = np.fromiter((end for end, _ in automaton.iter(symbols)), np.int64) - (PHRASE - 1)
             if not len(p):
                 continue
-            rolling = Rolling(hashes.of(words))
+            rolling = Rolling(word_hashes(words))
             g1, g2 = _signed(*rolling.run(p, p + PHRASE))
             lo, hi = np.maximum(p - SPREAD, 0), np.minimum(p + WINDOW, len(words))
             b1, b2 = rolling.run(lo, hi)
@@ -217,7 +208,6 @@ def _windows(docs: DataFrame) -> DataFrame:
     """(w1, w2, doc_id, p0, p1): runs of the windows around given places of phrases."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHash()
         for b in batches:
             parts = []
             for doc, text, places in zip(b["doc_id"], b["text"], b["places"]):
@@ -226,7 +216,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                 np.add.at(edge, [max(0, r["p0"] - SPREAD) for r in places], 1)
                 np.add.at(edge, [r["p1"] + 1 for r in places], -1)
                 starts = np.flatnonzero(np.cumsum(edge[: max(0, len(words) - WINDOW + 1)]) > 0)
-                w1, w2 = _signed(*Rolling(hashes.of(words)).run(starts, starts + WINDOW))
+                w1, w2 = _signed(*Rolling(word_hashes(words)).run(starts, starts + WINDOW))
                 row, p0, p1 = _runs(starts, WINDOW, w1, w2)
                 parts.append({"w1": w1[row], "w2": w2[row], "doc_id": np.full(len(row), doc), "p0": p0, "p1": p1})
             yield _frame(parts, ["w1", "w2", "doc_id", "p0", "p1"])

@@ -6,6 +6,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -274,3 +275,23 @@ def test_overlaps_by_ranges_of_hashes_are_whole(monkeypatch):
     got = jaccard_dedup.overlaps(sets)
     off = ~np.eye(len(sets), dtype=bool)
     assert (got == expected)[off].all()
+
+
+def test_phrases_keep_no_words_of_earlier_texts():
+    """Words are hashed where they stand: no vocabulary grows with the texts of a task."""
+
+    class Rows:
+        def mapInPandas(self, run, schema):
+            return run
+
+    run = substring_dedup._phrases(Rows())
+    batch = lambda k: pd.DataFrame({"doc_id": [k], "text": [" ".join(f"w{k}x{i}" for i in range(20_000))]})
+    list(run(iter([batch(0)])))  # powers of the multipliers are kept
+    tracemalloc.start()
+    rows = run(map(batch, range(1, 5)))
+    sizes = [len(next(rows)) for _ in range(4)]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert min(sizes) > 1000 and held < 4e6
+    words = "a \u00e9\u00e8 b".encode().split()
+    assert substring_dedup.word_hashes(words).tolist() == [xxhash.xxh64_intdigest(w) for w in words]
