@@ -92,6 +92,12 @@ def bind(values: dict[str, Column], body) -> Column:
     return F.get(F.transform(one, lambda s: body({k: s[k] for k in values})), F.lit(0))
 
 
+def _along(d: Column, tau: Column) -> Column:
+    """``d / tau``; at ``tau`` 0, which a fit's trials may reach, the limit of a crossing that takes no
+    time: mid-transit stays where it is, every other moment is out of transit."""
+    return F.when(tau == 0, F.when(d == 0, F.lit(0.0)).when(d != 0, F.lit(math.inf))).otherwise(d / tau)
+
+
 def transit(t, p, tau, b, climb=SOLAR_LIMB, usamp: int = 11, cadence=CADENCE_DAYS) -> Column:
     """``occult_small`` along a straight crossing with time scale ``tau`` and impact ``b``, averaged
     over ``usamp`` moments of the exposure; 0 out of transit."""
@@ -102,7 +108,7 @@ def transit(t, p, tau, b, climb=SOLAR_LIMB, usamp: int = 11, cadence=CADENCE_DAY
     def body(v):
         limb = tuple(v[f"c{i}"] for i in range(4))
         dist = F.transform(
-            F.array(*[(v["t"] + lc * o) / v["tau"] for o in offsets]), lambda u: F.sqrt(u * u + v["b"] * v["b"])
+            F.array(*[_along(v["t"] + lc * o, v["tau"]) for o in offsets]), lambda u: F.sqrt(u * u + v["b"] * v["b"])
         )
         total = F.aggregate(dist, F.lit(0.0), lambda s, z: s + occult_small(z, v["p"], limb))
         return total / len(offsets) - 1.0

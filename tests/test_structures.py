@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starfold import session
+from starfold.functions import models
 from starfold.operators import boxes, clean, ensemble, fit, fold, search, validate
 from starfold.plans import stages
 from starfold.sources import lightcurves
@@ -274,3 +275,34 @@ def test_queries_of_fits_do_not_repeat_the_search(spark, tmp_path):
     data, pars = queries._folded(spark, str(tmp_path))
     assert data._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 16
     assert pars.count() == 1 and data.where("f IS NOT NULL AND ferr > 0").count() > 10
+
+
+def test_transit_of_no_duration(spark):
+    """``tau`` 0 gives the limit of small ones, at and off mid-transit; other signs and values stay."""
+    rows = [(t, tau) for t in (0.0, 0.02, 0.3, -0.4) for tau in (0.0, 1e-9, 0.06, -0.06)]
+    d = spark.createDataFrame(rows, "t DOUBLE, tau DOUBLE")
+    at = lambda usamp: models.transit(F.col("t"), 0.1, F.col("tau"), 0.3, usamp=usamp, cadence=0.1)
+    got = {(r["t"], r["tau"]): (r["a"], r["b"]) for r in d.select("t", "tau", at(1).alias("a"), at(5).alias("b")).collect()}
+    for t in (0.0, 0.02, 0.3, -0.4):
+        assert got[t, 0.0] == got[t, 1e-9] and got[t, 0.06] == got[t, -0.06]
+    assert got[0.0, 0.0][0] < -0.01 and got[0.3, 0.0] == (0.0, 0.0)
+
+
+CURVE = fit.shape_model(usamp=5, cadence=0.1)
+SHORT = {"p": 0.1, "tau": 0.06, "b": 0.3, "dt": 0.0}
+
+
+def short_transit(spark):
+    """A folded curve whose ``tau`` is the last step of a fit of two rounds from 0.15: less a step it is 0."""
+    t = spark.range(61).select(F.lit("a").alias("star"), ((F.col("id") - 30) / 40 + 0.003).alias("t"))
+    data = t.select("star", "t", CURVE(F.col("t"), {n: F.lit(v) for n, v in SHORT.items()}).alias("f"), F.lit(1e-3).alias("ferr"))
+    return data, spark.createDataFrame([("a", 0.1, 0.15, 0.3, 0.0)], "star STRING, p DOUBLE, tau DOUBLE, b DOUBLE, dt DOUBLE")
+
+
+def test_fit_whose_step_reaches_no_duration(spark):
+    data, start = short_transit(spark)
+    (got,) = fit.fit_shape(data, start, 2, model=CURVE).collect()
+    assert np.allclose([got[n] for n in ("p", "tau", "b", "chi2")], [0.1, 0.06, 0.3, 0.0]) and got["n"] == 61
+    r2 = lambda tau: F.sum(F.pow((F.col("f") - CURVE(F.col("t"), {n: F.lit(v) for n, v in (SHORT | {"tau": tau}).items()})) / F.col("ferr"), F.lit(2.0)))
+    (low, high) = data.agg(r2(1e-12), r2(0.12)).first()
+    assert got["utau"] == pytest.approx(0.06 / ((low + high) / 2) ** 0.5) and got["up"] > 0 and got["ub"] > 0
