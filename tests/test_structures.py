@@ -306,3 +306,26 @@ def test_fit_whose_step_reaches_no_duration(spark):
     r2 = lambda tau: F.sum(F.pow((F.col("f") - CURVE(F.col("t"), {n: F.lit(v) for n, v in (SHORT | {"tau": tau}).items()})) / F.col("ferr"), F.lit(2.0)))
     (low, high) = data.agg(r2(1e-12), r2(0.12)).first()
     assert got["utau"] == pytest.approx(0.06 / ((low + high) / 2) ** 0.5) and got["up"] > 0 and got["ub"] > 0
+
+
+def test_percentiles_around_a_fit_whose_step_reaches_no_duration(spark):
+    """Percentiles equal weighted ones over the same grid around the fit; the bands have every time."""
+    data, start = short_transit(spark)
+    fits = session.cut_lineage(fit.fit_shape(data, start, 2, model=CURVE))
+    q, bands = fit.posterior_percentiles(data, fits, 3, model=CURVE)
+    (best,) = fits.collect()
+    axes = {}
+    for n, low, high in (("p", 1e-6, 1.0), ("tau", 1e-4, 2.0), ("b", 0.0, 1.0)):
+        axes[n] = np.linspace(max(low, best[n] - 4 * best[f"u{n}"]), min(high, best[n] + 4 * best[f"u{n}"]), 3)
+    grid = pd.DataFrame([(p, tau, b) for p in axes["p"] for tau in axes["tau"] for b in axes["b"]], columns=["p", "tau", "b"])
+    x = data.crossJoin(spark.createDataFrame(grid.assign(id=range(len(grid)), dt=0.0)))
+    r = (F.col("f") - CURVE(F.col("t"), {n: F.col(n) for n in ("p", "tau", "b", "dt")})) / F.col("ferr")
+    chi2 = x.groupBy("id").agg(F.sum(r * r).alias("chi2")).toPandas().set_index("id").chi2
+    grid["w"] = np.exp((chi2.min() - chi2.sort_index().to_numpy()) / 2)
+    got = {r["par"]: r for r in q.collect()}
+    for n, values in axes.items():
+        share = grid.groupby(n).w.sum().cumsum() / grid.w.sum()
+        want = [values[int((share >= k).to_numpy().argmax())] for k in (0.15, 0.5, 0.85)]
+        assert np.allclose([got[n][c] for c in ("q15", "q50", "q85")], want)
+    rows = bands.collect()
+    assert len(rows) == 61 and all(r["lo"] <= r["mean"] <= r["hi"] for r in rows)
